@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
+from . import line_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +27,26 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shared, total = line_dedup.shared_lines(line_dedup.in_batches(docs), spark)
+    left = line_dedup.drop_shared_lines(docs.select("doc_id", "text"), shared, total)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT l.doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN l.line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op5_line_dedup": op5_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
