@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import line_dedup
+from . import line_dedup, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shared, total = line_dedup.shared_lines(line_dedup.in_batches(docs), spark)
@@ -45,7 +49,7 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_line_dedup": op5_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op2_packing": op2_packing, "op5_line_dedup": op5_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
