@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import line_dedup, packing
-from .common import table
+from . import line_dedup, packing, token_files
+from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch(spark)}/ids"
+    token_files.write_files(table(spark, sf_dir, "documents"), folder)
+    return token_files.read_files(spark, folder)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shared, total = line_dedup.shared_lines(line_dedup.in_batches(docs), spark)
@@ -49,7 +55,7 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op5_line_dedup": op5_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {"op2_packing": op2_packing, "op3_token_files": op3_token_files, "op5_line_dedup": op5_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
