@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, token_files
+from . import bpe, line_dedup, ngram_join, packing, token_files
 from . import exact_dedup as dedup
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_token_files": op3_token_files, "op5_line_dedup": op5_line_dedup, "op8_bpe": op8_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op2_packing": op2_packing, "op3_token_files": op3_token_files, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op8_bpe": op8_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
