@@ -18,6 +18,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -249,6 +250,12 @@ class Decoder:
         return text
 
 
+@lru_cache(2)
+def worker_encoder(data: bytes) -> Encoder:
+    """One encoder, with its cache of words, for all tasks of a Python worker."""
+    return Encoder(Model(data))
+
+
 def encode_text(encoder: Encoder, text: str, chunk: int = CHUNK) -> Iterator[list[int]]:
     for at in range(0, len(text), chunk):
         yield encoder.feed(text[at : at + chunk])
@@ -260,8 +267,9 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokeniz
     data = shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(data.value)
-        encoder, decoder = Encoder(model), Decoder(model)
+        encoder = worker_encoder(data.value)
+        model = encoder.model
+        decoder = Decoder(model)
         names = [str(i) for i in range(max(model.bytes) + 1)]
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -288,7 +296,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenize
     data = shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Model(data.value))
+        encoder = worker_encoder(data.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
