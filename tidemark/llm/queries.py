@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, packing, token_files
+from . import bpe, language, line_dedup, ngram_join, packing, quality, token_files
 from . import exact_dedup as dedup
 from .common import scratch, table
 
@@ -18,6 +18,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,11 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,7 +73,7 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_token_files": op3_token_files, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op8_bpe": op8_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_token_files": op3_token_files, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_language": op7_language, "op8_bpe": op8_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
