@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_dedup, ngram_join, packing, quality, token_files
+from . import bpe, html_extraction, language, line_dedup, ngram_join, packing, quality, token_files, warc
 from . import exact_dedup as dedup
 from .common import scratch, table
 
@@ -27,6 +27,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(dedup.normalised().cast("binary"), 256))
     return dedup.exact_groups(docs, carry=["doc_id", "text_sha256"])
@@ -55,6 +59,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, folder)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_block_digest", "source_payload_digest", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shared, total = line_dedup.shared_lines(line_dedup.in_batches(docs), spark)
@@ -73,7 +82,7 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_token_files": op3_token_files, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_language": op7_language, "op8_bpe": op8_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_language": op7_language, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
