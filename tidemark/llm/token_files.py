@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import PieceEncoder, shipped
+from .tokens import shipped, worker_encoder
 
 BLOCK, PERCENT, SEGMENT, END = 1024, 90, 1 << 20, 1
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
@@ -121,7 +121,7 @@ def write_files(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
     data = shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = PieceEncoder(data.value), TaskContext.get().partitionId()
+        encode, shard = worker_encoder(data.value), TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         held, size, before, segment = [], 0, 0, 0
 

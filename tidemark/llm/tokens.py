@@ -1,26 +1,29 @@
 """Token ids of whole texts with a tokenizer file, in Arrow batches, with a bounded cache of words.
 
-A text is cut where a run of other characters is followed by one ASCII space and another such character. Both tokenizer files cut
-their words there too, so the ids of a text are the ids of its pieces, one after another; pieces that aren't in the cache are
-encoded by the tokenizers library, many at a time.
+A text is cut where a run of other characters is followed by one ASCII space and another such character (byte-level files), or at ASCII
+white space (files that drop white space and lower-case). The files cut their own words there too, so the ids of a text are the ids of
+its pieces, one after another; pieces that aren't in the cache are encoded by the tokenizers library, many at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Characters with the Unicode property White_Space (fixed values).
-SPACES = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Characters with the Unicode property White_Space but space and line break (fixed values).
+WIDE = "\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A piece: a run without white space, with the one space before it; or a whole run of white space up to that space.
-PIECE = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?= [^{SPACES}])|[{SPACES}]+")
-CACHE = 1_000_000  #: pieces kept in a worker's cache; it is emptied when full
+PIECE = re.compile(f" ?[^ \n{WIDE}]+|[ \n{WIDE}]+(?= [^ \n{WIDE}])|[ \n{WIDE}]+")
+#: Texts with this can't be cut at each single space and line break.
+ODD = re.compile(f"  |\n[ \n]| \n|^[ \n]|[ \n]$|[{WIDE}]")
+CACHE = 2_000_000  #: pieces kept in a worker's cache; it is emptied when full
 
 
 def shipped(spark: SparkSession, name: str) -> Broadcast:
@@ -39,32 +42,73 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.mark, self.mark_id = next(iter(special.items()))
-        self.size, self.cache = cache, {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Many pieces in one call, with a special token between them; those that might hold one go alone."""
-        plain = [p for p in pieces if "<|" not in p]
-        for p in pieces:
-            if "<|" in p:
-                self.cache[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        self.words_only = bool(json.loads(data)["model"].get("end_of_word_suffix"))
+        #: What stands between pieces that are encoded together: a word of its own, of one token.
+        self.mark = " \x01 " if self.words_only else next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
+        self.size = cache
+        self.clear()
+
+    def clear(self) -> None:
+        self.whole: dict[str, bytes] = {}  # ids of pieces as they are
+        self.spaced: dict[str, bytes] = {}  # ids of pieces after a space that was cut off
+
+    def _cut(self, text: str | None) -> tuple[list[str], list[str]]:
+        """Pieces as they are, then pieces after a space."""
+        if not text:
+            return [], []
+        if self.words_only:
+            if "<|" in text:  # lower-casing might make a special token of it
+                return text.split(" "), []
+            return [], text.encode().lower().split()
+        if ODD.search(text):
+            return PIECE.findall(text), []
+        first, *rest = text.replace("\n", " \n").split(" ")  # a piece may begin with a space or a line break
+        return [first], rest
+
+    def _learn(self, cache: dict, pieces: list[str], texts: list[str]) -> None:
+        """Many pieces in one call, with a mark between them; those that may hold the mark or a special token go alone."""
+        plain = []
+        for p, t in zip(pieces, texts, strict=True):
+            if "<|" in t or "\x01" in t:
+                cache[p] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append((p, t))
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join([t for _, t in some])], add_special_tokens=False)[0].ids, "<u4")
             data, start = ids.tobytes(), 0
-            for p, end in zip(some, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(data)], strict=True):
-                self.cache[p] = data[start:end]
+            for (p, _), end in zip(some, [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), len(data)], strict=True):
+                cache[p] = data[start:end]
                 start = end + 4
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
         for start in range(0, len(texts), 64):
-            cut = [PIECE.findall(t) if t else [] for t in texts[start : start + 64]]
-            if len(self.cache) > self.size:
-                self.cache = {}
-            cache = self.cache
-            if new := set(chain.from_iterable(cut)).difference(cache):
-                self._learn(list(new))
-            out += [b"".join([cache[p] for p in pieces]) for pieces in cut]
+            if len(self.whole) + len(self.spaced) > self.size:
+                self.clear()
+            cut, again = [self._cut(t) for t in texts[start : start + 64]], []
+            whole, spaced = self.whole.get, self.spaced.get
+            new: tuple[set, set] = (set(), set())
+            for a, b in cut:
+                found = [*map(whole, a), *map(spaced, b)]
+                try:
+                    out.append(b"".join(found))
+                except TypeError:  # a piece isn't known yet
+                    again.append(len(out))
+                    out.append(b"")
+                    new[0].update(p for p, f in zip(a, found, strict=False) if f is None)
+                    new[1].update(p for p, f in zip(b, found[len(a) :], strict=True) if f is None)
+            if again:
+                self._learn(self.whole, list(new[0]), list(new[0]))
+                self._learn(self.spaced, list(new[1]), [p.decode() for p in new[1]] if self.words_only else [p if p[0] == "\n" else f" {p}" for p in new[1]])
+                for k in again:
+                    a, b = cut[k - start]
+                    out[k] = b"".join([*map(whole, a), *map(spaced, b)])
         return out
+
+
+@lru_cache(2)
+def worker_encoder(data: bytes) -> PieceEncoder:
+    """One encoder, with its cache of pieces, for all tasks of a Python worker."""
+    return PieceEncoder(data)
