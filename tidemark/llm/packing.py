@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import PieceEncoder, shipped
+from .tokens import shipped, worker_encoder
 
 CAPACITY, END = 2048, 1
 BLOCK = 4096  #: remainders packed at once
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
         return pa.RecordBatch.from_arrays(arrays, [*names, "ids"] if with_ids else names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = PieceEncoder(data.value), Packer(capacity)
+        encode, packer = worker_encoder(data.value), Packer(capacity)
         base, out = TaskContext.get().partitionId() << 40, []
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
