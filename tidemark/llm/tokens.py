@@ -19,8 +19,8 @@ from pyspark.sql import SparkSession
 
 #: Characters with the Unicode property White_Space but space and line break (fixed values).
 WIDE = "\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A piece: a run without white space, with the one space before it; or a whole run of white space up to that space.
-PIECE = re.compile(f" ?[^ \n{WIDE}]+|[ \n{WIDE}]+(?= [^ \n{WIDE}])|[ \n{WIDE}]+")
+#: A piece: a run without white space, with the one space before it; or a run of white space, whose last character stands alone before other text.
+PIECE = re.compile(f" ?[^ \n{WIDE}]+|[ \n{WIDE}]+(?![^ \n{WIDE}])|[ \n{WIDE}]+")
 #: Texts with this can't be cut at each single space and line break.
 ODD = re.compile(f"  |\n[ \n]| \n|^[ \n]|[ \n]$|[{WIDE}]")
 CACHE = 2_000_000  #: pieces kept in a worker's cache; it is emptied when full
@@ -45,6 +45,7 @@ class PieceEncoder:
         self.words_only = bool(json.loads(data)["model"].get("end_of_word_suffix"))
         #: What stands between pieces that are encoded together: a word of its own, of one token.
         self.mark = " \x01 " if self.words_only else next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
+        self.special = re.compile("(" + "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) + ")")
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
         self.size = cache
         self.clear()
@@ -61,6 +62,8 @@ class PieceEncoder:
             if "<|" in text:  # lower-casing might make a special token of it
                 return text.split(" "), []
             return [], text.encode().lower().split()
+        if "<|" in text:  # white space before a special token is the end of a text
+            return [p for part in self.special.split(text) for p in ([part] if self.special.fullmatch(part) else PIECE.findall(part))], []
         if ODD.search(text):
             return PIECE.findall(text), []
         first, *rest = text.replace("\n", " \n").split(" ")  # a piece may begin with a space or a line break
