@@ -99,11 +99,19 @@ def platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     z = np.stack([score, np.ones_like(score)], 1)
-    w = np.array([1.0, 0.0])
+    start = w = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        x = z @ w
+        return float(np.sum(np.logaddexp(0, x) - target * x) + 5e-4 * np.sum((w - start) ** 2))
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        w -= np.linalg.solve(h, z.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        slope = z.T @ (p - target) + 1e-3 * (w - start)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), slope)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:  # a shorter step where the full one overshoots
+            step = step / 2
+        w = w - step
     return float(w[0]), float(w[1])
 
 
