@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PER_LANG, BITS, SWITCH, GROUP = 600, 15, 12.0, 2048
-CACHE = 1_000_000  #: words whose scores a worker keeps
+CACHE = 500_000  #: words whose scores a worker keeps
 #: Starts of script ranges and the script from there on (fixed values; blocks of the Unicode standard).
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "indic"), (0x0E00, "thai"),
@@ -147,8 +147,11 @@ def held_out(doc_id: str) -> Column:
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray, dict] | None:
     """Languages, log shares of n-grams, and the scripts of each; None without a training row."""
     mine = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    order = W.partitionBy("_lang").orderBy("_hash", "_key")
-    ids = mine.select(F.col(doc_id).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(doc_id).alias("_hash")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_lang)
+    ids = mine.select(F.col(doc_id).alias("_key"), F.col(lang).alias("_lang"), F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)).alias("_hash"))
+    # only about twice the sample's rows of a language are ranked; one row a language is broadcast
+    cut = ids.groupBy("_lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.count(F.lit(1))).alias("_share"))
+    ids = ids.join(F.broadcast(cut), "_lang").where(F.col("_hash") < F.col("_share") * (1 << 30))
+    ids = ids.withColumn("_rank", F.row_number().over(W.partitionBy("_lang").orderBy("_hash", "_key"))).where(F.col("_rank") <= per_lang)
     rows = mine.select(doc_id, text, lang).join(F.broadcast(ids.select("_key").distinct()), F.col(doc_id) == F.col("_key")).select(lang, text)
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
