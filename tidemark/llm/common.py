@@ -35,6 +35,18 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_compact(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """stored for tables of hashes: few files, and no codec, since hashes don't shrink and codecs hold memory outside the heap."""
+    path = f"{folder}/{name}"
+    few_tasks(df).write.option("compression", "none").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df in at most three tasks a core; partitions are read one after another, not gathered."""
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

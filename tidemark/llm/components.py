@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored_compact as stored
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:

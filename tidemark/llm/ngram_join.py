@@ -5,8 +5,9 @@
    class, with their number of classes. A class with less than the threshold's part of its shingles shared has no link.
 3. The rest have their shared shingles in one global order, rarest first. Two linked classes share one of the first
    s - ceil(t n) + 1 (s shared of n), the prefix. Classes that meet at a prefix shingle are candidates.
-4. First each class is held against two hubs of its lists, which joins large groups of near copies without looking at all their
-   pairs; then every candidate pair whose classes aren't joined yet is held against each other. No link between two components is left.
+4. First each class is held against two hubs of its lists, and if many pairs are left against a few more, which joins large groups of
+   near copies without looking at all their pairs; then every candidate pair whose classes aren't joined yet is held against each
+   other. No link between two components is left.
 5. Candidates of a class are laid in a prefix tree (commonest shingle first), which is walked with the class's set: overlaps of shared
    paths are counted once, and a subtree is left when even its longest rest can't reach the threshold.
 
@@ -27,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, scratch, stored
+from .common import few_tasks, join_hot, scratch
+from .common import stored_compact as stored
 from .components import components
 
 WORDS, PER_CENT = 5, 75
-FLUSH = 2_000_000  #: shingles a task holds before it deals them out
+FLUSH = 1_000_000  #: shingles a task holds before it deals them out
 BUCKET_BYTES = 16 << 20  #: text a bucket of shingles stands for
-BLOCK = 512  #: candidates in one prefix tree
+BLOCK = 128  #: candidates in one prefix tree
+SETS = 60_000  #: sets in a flush, so that two bytes name one
+PARTNERS, EASY = 8, 4  #: more hubs that a class is held against if more pairs than this per list entry are left
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -94,116 +98,106 @@ class Tree:
 
 
 def class_rows(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: int) -> DataFrame:
-    """Steps 1 and 2: a row (doc_id, n, c) for each document, and a row (c, n, toks, k) for each class that may have a link."""
+    """Steps 1 and 2: a row (doc_id, n, c) for each document, and a row (c, n, toks, k) for each set that may have a link.
+
+    A task packs its documents into flushes; within a flush equal sets are one. A bucket of shingles answers each flush with those of its
+    shingles that are in another set too, and in how many; so a shingle travels once with two bytes that name its set in the flush.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    names, kinds = ["key", "kind", "payload"], (pa.int64(), pa.int32(), pa.binary())
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed arrays: documents (negative size first), or for each bucket its classes' shingles."""
-        docs_held, held, seen, count, turn = [], [], set(), 0, 0
+        rows, held, seen, count, turn = [], [], set(), 0, 0
         part = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
-            rows = [(xxhash.xxh32_intdigest(struct.pack("<qq", part, turn)) % buckets, 0, pack_docs(docs_held))]
+            name = part << 32 | turn
+            head = struct.pack("<q", name)
+            table = np.array([(c, len(g)) for c, g in held], "<i8").reshape(-1, 2).tobytes()
+            out = [(xxhash.xxh32_intdigest(head) % buckets, 0, head + struct.pack("<I", len(held)) + table + pack_docs(rows))]
             if held:
                 tokens = np.concatenate([g for _, g in held])
-                owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(g) for _, g in held])
-                bucket = (tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                ids = np.array([c for c, _ in held], np.int64)
-                sizes = np.array([len(g) for _, g in held], np.uint32)
-                for b in range(buckets):
-                    lo, hi = cuts[b], cuts[b + 1]
-                    if lo < hi:
-                        mine, counts = np.unique(owner[lo:hi], return_counts=True)  # owners ascend within a bucket
-                        rows.append((b, 1, struct.pack("<I", len(mine)) + ids[mine].tobytes() + sizes[mine].tobytes() + counts.astype("<u4").tobytes() + tokens[lo:hi].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
+                owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(g) for _, g in held])
+                bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+                order = np.argsort(bucket, kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
+                out += [(b, 1, head + owner[lo:hi].tobytes() + tokens[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 g = shingles(t.as_py(), words)
                 c = xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63)
-                docs_held.append((key, len(g), c))
+                rows.append((key, len(g), c))
                 count += 8
                 if len(g) and c not in seen:
                     seen.add(c)
                     held.append((c, g))
                     count += len(g)
-                if count >= FLUSH:
+                if count >= FLUSH or len(held) == SETS:
                     yield flush()
-                    docs_held, held, seen, count, turn = [], [], set(), 0, turn + 1
-        if docs_held:
+                    rows, held, seen, count, turn = [], [], set(), 0, turn + 1
+        if rows:
             yield flush()
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of a bucket: shingles in two classes or more, dealt out by class."""
-        out = [(key[0], 0, p) for p in rows.payload[rows.kind == 0]]
-        ids, sizes, counts, tokens = [], [], [], []
+        """Of a bucket: for each flush its shingles that are in two sets or more."""
+        out = [(struct.unpack_from("<q", p)[0], 0, p) for p in rows.payload[rows.kind == 0]]
+        flushes, tokens, owners = [], [], []
         for p in rows.payload[rows.kind == 1]:
-            m = struct.unpack_from("<I", p)[0]
-            ids.append(np.frombuffer(p, "<i8", m, 4))
-            sizes.append(np.frombuffer(p, "<u4", m, 4 + 8 * m))
-            counts.append(np.frombuffer(p, "<u4", m, 4 + 12 * m))
-            tokens.append(np.frombuffer(p, "<u8", offset=4 + 16 * m))
+            m = (len(p) - 8) // 10
+            flushes.append(struct.unpack_from("<q", p)[0])
+            owners.append(np.frombuffer(p, "<u2", m, 8))
+            tokens.append(np.frombuffer(p, "<u8", m, 8 + 2 * m))
         if tokens:
             token = np.concatenate(tokens)
-            row = np.repeat(np.arange(sum(map(len, ids)), dtype=np.uint32), np.concatenate(counts))
-            order = np.argsort(token)
-            token, row = token[order], row[order]
-            same = token[1:] == token[:-1]
-            twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            token, row = token[twice], row[twice]
-            del order, same, twice
-            c, n = np.concatenate(ids)[row], np.concatenate(sizes)[row]
-            order = np.lexsort((c, token))
-            token, c, n = token[order], c[order], n[order]
-            first = np.ones(len(token), bool)
-            first[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
-            token, c, n = token[first], c[first], n[first]
-            _, at, df = np.unique(token, return_inverse=True, return_counts=True)
-            df = df[at]
-            token, c, n, df = token[df > 1], c[df > 1], n[df > 1], df[df > 1]
-            to = (c.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.lexsort((c, to))
-            token, c, n, df, to = token[order], c[order], n[order], df[order], to[order]
-            for b, lo, hi in zip(*runs(to), strict=True):
-                heads, starts, ends = runs(c[lo:hi])
-                body = np.array(heads, "<i8").tobytes() + n[lo:hi][starts].astype("<u4").tobytes() + (ends - starts).astype("<u4").tobytes()
-                out.append((int(b), 1, struct.pack("<I", len(heads)) + body + token[lo:hi].astype("<u8").tobytes() + np.minimum(df[lo:hi], 0xFFFFFFFF).astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
+            order = np.argsort(token).astype(np.uint32)
+            ordered = token[order]
+            first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            of = np.cumsum(first) - 1
+            df = np.minimum(np.bincount(of), 0xFFFF)[of].astype(np.uint16)
+            order, df = order[df > 1], df[df > 1]
+            back = np.argsort(order)  # in the order in which they came: flush by flush
+            order, df = order[back], df[back]
+            owner = np.concatenate(owners)
+            ends = np.searchsorted(order, np.cumsum([0, *map(len, tokens)]))
+            for name, lo, hi in zip(flushes, ends, ends[1:], strict=False):
+                if lo < hi:
+                    at = order[lo:hi]
+                    out.append((name, 1, owner[at].tobytes() + df[lo:hi].tobytes() + token[at].tobytes()))
+        return pd.DataFrame(out, columns=names)
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of a bucket of classes: those with enough shared shingles, in the global order; and the documents passed on."""
-        out = []
-        for p in rows.payload[rows.kind == 0]:
-            out += [(d, n, c, None, None) for d, n, c in unpack_docs(p)]
-        ids, sizes, tokens, dfs = [], [], [], []
+        """Of a flush: its documents, and its sets with enough shared shingles, in the global order."""
+        head = next(iter(rows.payload[rows.kind == 0]))
+        m = struct.unpack_from("<I", head, 8)[0]
+        table = np.frombuffer(head, "<i8", 2 * m, 12).reshape(m, 2)
+        out = [(d, n, c, None, None) for d, n, c in unpack_docs(head[12 + 16 * m :])]
+        owners, dfs, tokens = [], [], []
         for p in rows.payload[rows.kind == 1]:
-            m = struct.unpack_from("<I", p)[0]
-            counts = np.frombuffer(p, "<u4", m, 4 + 12 * m)
-            total = int(counts.sum())
-            ids.append(np.repeat(np.frombuffer(p, "<i8", m, 4), counts))
-            sizes.append(np.repeat(np.frombuffer(p, "<u4", m, 4 + 8 * m), counts))
-            tokens.append(np.frombuffer(p, "<u8", total, 4 + 16 * m))
-            dfs.append(np.frombuffer(p, "<u4", total, 4 + 16 * m + 8 * total))
+            n = len(p) // 12
+            owners.append(np.frombuffer(p, "<u2", n))
+            dfs.append(np.frombuffer(p, "<u2", n, 2 * n))
+            tokens.append(np.frombuffer(p, "<u8", n, 4 * n))
         if tokens:
-            c, n, token, df = map(np.concatenate, (ids, sizes, tokens, dfs))
-            order = np.lexsort((token, df, c))
-            c, n, token = c[order], n[order], token[order].view(np.int64)
-            for head, lo, hi in zip(*runs(c), strict=True):
-                size, shared = int(n[lo]), int(hi - lo)
-                need = -(-per_cent * size // 100)
-                if shared >= need:
-                    out.append((None, size, int(head), token[lo:hi], shared - need + 1))
+            owner, df, token = map(np.concatenate, (owners, dfs, tokens))
+            enough = 100 * np.bincount(owner, minlength=m) >= per_cent * table[:, 1]
+            mine = enough[owner]
+            owner, df, token = owner[mine], df[mine], token[mine]
+            order = np.lexsort((token, df, owner))
+            owner, token = owner[order], token[order].view(np.int64)
+            for at, lo, hi in zip(*runs(owner), strict=True):
+                c, n = table[at].tolist()
+                out.append((None, n, c, token[lo:hi], int(hi - lo) - -(-per_cent * n // 100) + 1))
         return pd.DataFrame(out, columns=["doc_id", "n", "c", "toks", "k"]).astype({"doc_id": "Int64", "k": "Int64"})
 
-    packed = "bucket long, kind int, payload binary"
+    packed = "key long, kind int, payload binary"
     return (docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(deal, packed)
-            .groupBy("bucket").applyInPandas(count, packed)
-            .groupBy("bucket").applyInPandas(gather, "doc_id long, n long, c long, toks array<long>, k int"))
+            .groupBy("key").applyInPandas(count, packed)
+            .groupBy("key").applyInPandas(gather, "doc_id long, n long, c long, toks array<long>, k int"))
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +253,7 @@ def verified(pairs: DataFrame, sets: DataFrame, folder: str, name: str, per_cent
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     dealt = rows.repartition(F.col("a"), F.col("block")).sortWithinPartitions("a", "block", "kind")
-    return stored(dealt.mapInArrow(walk, "u long, v long"), folder, f"{name}-links")
+    return stored(few_tasks(dealt).mapInArrow(walk, "u long, v long"), folder, f"{name}-links")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, per_cent: int = PER_CENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -267,28 +261,46 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     folder = scratch(docs.sparkSession)
     rows = stored(class_rows(docs, text, doc_id, words, per_cent), folder, "classes")
     members = rows.where("toks is null").select("doc_id", "n", "c")
-    sets = rows.where("toks is not null").select("c", "n", "toks", "k")
+    sets = rows.where("toks is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("toks").alias("toks"), F.first("k").alias("k"))
+    sets = stored(sets, folder, "sets")
     lists = stored(sets.select("c", "n", F.size("toks").alias("s"), F.posexplode(F.slice("toks", F.lit(1), F.col("k"))).alias("pos", "tok")), folder, "prefixes")
     hubs = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("h0"), F.max("c").alias("h1")).where("m > 1")
     met = join_hot(lists, hubs, ["tok"], "m", lists.count()).where("m is not null")
     near = met.groupBy("c").agg(F.mode("h0").alias("h0"), F.mode("h1").alias("h1"))
     pairs = near.select(F.explode(F.array_distinct(F.array("h0", "h1"))).alias("a"), F.col("c").alias("b")).where("a <> b")
     first = verified(pairs, sets, folder, "hubs", per_cent)
-    roots = components(first, folder, "first")
-    # what is left: pairs of classes that meet in a list and aren't joined yet
-    rooted = lists.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    shares = rooted.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("m"))
-    split = shares.groupBy("tok").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", "m").alias("major"), F.sum("m").alias("m")).where("parts > 1")
-    open_ = stored(join_hot(rooted, split, ["tok"], "m", lists.count()).where("m is not null"), folder, "open")
+    # labels: two classes with one label are joined by links; classes without a link have none
+    label = first.select("u", "v").union(first.select("v", "u")).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("c"), F.least("u", "v").alias("root"))
+    up = label.select(F.col("c").alias("root"), F.col("root").alias("top"))
+    label = stored(label.join(up, "root", "left").select("c", F.coalesce("top", "root").alias("root")), folder, "labels")
+    links, entries = first, lists.count()
+    open_, pairs = open_lists(lists, label, entries, folder, "open-1")
+    if pairs > EASY * entries:
+        # more members of the largest part of each list
+        hubs = open_.where("root = major").groupBy("tok", "m").agg(F.array(*[F.min_by("c", F.xxhash64("c", F.lit(j))) for j in range(PARTNERS)]).alias("hubs"))
+        met = join_hot(open_.where("root <> major").select("c", "tok"), hubs, ["tok"], "m", entries).where("m is not null")
+        near = met.groupBy("c").agg(F.slice(F.array_distinct(F.flatten(F.collect_list("hubs"))), 1, PARTNERS).alias("hubs"))
+        more = verified(near.select(F.explode("hubs").alias("a"), F.col("c").alias("b")), sets, folder, "more", per_cent)
+        links = links.union(more)
+        moved = more.select(F.col("u").alias("c"), "v").join(label.select("c", F.col("root").alias("own")), "c", "left").groupBy("v").agg(F.min(F.coalesce("own", "c")).alias("to")).withColumnRenamed("v", "c")
+        label = label.join(moved, "c", "full_outer").select("c", F.coalesce("to", "root").alias("root"))
+        open_, _ = open_lists(lists, label, entries, folder, "open-2")
     rest = open_.alias("q").where("root <> major").join(open_.alias("l"), "tok").where(
         f"q.root <> l.root and (l.root = l.major or q.c < l.c) and 100 * least(q.n, l.n) >= {per_cent} * greatest(q.n, l.n) "
         f"and {100 + per_cent} * least(q.s - q.pos, l.s - l.pos) >= {per_cent} * (q.n + l.n)")
-    pairs = rest.select(F.col("l.c").alias("a"), F.col("q.c").alias("b")).distinct()
-    second = verified(pairs, sets, folder, "rest", per_cent)
-    if not second.isEmpty():
-        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second)
-        return members, first.union(second), components(links, folder, "second")
-    return members, first, roots
+    last = verified(rest.select(F.col("l.c").alias("a"), F.col("q.c").alias("b")).distinct(), sets, folder, "rest", per_cent)
+    links = links.union(last)
+    return members, links, components(links, folder, "groups")
+
+
+def open_lists(lists: DataFrame, label: DataFrame, entries: int, folder: str, name: str) -> tuple[DataFrame, float]:
+    """The lists whose classes have more than one label, with each list's largest label, and a bound on their open pairs."""
+    rooted = lists.join(label, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    shares = rooted.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("part"))
+    split = shares.groupBy("tok").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", "part").alias("major"), F.sum("part").alias("m"), F.max("part").alias("most")).where("parts > 1")
+    split = stored(split.select("tok", "major", "m", "most"), folder, f"{name}-split")
+    pairs = split.agg(F.sum((F.col("m") - F.col("most")).cast("double") * F.col("m"))).first()[0] or 0
+    return stored(join_hot(rooted, split, ["tok"], "m", entries).where("m is not null"), folder, name), pairs
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
