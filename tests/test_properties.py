@@ -1,0 +1,27 @@
+"""Differences and merges of random tables against plain dictionaries."""
+
+from __future__ import annotations
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tidemark.operators import apply, diff
+
+SHAPE = "k long, a string, b double"
+VALUES = st.tuples(st.one_of(st.none(), st.sampled_from(["", "x", "s:x", "\x01NULL", "a\x1eb="])), st.one_of(st.none(), st.sampled_from([0.0, 1.5, -2.0])))
+TABLE = st.dictionaries(st.integers(0, 12), VALUES, max_size=8)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(source=TABLE, target=TABLE)
+def test_random_tables(spark, source, target):
+    make = lambda t: spark.createDataFrame([(k, *v) for k, v in t.items()], SHAPE)
+    s, t = make(source), make(target)
+    got = {r.k: r.change_type for r in diff.row_diff(s, t, ["k"]).collect()}
+    expected = {k: "insert" for k in source.keys() - target.keys()} | {k: "delete" for k in target.keys() - source.keys()} | {k: "update" for k in source.keys() & target.keys() if source[k] != target[k]}
+    assert got == expected
+    table = lambda df: {r.k: (r.a, r.b) for r in df.collect()}
+    assert table(apply.merged(s, t, ["k"])) == target | source
+    assert table(apply.merged(s, t, ["k"], True)) == source
+    cells = {(r.k, r.column) for r in diff.changed_cells(s, t, ["k"]).collect()}
+    assert cells == {(k, c) for k, change in expected.items() if change == "update" for c, x, y in zip("ab", source[k], target[k], strict=True) if x != y}
