@@ -57,7 +57,7 @@ def test_scripts_narrow_candidates(spark, docs):
 
 
 def test_nulls_and_texts_without_letters(docs, model):
-    df = docs([(1, None), (2, ""), (3, "12 34 !! …"), (None, "Is and the of the was"), (5, "the of and " * 60_000), (5, "x")]).withColumnRenamed("source", "score2")
+    df = docs([(1, None), (2, ""), (3, "12 34 !! …"), (None, "Is and the of the was"), (5, "the of and " * 60_000), (5, "x")]).withColumnRenamed("source", "score")
     out = language.predict(df, model).collect()
     assert sorted(r.lang_pred for r in out if r.doc_id in (1, 2, 3)) == ["und"] * 3 and all(r.score == 0 for r in out if r.lang_pred == "und")
     assert [r.held_out for r in out if r.doc_id is None] == [False]

@@ -58,7 +58,7 @@ def test_probabilities_are_calibrated():
 
 
 def test_nulls_missing_labels_and_columns(spark, docs):
-    df = docs([(1, None), (None, ""), (3, "w " * 20), (4, " ".join(map(str, range(30)))), (5, "long " * 50_000)]).withColumnRenamed("source", "kept2")
+    df = docs([(1, None), (None, ""), (3, "w " * 20), (4, " ".join(map(str, range(30)))), (5, "long " * 50_000)]).withColumnRenamed("source", "kept")
     none = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.train(df, none) is None
     out = {r.doc_id: r for r in quality.score(df, None).collect()}

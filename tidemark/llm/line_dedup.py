@@ -112,7 +112,7 @@ def shared_lines(batches: Iterable[DataFrame], spark: SparkSession, text: str =
 
 
 def drop_shared_lines(docs: DataFrame, shared: DataFrame, total: int, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with `text` cut down to the lines that stay, and n_lines, n_dropped.
+    """docs with `text` cut down to the lines that stay, and n_lines, n_dropped (in place of columns with these names).
 
     Only (row, key) pairs and the few hashes that go are shuffled by key; a key in more than one pair of 10,000 is looked up by
     broadcast (never more than 10,000 of those). Texts are shuffled once, by row, to meet their lists of dropped hashes.
@@ -131,7 +131,7 @@ def drop_shared_lines(docs: DataFrame, shared: DataFrame, total: int, text: str
     kept = F.when(F.col("_g1").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~goes(i)))
     rows = rows.withColumn("_kept", kept)
     return rows.select(
-        *[F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
     )

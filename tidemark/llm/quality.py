@@ -162,9 +162,9 @@ def scorer(model: np.ndarray | None) -> Callable[[bytes, np.ndarray], float]:
 
 
 def score(docs: DataFrame, model: np.ndarray | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without its text, with the base counts, base_failed, probability and kept."""
+    """docs without its text, with the base counts, base_failed, probability and kept, which take the place of columns with these names."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != text]
+    rest = [f for f in docs.schema.fields if f.name not in (text, *STATS, "base_failed", "probability", "kept")]
     out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], *[f"{s} long" for s in STATS], "base_failed boolean, probability double, kept boolean"])
     names = [*[f.name for f in rest], *STATS, "base_failed", "probability", "kept"]
 
