@@ -6,7 +6,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import ngram_join
+from tests.compare import connect, duck_rows, spark_rows
+from tidemark.llm import ngram_join, queries
 from tidemark.llm.components import components
 
 
@@ -71,6 +72,12 @@ def test_against_brute_force(docs):
     assert found(ngram_join.groups(docs(rows))) == brute(rows)
 
 
+def test_against_sql(spark, sf_dir):
+    names, expected = duck_rows(connect(sf_dir), queries.oracle_sql()["op6_ngram_join"])
+    df = queries.queries()["op6_ngram_join"](spark, sf_dir)
+    assert sorted(df.columns) == names and spark_rows(df) == expected
+
+
 def test_large_group_of_near_copies(docs):
     r = random.Random(2)
     base = words(r, 90, 10**6)
