@@ -21,7 +21,7 @@ ODD = ["", " ", "  a  b\n\n c", "x   y", "don't  DON'T 's", "<|endoftext|> a <|e
 def both(request):
     with open(public_tokenizers.path(request.param), "rb") as f:
         data = f.read()
-    return tokens.PieceEncoder(data, 5000), Tokenizer.from_buffer(data)
+    return tokens.encoder(data, 5000), Tokenizer.from_buffer(data)
 
 
 @pytest.fixture(scope="module")
@@ -47,12 +47,24 @@ def mixed(n, seed=1):
 
 def test_pieces_have_the_ids_of_the_whole(both, corpus):
     encode, tokenizer = both
-    texts = ODD + mixed(300) + [r.text for r in corpus.collect()]
+    texts = ODD + mixed(1000) + [r.text for r in corpus.collect()]
     for t, got in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == ids(tokenizer, t), t[:60]
     assert encode([None]) == [b""]
 
 
+def test_kinds_of_files():
+    def read(name):
+        with open(public_tokenizers.path(name), "rb") as f:
+            return f.read()
+
+    assert isinstance(tokens.encoder(read("word_bpe_49k.json")), tokens.WordEncoder) and tokens.byte_encoder(read("word_bpe_49k.json")) is None
+    data = read("byte_bpe_50k.json")
+    texts = ODD + mixed(50)
+    assert tokens.byte_encoder(data)(texts) == tokens.library_encoder(data)(texts)
+    assert tokens.byte_encoder(data.replace(b'"add_prefix_space":false', b'"add_prefix_space":true').replace(b'"add_prefix_space": false', b'"add_prefix_space": true')) is None
+
+
 def test_transducer_and_decoder(model, library, corpus):
     encoder, decoder = bpe.Encoder(model), bpe.Decoder(model)
     for t in ODD + mixed(400) + [r.text for r in corpus.limit(60).collect()]:

@@ -25,25 +25,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .tokens import shipped
+from .tokens import PATTERN, byte_names, shipped
 
-#: The pattern of the byte-level pre-tokenizer (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What goes on in a word of each kind, by the kind of its last character.
 RUNS = ((regex.compile(r"\p{L}"), regex.compile(r"\p{L}*")), (regex.compile(r"\p{N}"), regex.compile(r"\p{N}*")), (regex.compile(r"\s"), regex.compile(r"\s*")), (regex.compile(r"."), regex.compile(r"[^\s\p{L}\p{N}]*")))
 CHUNK, HOLD, CACHE, SHORT = 1 << 16, 512, 1_000_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_names() -> dict[str, int]:
-    """The printable character that stands for each byte in a vocabulary file."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    names = {chr(b): b for b in shown}
-    for k, b in enumerate(b for b in range(256) if b not in set(shown)):
-        names[chr(256 + k)] = b
-    return names
-
-
 def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes after a token that settle it: the heaviest chain of merges, each with the one before at its right part's left edge."""
     left: dict[bytes, bytes] = {}  # a token's left part
