@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, language, ngram_join, packing, quality
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import bounded_batches, scratch, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts of which no language holds half."""
+    bounded_batches(spark)
     return language.keep_known(docs, language.train(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what fails the base rules or the classifier, trained on the labelled rows among these documents."""
+    bounded_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -29,11 +31,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked texts the smallest doc_id stays."""
+    bounded_batches(spark)
     return ngram_join.near_dedup(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents by sequence."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +91,32 @@ def mark_survivors(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits:
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     hit = F.expr("cast(_bit % 8 as int)")
     return looked.withColumn(flag, F.coalesce(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_piece", "_bit", "_bits")
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many documents in an Arrow batch of this session: batches lie outside the heap, in the executor and in its Python workers."""
+    if int(spark.conf.get(BATCH)) > rows or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, str(rows))
+
+
+def give_back() -> None:
+    """Memory that a Python worker has freed but still holds goes back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(f: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """f, which gives memory back at its end."""
+
+    @wraps(f)
+    def run(batches: Iterable) -> Iterator:
+        yield from f(batches)
+        give_back()
+
+    return run

@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PER_LANG, BITS, SWITCH, GROUP = 600, 15, 12.0, 2048
-CACHE = 500_000  #: words whose scores a worker keeps
+from .common import tidy
+
+PER_LANG, BITS, SWITCH, GROUP = 600, 15, 12.0, 1024
+CACHE = 200_000  #: words whose scores a worker keeps
 #: Starts of script ranges and the script from there on (fixed values; blocks of the Unicode standard).
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "indic"), (0x0E00, "thai"),
@@ -154,6 +156,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     ids = ids.withColumn("_rank", F.row_number().over(W.partitionBy("_lang").orderBy("_hash", "_key"))).where(F.col("_rank") <= per_lang)
     rows = mine.select(doc_id, text, lang).join(F.broadcast(ids.select("_key").distinct()), F.col(doc_id) == F.col("_key")).select(lang, text)
 
+    @tidy
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each language and part: numbers of hashed n-grams, and of words by script."""
         found: dict[str, np.ndarray] = {}
@@ -220,6 +223,7 @@ def predict(docs: DataFrame, model: tuple | None, text: str = "text", doc_id: st
     schema = SCHEMA + ", spans array<struct<lang:string,start:int,words:int>>" * spans
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(*known.value) if known.value else None
         for batch in batches:
@@ -242,6 +246,7 @@ def keep_known(docs: DataFrame, model: tuple | None, text: str = "text", least:
     """The rows of docs with a language that holds at least this share of their letters, with their columns."""
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(*known.value) if known.value else None
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_tasks, join_hot, scratch
+from .common import few_tasks, give_back, join_hot, scratch, tidy
 from .common import stored_compact as stored
 from .components import components
 
@@ -101,13 +101,14 @@ def class_rows(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: in
     """Steps 1 and 2: a row (doc_id, n, c) for each document, and a row (c, n, toks, k) for each set that may have a link.
 
     A task packs its documents into flushes; within a flush equal sets are one. A bucket of shingles answers each flush with those of its
-    shingles that are in another set too, and in how many; so a shingle travels once with two bytes that name its set in the flush.
+    shingles that are in another set too, and in how many; so a shingle travels once, in six bytes and two that name its set in the flush.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     names, kinds = ["key", "kind", "payload"], (pa.int64(), pa.int32(), pa.binary())
 
+    @tidy
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, seen, count, turn = [], [], set(), 0, 0
         part = TaskContext.get().partitionId()
@@ -124,7 +125,9 @@ def class_rows(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: in
                 order = np.argsort(bucket, kind="stable")
                 tokens, owner = tokens[order], owner[order]
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
-                out += [(b, 1, head + owner[lo:hi].tobytes() + tokens[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+                # six bytes of a shingle: with its bucket they tell shingles apart as well as 64 bits do sets of this size
+                short = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                out += [(b, 1, head + owner[lo:hi].tobytes() + short[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
         for batch in batches:
@@ -148,10 +151,12 @@ def class_rows(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: in
         out = [(struct.unpack_from("<q", p)[0], 0, p) for p in rows.payload[rows.kind == 0]]
         flushes, tokens, owners = [], [], []
         for p in rows.payload[rows.kind == 1]:
-            m = (len(p) - 8) // 10
+            m = (len(p) - 8) // 8
             flushes.append(struct.unpack_from("<q", p)[0])
             owners.append(np.frombuffer(p, "<u2", m, 8))
-            tokens.append(np.frombuffer(p, "<u8", m, 8 + 2 * m))
+            whole = np.zeros((m, 8), np.uint8)
+            whole[:, :6] = np.frombuffer(p, np.uint8, 6 * m, 8 + 2 * m).reshape(m, 6)
+            tokens.append(whole.view("<u8").ravel() | np.uint64((int(key[0]) & 0x7FFF) << 48))
         if tokens:
             token = np.concatenate(tokens)
             order = np.argsort(token).astype(np.uint32)
@@ -168,6 +173,7 @@ def class_rows(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: in
                 if lo < hi:
                     at = order[lo:hi]
                     out.append((name, 1, owner[at].tobytes() + df[lo:hi].tobytes() + token[at].tobytes()))
+        give_back()
         return pd.DataFrame(out, columns=names)
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -226,6 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, folder: str, name: str, per_cent
     hubs = degree.select("a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).join(body.withColumnRenamed("b", "a"), "a")
     rows = members.unionByName(hubs.select("a", "block", F.lit(0).alias("kind"), F.col("a").alias("c"), "n", "toks"))
 
+    @tidy
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, at, members = None, None, []
 
@@ -315,7 +322,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
-    """The rows of docs that are the smallest id of their component; of rows with that id one stays, and all rows with a null id."""
+    """The rows of docs that are the smallest id of their component; rows that repeat that id stay together (exact
+    dedup tells them apart), and so do rows with a null id."""
     found = groups(docs, text, doc_id, words, per_cent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti")

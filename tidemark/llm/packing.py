@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .tokens import shipped, worker_encoder
 
 CAPACITY, END = 2048, 1
@@ -150,6 +151,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
             arrays.append(pa.array([p[2].astype(np.int32) for p in pieces], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, [*names, "ids"] if with_ids else names)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = worker_encoder(data.value), Packer(capacity)
         base, out = TaskContext.get().partitionId() << 40, []

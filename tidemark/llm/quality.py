@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SAMPLE = 4000  #: labelled rows for training, at most
 WORD_BITS, CHAR_BITS = 12, 12
 THRESHOLD = 0.5  #: of the probability that a text is good
@@ -124,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     ids = ids.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(sample).withColumnRenamed("doc_id", "_key")
     rows = docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_key")).select("_label", text, doc_id)
 
+    @tidy
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(*statistics(t.as_py())[1:]).astype(np.float16).tobytes() for t in batch.column(1)]
@@ -168,6 +171,7 @@ def score(docs: DataFrame, model: np.ndarray | None, text: str = "text", thresho
     out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], *[f"{s} long" for s in STATS], "base_failed boolean, probability double, kept boolean"])
     names = [*[f.name for f in rest], *STATS, "base_failed", "probability", "kept"]
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = scorer(known.value)
         for batch in batches:
@@ -188,6 +192,7 @@ def keep_good(docs: DataFrame, model: np.ndarray | None, text: str = "text", thr
     """The rows of docs that pass, with their columns."""
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = scorer(known.value)
         for batch in batches:
