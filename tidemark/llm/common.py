@@ -64,15 +64,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     """Left join of left with right, which has one row a key and the number of left rows of that key in `weight`.
 
     Hot keys (more than one row in HOT) are at most HOT rows of right, whatever the input, and are broadcast; left rows of
-    such keys get a random salt, so they spread evenly over the shuffle that looks up all other keys. keys aren't null.
+    such keys get a hash of their own as a second key, so they spread evenly over the shuffle that looks up all other keys (there
+    the second key is the hash of the first). total is the number of left rows, or more. keys aren't null.
     """
     values = [c for c in right.columns if c not in keys]
     hot = F.col(weight) * F.lit(HOT) > F.lit(int(total))
     heavy = right.where(hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_is_hot"))
-    light = right.where(~hot).withColumn("_salt", F.lit(0))
-    # the salt follows from the row, so a task that runs again deals its rows the same way
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if dict(left.dtypes)[c] in ("bigint", "int", "string", "date", "timestamp")] or [F.lit(0)]), F.lit(4096)).cast("int")
-    marked = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_is_hot"), 1 + spread).otherwise(F.lit(0)))
+    light = right.where(~hot).withColumn("_salt", F.xxhash64(*keys))
+    # the spread follows from the row, so a task that runs again deals its rows the same way
+    plain = [c for c, kind in left.dtypes if kind in ("bigint", "int", "string", "date", "timestamp")]
+    marked = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_is_hot"), F.xxhash64(F.lit("spread"), *plain)).otherwise(F.xxhash64(*keys)))
     both = marked.join(light, [*keys, "_salt"], "left")
     return both.select(*[F.col(c) for c in left.columns], *[F.when(F.col("_is_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
