@@ -315,9 +315,10 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     members, _, roots = classes(docs, text, doc_id, words, per_cent)
     sized = members.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
     rooted = sized.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    right = rooted.join(best, "root").select("c", "m", "component_id")
-    out = join_hot(members, right, ["c"], "m", members.count())
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("w"))
+    total = members.count()
+    right = join_hot(rooted, best, ["root"], "w", total).select("c", "m", "component_id")
+    out = join_hot(members, right, ["c"], "m", total)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
