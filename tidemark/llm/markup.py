@@ -12,6 +12,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre "
     "section select summary table tbody td tfoot th thead tr ul".split()
@@ -20,6 +21,8 @@ BLOCK = frozenset(
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HOLDS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main nav ol section table td th ul".split())
 ENDS_P = BLOCK - {"br", "option", "body", "html", "head", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "summary", "dt", "dd", "figcaption"}
+#: Every element that a start tag ends.
+CLOSES = {name: ENDS.get(name, frozenset()) | (frozenset({"p"}) if name in ENDS_P else frozenset()) for name in {*ENDS, *ENDS_P}}
 
 
 class Block(NamedTuple):
@@ -37,24 +40,31 @@ def signature(name: str, attributes: str) -> str:
 
 
 def blocks(page: str | None) -> Iterator[Block]:
-    page, stack, parts, linked = page or "", [], [], 0  # stack: (name, signature)
-    at, path = 0, ()
+    page, stack, parts, linked, links = page or "", [], [], 0, 0  # stack: (name, signature); links: open a elements
+    at = 0
 
     def flush() -> Iterator[Block]:
         nonlocal parts, linked
+        if not parts:
+            return
         text = " ".join("".join(parts).split())
         if text:
-            yield Block(path, text, linked)
+            yield Block(tuple([s for n, s in stack if n in BLOCK or "." in s]), text, linked)
         parts, linked = [], 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
-            text = html.unescape(raw)
+            text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(name == "a" for name, _ in stack):
+            if links:
                 linked += len(text)
 
+    def close(k: int) -> None:
+        nonlocal links
+        links -= sum(name == "a" for name, _ in stack[k:])
+        del stack[k:]
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -62,37 +72,36 @@ def blocks(page: str | None) -> Iterator[Block]:
             cut = rest.rfind("<")
             add(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]|<\Z", rest[cut:]) else rest[:cut])  # a tag cut off by the end of the page
             break
-        add(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
-        if m[0].startswith("<![CDATA["):
-            continue
         name = (m[2] or "").lower()
         if not name:
             continue
-        if name in BLOCK:
+        if parts and name in BLOCK:
             yield from flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if any(x in BLOCK for x, _ in stack[k:]):
                         yield from flush()
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in HOLDS and name not in HOLDS and name not in ("html", "head"):
                     break
         elif name not in VOID:
-            ends = ENDS.get(name, frozenset()) | (frozenset({"p"}) if name in ENDS_P else frozenset())
-            for k in range(len(stack) - 1, -1, -1):
+            ends = CLOSES.get(name, ())
+            for k in range(len(stack) - 1, -1, -1) if ends else ():
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in HOLDS:
                     break
             if not m[3].endswith("/") or name in BLOCK:
                 if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                    end = RAW_END[name].search(page, at)
                     at = end.end() if end else len(page)
                 else:
                     stack.append((name, signature(name, m[3])))
-        path = tuple(s for n, s in stack if n in BLOCK or "." in s)
+                    links += name == "a"
     yield from flush()
