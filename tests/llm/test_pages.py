@@ -55,6 +55,13 @@ def test_template_finds_the_slot_without_semantic_elements(spark):
     assert sizes["h.example"][0] == 13 and sizes["h.example"][1] >= 4 and sizes["other.example"] == (1, 0)
 
 
+def test_template_text_inside_a_marked_article(spark):
+    page = lambda k: f"<body><article><h1>Head {k} of all</h1><p>Own text {k} one.</p><p>Read our letter every week.</p><div class=box>By the desk of the paper</div><p>Own text {k} two.</p></article></body>"
+    out = extract(spark, [(k, f"http://h.example/{k}", page(k)) for k in range(8)] + [(100, "http://few.example/", page(100))])
+    assert all(out[k] == f"Head {k} of all Own text {k} one. Own text {k} two." for k in range(8))
+    assert "Read our letter" in out[100]
+
+
 def test_broken_markup_and_depth():
     assert [b.text for b in blocks("<p>a<b>b<p>c</b></i>d</div><!-- x")] == ["ab", "cd"]
     assert [b.text for b in blocks("<div>" * 3000 + "deep" + "</div>" * 10)] == ["deep"]

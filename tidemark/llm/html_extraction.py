@@ -4,9 +4,9 @@
    of occurrences; sums of hashes of (page, number) stand for it, so vectors of any length are added up before the shuffle.
 2. Tokens of a host with equal vectors form a class. A class is valid if it has two tokens or more and is on at least SUPPORT per cent of
    the host's pages, LEAST pages or more. Paths nest by themselves; valid classes together are the host's template.
-3. A page's blocks fall into the slots between template elements. A block whose very text belongs to the template is boilerplate, and so is one
-   inside an element for menus, headers, footers, sidebars, notices, adverts, forms or comments. If the page marks its article, what is
-   left in there is the text; else it is what is left in the slots with the most running text.
+3. A page's blocks fall into the slots between template elements. A block whose very text belongs to the template is boilerplate, inside a marked
+   article too, and so is one inside an element for menus, headers, footers, sidebars, notices, adverts, forms or comments. If the page
+   marks its article, what is left in there is the text; else it is what is left in the slots with the most running text.
 
 Defined results: null and empty pages, and pages without main text, give an empty text; a null address is a host of its own; hosts with
 few pages have no template and rely on the elements; repeated pages count once for the template and are extracted each.
@@ -114,9 +114,9 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html", support: i
 
 def main_text(found: list[Block], template: frozenset[int]) -> str:
     left = [b for b in found if text_token(b) not in template and not is_boilerplate(b.path)]
-    inside = [b for b in found if is_main(b.path) and not is_boilerplate(b.path)]
+    inside = [b for b in left if is_main(b.path)]
     if inside:
-        # the article is marked: its own text stays even where other pages repeat it
+        # the article is marked: the mark chooses the slots, the template has its say inside them too
         return " ".join(b.text for b in inside)
     slots: dict[tuple[str, ...], int] = {}
 
