@@ -62,6 +62,19 @@ def test_template_text_inside_a_marked_article(spark):
     assert "Read our letter" in out[100]
 
 
+def test_the_slot_keeps_headlines_lists_and_links(spark):
+    def page(k):
+        teasers = "".join(f"<a href=/{k}{j}>See page {k} {j}</a><br>" for j in range(3))
+        return f"""<body><div class=top>The Daily Page</div><div class=txt><h1>Head {k}</h1><p>{f"long{k} text " * 90}</p><p>Short {k}.</p><ul><li>item a {k}<li>item b {k}</ul><blockquote>Quote {k}</blockquote>
+        <p><a href=/{k}>All of this paragraph {k} is a link</a></p><div class=part><p>Last {k}</p></div></div><div class=more>{teasers}</div></body>"""
+
+    text = lambda k: " ".join(f"Head {k} {f'long{k} text ' * 90} Short {k}. item a {k} item b {k} Quote {k} All of this paragraph {k} is a link Last {k}".split())
+    out = extract(spark, [(k, f"http://h.example/{k}", page(k)) for k in range(8)] + [(100, "http://few.example/", page(100))])
+    assert all(out[k] == text(k) for k in (*range(8), 100))
+    (only,) = extract(spark, [(1, "http://a.example", f"<div class=txt><div class=lead>Short lead</div><div class=all>{'word ' * 90}</div><ul><li>item</ul></div>")]).values()
+    assert only.startswith("Short lead word") and only.endswith("word item")
+
+
 def test_broken_markup_and_depth():
     assert [b.text for b in blocks("<p>a<b>b<p>c</b></i>d</div><!-- x")] == ["ab", "cd"]
     assert [b.text for b in blocks("<div>" * 3000 + "deep" + "</div>" * 10)] == ["deep"]

@@ -6,15 +6,17 @@
    the host's pages, LEAST pages or more. Paths nest by themselves; valid classes together are the host's template.
 3. A page's blocks fall into the slots between template elements. A block whose very text belongs to the template is boilerplate, inside a marked
    article too, and so is one inside an element for menus, headers, footers, sidebars, notices, adverts, forms or comments. If the page
-   marks its article, what is left in there is the text; else it is what is left in the slots with the most running text.
+   marks its article, what is left in there is the text; else it is all that is left in the slot around the page's running text, in page
+   order: headlines, lists, short and linked paragraphs too.
 
-Defined results: null and empty pages, and pages without main text, give an empty text; a null address is a host of its own; hosts with
+Defined results: null and empty pages, and pages without main text (all of it links, or boilerplate), give an empty text; a null address is a host of its own; hosts with
 few pages have no template and rely on the elements; repeated pages count once for the template and are extracted each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,6 +37,9 @@ MARKS = frozenset(
 )
 MAIN = frozenset("article main".split())
 MAIN_MARKS = frozenset("main article content post entry story articlebody".split())
+#: Elements that are parts of a text and so never a slot, those of them whose text is running, and the length from which any other block's is.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl dir li dt dd blockquote pre figure figcaption address details summary header".split())
+PROSE, RUNNING = frozenset("p h1 blockquote pre li dd".split()), 80
 
 
 def host(url: str) -> Column:
@@ -112,27 +117,33 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html", support: i
     return sizes.join(known, "host", "left").select("host", "n_pages", F.coalesce("tokens", F.expr("cast(array() as array<bigint>)")).alias("tokens"))
 
 
+def running(found: list[Block]) -> list[Block]:
+    """Blocks of running text: paragraphs, headlines, list items and long blocks that aren't links for the most part; where there are none, all that aren't links."""
+    own = [b for b in found if 2 * b.linked <= len(b.text)]
+    return [b for b in own if len(b.text) - b.linked >= RUNNING or any(s.partition(".")[0] in PROSE for s in b.path)] or own
+
+
+def slot(found: list[Block], template: frozenset[int]) -> tuple[str, ...] | None:
+    """The innermost element around all running text, or the template's element around that one; None without running text."""
+    paths = [b.path for b in running(found)]
+    if not paths:
+        return None
+    n = Counter(paths)
+    # an element that holds a single block directly is a part of the text, as those of TEXT are
+    paths = [p[: next((k for k, s in enumerate(p) if s.partition(".")[0] in TEXT), len(p) - (n[p] == 1 and len(p) > 0))] for p in n]
+    low, high = min(paths), max(paths)
+    top = low[: next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))]
+    return next((top[:k] for k in range(len(top), 0, -1) if path_token(top[:k]) in template), top)
+
+
 def main_text(found: list[Block], template: frozenset[int]) -> str:
     left = [b for b in found if text_token(b) not in template and not is_boilerplate(b.path)]
     inside = [b for b in left if is_main(b.path)]
     if inside:
         # the article is marked: the mark chooses the slots, the template has its say inside them too
         return " ".join(b.text for b in inside)
-    slots: dict[tuple[str, ...], int] = {}
-
-    def slot(b: Block) -> tuple[str, ...]:
-        """The innermost template element around a block; without a template, the element that holds it."""
-        if template:
-            for k in range(len(b.path), 0, -1):
-                if path_token(b.path[:k]) in template:
-                    return b.path[:k]
-        return b.path[:-1]
-
-    for b in left:
-        if 2 * b.linked <= len(b.text):
-            slots[slot(b)] = slots.get(slot(b), 0) + len(b.text)
-    best = max(slots.values(), default=0)
-    return " ".join(b.text for b in left if 4 * slots.get(slot(b), 0) >= best and 2 * b.linked <= len(b.text)) if best else ""
+    top = slot(left, template)
+    return "" if top is None else " ".join(b.text for b in left if b.path[: len(top)] == top)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", support: int = SUPPORT, least: int = LEAST) -> DataFrame:
