@@ -75,6 +75,24 @@ def test_the_slot_keeps_headlines_lists_and_links(spark):
     assert only.startswith("Short lead word") and only.endswith("word item")
 
 
+WRAPS = ["form id=aspnetForm", "div class='layout sidebar-right'", "div id=page class=has-sidebar", "div class=search-page", "form id=f><div class='layout sidebar-right'"]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+@pytest.mark.parametrize("slot", ["article", "main", "div class=txt"])
+def test_marks_around_the_main_slot_do_not_count(spark, wrap, slot):
+    text = " ".join(f"word{j}" for j in range(60))
+    name = slot.split()[0]
+    inner = f"<div class=sidebar><p>Side text</p></div><{slot}><h1>Head</h1><p>{text}</p><form><p>Log in here</p></form><section class=comments><p>First!</p></section></{name}><footer><p>At the foot</p></footer>"
+    page = f"<body><header><p>Site</p></header><nav><a href=/>menu</a></nav><{wrap}>{inner}</div></div></form></body>"
+    comments = f"<body><{wrap}><{slot}><p>{text}</p></{name}><section class=comments><article class=comment><p>{'much said ' * 200}</p></article></section></div></div></form></body>"
+    rows = [(k, f"http://h.example/{k}", page.replace("word", f"w{k}x")) for k in range(6)] + [(7, "http://a.example", page), (8, "http://b.example", comments), (9, "http://c.example", page.replace(f"<{wrap}>", f"<p>3 May</p><{wrap}>"))]
+    out = extract(spark, rows)
+    want = f"Head {text}"
+    assert out[7] == want and out[8] == text and out[9].endswith(want)
+    assert all(out[k].endswith(text.replace("word", f"w{k}x")) and "Side" not in out[k] for k in range(6))
+
+
 def test_broken_markup_and_depth():
     assert [b.text for b in blocks("<p>a<b>b<p>c</b></i>d</div><!-- x")] == ["ab", "cd"]
     assert [b.text for b in blocks("<div>" * 3000 + "deep" + "</div>" * 10)] == ["deep"]

@@ -7,7 +7,8 @@
 3. A page's blocks fall into the slots between template elements. A block whose very text belongs to the template is boilerplate, inside a marked
    article too, and so is one inside an element for menus, headers, footers, sidebars, notices, adverts, forms or comments. If the page
    marks its article, what is left in there is the text; else it is all that is left in the slot around the page's running text, in page
-   order: headlines, lists, short and linked paragraphs too.
+   order: headlines, lists, short and linked paragraphs too. Elements around the main slot itself (a form or a sidebar layout that wraps the page)
+   don't count as boilerplate.
 
 Defined results: null and empty pages, and pages without main text (all of it links, or boilerplate), give an empty text; a null address is a host of its own; hosts with
 few pages have no template and rely on the elements; repeated pages count once for the template and are extracted each.
@@ -35,6 +36,10 @@ MARKS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion sidebar side aside widget widgets menu menus nav navbar navigation topbar breadcrumb breadcrumbs pagination pager share sharing social footer masthead toolbar "
     "related recommended recommendations trending popular search searchbox skip legal copyright disclaimer complementary contentinfo".split()
 )
+#: Of these, the elements and words that whole pages are wrapped in as well; and starts of classes that say what an element has, not what it is.
+AROUND = frozenset("form fieldset object template dialog".split())
+LAYOUT = frozenset("sidebar side aside widget widgets menu menus nav navbar navigation topbar toolbar search searchbox skip login modal overlay".split()) & MARKS
+HAS = ("has-", "with-", "no-", "without-")
 MAIN = frozenset("article main".split())
 MAIN_MARKS = frozenset("main article content post entry story articlebody".split())
 #: Elements that are parts of a text and so never a slot, those of them whose text is running, and the length from which any other block's is.
@@ -48,19 +53,57 @@ def host(url: str) -> Column:
 
 def marks(signature: str) -> frozenset[str]:
     """The words of a signature's classes, ids and roles."""
-    return frozenset(w for w in re.split(r"[^a-z]+", signature.partition(".")[2]) if w)
-
-
-def is_boilerplate(path: tuple[str, ...]) -> bool:
-    inside = False
-    for s in path:
-        name = s.partition(".")[0]
-        if name in ASIDE or (name == "header" and not inside):
-            return True
-        if name not in ("html", "body", "main", "article") and marks(s) & MARKS:
-            return True
-        inside = inside or name in MAIN
-    return False
+    return frozenset(w for x in signature.split(".")[1:] if not x.startswith(HAS) for w in re.split(r"[^a-z]+", x) if w)
+
+
+def marked(path: tuple[str, ...]) -> tuple[tuple[str, ...], ...] | None:
+    """The elements around a block (as paths) that may mark boilerplate, outermost first; None inside one that never holds a page's main text.
+
+    Those around the innermost main element don't count."""
+    names = [s.partition(".")[0] for s in path]
+    start = len(names) - names[::-1].index("main") if "main" in names else 0
+    out, inside = [], start > 0
+    for k in range(start, len(path)):
+        if (names[k] in ASIDE and names[k] not in AROUND) or (names[k] == "header" and not inside):
+            return None
+        if names[k] in AROUND or (names[k] not in ("html", "body", "main", "article") and marks(path[k]) & MARKS):
+            out.append(path[: k + 1])
+        inside = inside or names[k] in MAIN
+    return tuple(out)
+
+
+def around(path: tuple[str, ...]) -> bool:
+    """Whether all marks of the element are of a kind that elements around whole pages have as well."""
+    return marks(path[-1]) & MARKS <= LAYOUT
+
+
+def without_boilerplate(found: list[Block]) -> list[Block]:
+    """The blocks that no element marks as boilerplate; marks of the elements around the main slot don't count.
+
+    An element is around it if it has a layout mark only and over half of the page's running text, or if it is around the slot with
+    the fewest marks (of several, a marked article, and then the one with the most running text)."""
+    at = {p: marked(p) for p in {b.path for b in found}}
+    found = [b for b in found if at[b.path] is not None]
+    if not any(at.values()):
+        return found
+    size: dict[tuple[str, ...], int] = {}
+    runs = running(found)
+    for b in runs:
+        for p in at[b.path]:
+            size[p] = size.get(p, 0) + len(b.text) - b.linked
+    total = sum(len(b.text) - b.linked for b in runs)
+    wraps = {p for p, n in size.items() if 2 * n > total and around(p)}
+    slots: dict[tuple, int] = {}
+    for b in runs:
+        left = tuple(p for p in at[b.path] if p not in wraps)
+        main = next((k for k, s in enumerate(b.path) if is_main((s,))), None)
+        above = left if main is None else tuple(p for p in left if len(p) <= main)
+        # text directly in a marked element is that element's own
+        if not (left and (len(left) > len(above) or left[-1] == b.path)):
+            slots[above, main is not None] = slots.get((above, main is not None), 0) + len(b.text) - b.linked
+    if slots:
+        wraps.update(min(slots, key=lambda s: (len(s[0]), not s[1], -slots[s]))[0])
+    return [b for b in found if wraps.issuperset(at[b.path])]
 
 
 def is_main(path: tuple[str, ...]) -> bool:
@@ -137,7 +180,7 @@ def slot(found: list[Block], template: frozenset[int]) -> tuple[str, ...] | None
 
 
 def main_text(found: list[Block], template: frozenset[int]) -> str:
-    left = [b for b in found if text_token(b) not in template and not is_boilerplate(b.path)]
+    left = without_boilerplate([b for b in found if text_token(b) not in template])
     inside = [b for b in left if is_main(b.path)]
     if inside:
         # the article is marked: the mark chooses the slots, the template has its say inside them too
