@@ -56,6 +56,19 @@ def test_scripts_narrow_candidates(spark, docs):
     assert language.script("приветx".encode()) == "cyrillic" and language.script("…".encode()) is None
 
 
+def test_letters_are_code_points(docs):
+    ru, en = docs([(k, "привет мир как дела это текст " * 5) for k in range(12)], "ru"), docs([(100 + k, "hello world this is a text of words " * 5) for k in range(12)], "en")
+    model = language.train(ru.unionByName(en))
+    r = language.predict(docs([(1, "hello " * 11 + "привет… " * 7 + "мир")]), model).first()
+    assert r.lang_pred == "en" and r.score == pytest.approx(0.55)
+
+
+def test_many_languages():
+    scores = np.zeros((3, 300), np.float32)
+    scores[:, 299] = 9
+    assert language.viterbi([scores])[0].tolist() == [299] * 3
+
+
 def test_nulls_and_texts_without_letters(docs, model):
     df = docs([(1, None), (2, ""), (3, "12 34 !! …"), (None, "Is and the of the was"), (5, "the of and " * 60_000), (5, "x")]).withColumnRenamed("source", "score")
     out = language.predict(df, model).collect()

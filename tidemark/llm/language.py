@@ -95,7 +95,7 @@ class Scores:
                 if s is None:
                     rows[k], letters[k] = 0, 0
                 else:
-                    letters[k] = len(w)
+                    letters[k] = len(w) if w.isascii() else sum(map(str.isalpha, w.decode("utf-8", "replace")))
                     if not all(may := self.scripts.get(s, [True] * len(self.langs))) and any(may):
                         rows[k][~np.array(may)] = -1e4
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
@@ -108,16 +108,16 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarra
     """The best labels of each sequence of score rows; all sequences step together, longest first."""
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     lengths = np.array([len(scores[k]) for k in order])
-    out = [np.zeros(len(s), np.int8) for s in scores]
+    out = [np.zeros(len(s), np.int16) for s in scores]
     if not len(lengths) or not lengths[0]:
         return out
     flat = np.concatenate([scores[k] for k in order])
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, lengths[0] + 1))  # sequences with a row t
-    back = np.zeros(flat.shape, np.int8)
+    back = np.zeros(flat.shape, np.int16)
     best = flat[start[: alive[0]]].copy()
     last = np.zeros((len(lengths), flat.shape[1]), np.float32)
-    own = np.arange(flat.shape[1], dtype=np.int8)[None, :]
+    own = np.arange(flat.shape[1], dtype=np.int16)[None, :]
     for t in range(1, lengths[0]):
         n = alive[t]
         if n < len(best):
@@ -129,8 +129,8 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH) -> list[np.ndarra
         back[rows] = np.where(best >= jump, own, top[:, None])
         best = np.maximum(best, jump) + flat[rows]
     last[: len(best)] = best
-    label = last.argmax(1).astype(np.int8)
-    labels = np.zeros(len(flat), np.int8)
+    label = last.argmax(1).astype(np.int16)
+    labels = np.zeros(len(flat), np.int16)
     for t in range(lengths[0] - 1, -1, -1):
         n = alive[t]
         rows = start[:n] + t
@@ -228,7 +228,7 @@ def predict(docs: DataFrame, model: tuple | None, text: str = "text", doc_id: st
         scores = Scores(*known.value) if known.value else None
         for batch in batches:
             for part, texts in _in_groups(batch, 2):
-                found = list(labelled(texts, scores)) if scores else [("und", 0.0, [], np.zeros(0, np.int8)) for _ in texts]
+                found = list(labelled(texts, scores)) if scores else [("und", 0.0, [], np.zeros(0, np.int16)) for _ in texts]
                 cols = [part.column(0).cast(pa.int64()), part.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 if spans:
                     rows = []
