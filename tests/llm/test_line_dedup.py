@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect, duck_rows, spark_rows
 from tidemark.llm import line_dedup, queries
@@ -52,6 +53,16 @@ def test_settled_lines_go_on_counting(spark, docs):
     assert [r.n for r in shared.collect()] == [18] and total == 24
 
 
+def test_batches_keep_filters_and_changes(spark, docs, tmp_path):
+    path = f"{tmp_path}/docs"
+    docs([(k, f"A\nown {k}") for k in range(40)]).repartition(4).write.parquet(path)
+    few = spark.read.parquet(path).where("doc_id < 20").withColumn("text", F.concat("text", F.lit("\nnew")))
+    batches = list(line_dedup.in_batches(few))
+    assert len(batches) == line_dedup.BATCHES == len(list(line_dedup.in_batches(docs([(1, "x")]))))
+    shared, total = line_dedup.shared_lines(batches, spark, min_docs=20)
+    assert [r.n for r in shared.collect()] == [20, 20] and total == 60
+
+
 def test_other_columns_and_empty(spark, docs):
     df = docs([(k, "a\nb") for k in range(3)]).withColumnRenamed("source", "n").withColumnRenamed("n_chars", "n_lines")
     _, out = run(spark, [df], 3)

@@ -93,15 +93,10 @@ class LineRuns:
         return found, total
 
 
-def in_batches(docs: DataFrame, batches: int = BATCHES) -> Iterable[DataFrame]:
-    """docs by groups of its files, each file read once; one batch where it isn't read from several files."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
-        yield docs
-        return
-    n = min(batches, len(files))
-    for k in range(n):
-        yield docs.sparkSession.read.schema(docs.schema).parquet(*files[k::n])
+def in_batches(docs: DataFrame, batches: int = BATCHES, text: str = "text", doc_id: str = "doc_id") -> Iterable[DataFrame]:
+    """docs dealt by a hash of the row, whatever it is read from; docs is read once for each batch."""
+    for k in range(batches):
+        yield docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(batches)) == k)
 
 
 def shared_lines(batches: Iterable[DataFrame], spark: SparkSession, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, int]:
