@@ -104,10 +104,34 @@ def test_rows_that_stay_and_other_columns(docs):
 def test_tree_finds_what_all_pairs_find(per_cent):
     r = np.random.default_rng(3)
     sets = [np.sort(r.choice(60, r.integers(1, 30), replace=False)).astype(np.uint64) for _ in range(80)]
-    tree = ngram_join.Tree(sets, [len(s) for s in sets])
-    for s in sets[:40]:
-        expected = {k for k, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= per_cent * len(np.union1d(s, t))}
-        assert set(tree.linked(s, len(s), per_cent)) == expected
+    sets += [np.arange(100 * k, 100 * k + 90, dtype=np.uint64) for k in (1, 1, 2)] + [np.append(np.arange(100, 185, dtype=np.uint64), np.uint64(9999))]
+    sizes = np.array([len(s) + (k % 3 == 0) for k, s in enumerate(sets)])
+    tree = ngram_join.Tree(sets, sizes)
+    expected = set()
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets):
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= per_cent * (sizes[a] + sizes[b] - both):
+                expected.add((a, b))
+    walked = [(int(a), int(b)) for x, y in tree.walk(sets, sizes, per_cent) for a, b in zip(x, y, strict=True)]
+    assert len(walked) == len(set(walked)) and set(walked) == expected
+
+
+@pytest.mark.parametrize("limits", [ngram_join.Limits(), ngram_join.Limits(8, 1 << 20, 1), ngram_join.Limits(1024, 300, 64), ngram_join.Limits(3, 200, 4)])
+def test_limits_of_blocks_change_no_result(docs, limits):
+    """Hot places cut into blocks, and large places walked block by block, against all pairs."""
+    r = random.Random(4)
+    rows, i = [], 0
+    for n, copies, edits in ((60, 120, 9), (40, 30, 2), (25, 12, 1)):
+        base = words(r, n, 10**6)
+        for _ in range(copies):
+            rows.append((i, " ".join(edited(r, base, r.randrange(0, edits)))))
+            i += 1
+    parts = [words(r, 14, 10**6) for _ in range(6)]
+    for _ in range(80):  # made of common passages, linked here and there
+        rows.append((i, " ".join(w for p in r.sample(parts, 3) for w in p)))
+        i += 1
+    assert found(ngram_join.groups(docs(rows), limits=limits)) == brute(rows)
 
 
 def test_components_of_chains_and_stars(spark, tmp_path):
