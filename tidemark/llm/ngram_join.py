@@ -248,18 +248,22 @@ def nodes_of(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: int)
             if held:
                 tokens = np.concatenate([g for _, g in held])
                 owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(g) for _, g in held])
+                bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
                 order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], tokens[order[1:]] != tokens[order[:-1]]]))
                 times = np.diff(np.append(first, len(tokens)))
-                bucket = ((tokens[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                once, more = times == 1, times > 1
-                local = struct.pack("<I", int(more.sum())) + times[more].astype("<u4").tobytes() + named(tokens[first[more]], bucket[more]).astype("<u8").tobytes() + owner[np.repeat(more, times)].tobytes()
-                one_at, more_at = (np.searchsorted(bucket[x], np.arange(buckets + 1)) for x in (once, more))
-                one_owner, one, many, many_times = owner[first[once]], tokens[first[once]], tokens[first[more]], times[more].astype("<u4")
+                again = np.repeat(times > 1, times)
+                mine, times = order[again], times[times > 1].astype("<u4")
+                many = mine[np.cumsum(times) - times]  # one place of each shingle that the flush has more than once, in the order of the buckets
+                local = struct.pack("<I", len(many)) + times.tobytes() + named(tokens[many], bucket[many]).astype("<u8").tobytes() + owner[mine].tobytes()
+                one = np.sort(order[~again])
+                one = one[np.argsort(bucket[one], kind="stable")]  # in a bucket in the order of their sets, which packs well
+                edges = np.arange(buckets + 1, dtype=np.uint32)
+                one_at, many_at = np.searchsorted(bucket[one], edges), np.searchsorted(bucket[many], edges)
+                one_owner, one_short, many_short = owner[one], six_bytes(tokens[one]), six_bytes(tokens[many])
                 for b in np.unique(bucket).tolist():
-                    lo, hi, low, high = one_at[b], one_at[b + 1], more_at[b], more_at[b + 1]
-                    out.append((b, 1, head + struct.pack("<I", hi - lo) + one_owner[lo:hi].tobytes() + six_bytes(one[lo:hi]) + many_times[low:high].tobytes() + six_bytes(many[low:high])))
+                    lo, hi, low, high = one_at[b], one_at[b + 1], many_at[b], many_at[b + 1]
+                    out.append((b, 1, head + struct.pack("<I", hi - lo) + one_owner[lo:hi].tobytes() + one_short[6 * lo : 6 * hi] + times[low:high].tobytes() + many_short[6 * low : 6 * high]))
             out.append((xxhash.xxh32_intdigest(head) % buckets, 0, head + struct.pack("<II", len(held), len(rows)) + table.tobytes() + pack_docs(rows) + local))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
