@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 
 import pytest
 
@@ -30,6 +31,54 @@ def test_all_pages(spark, sf_dir):
         assert out[p.page_id].text == article(p.html) and out[p.page_id].n_chars == len(article(p.html)) and out[p.page_id].url == p.url
 
 
+def test_all_pages_without_the_tags_that_mark_an_article(spark, sf_dir):
+    """article and main renamed to div: the template and the slots decide alone."""
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()
+    out = extract(spark, [(p.page_id, p.url, re.sub(r"(</?)(article|main)\b", r"\1div", p.html)) for p in pages])
+    assert sum(out[p.page_id] == article(p.html) for p in pages) >= 0.95 * len(pages)
+
+
+MB = 1_000_000
+HOSTILE = {
+    "quote": "<a x " * (MB // 5) + '"', "open values": '<p class="' * (MB // 10), "deep": "<div>x" * (MB // 6), "deep marks": "<div class=ad>x" * (MB // 15), "deep forms": "<form><p>word word" * (MB // 18),
+    "end tags": "<i><div>" + "<b>" * (MB // 6) + "</i>" * (MB // 8), "sections": "<div>" * (MB // 10) + "</section>" * (MB // 10), "attribute": "<p = " + "a" * MB + ">t", "number": "&#" + "9" * MB + ";",
+    "lists": "<ul><li>x" * (MB // 9), "mains": "<main><p>x" * (MB // 10), "tables": "<table><tr><td>x" * (MB // 16), "brackets": "<" * MB, "script": "<script></script " * (MB // 17),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_pages_of_a_megabyte_take_seconds_however_deep_or_broken(name):
+    began = time.process_time()
+    found = list(blocks(HOSTILE[name]))
+    html_extraction.main_text(found, [list(html_extraction.tokens(found))])
+    assert time.process_time() - began < 20
+
+
+def test_classes_are_valid_in_order_and_nested():
+    assert html_extraction.in_order([5, 1, 2, 9, 3, 4]) == [1, 2, 4, 5] and html_extraction.in_order([]) == []
+    assert html_extraction.nests([1, 10, 20], [12, 15]) and html_extraction.nests([12, 15], [1, 10, 20]) and html_extraction.nests([1, 2], [3, 4])
+    assert not html_extraction.nests([1, 10, 20], [5, 12])
+    found = list(blocks("<div class=a>top</div><p>own</p><div class=b>mid</div><p>own two</p><div class=c>end</div>"))
+    a, own, b, two, c = (html_extraction.text_token(x) for x in found)
+    assert html_extraction.template(found, [[a, b, c]]) == {a, b, c}
+    assert html_extraction.template(found, [[b, a, c]]) == {a, c}  # one out of order
+    assert html_extraction.template(found, [[c, a]]) == frozenset() and html_extraction.template(found, [[1, 2]]) == frozenset()
+    assert html_extraction.template(found, [[a, c], [own, two]]) == {a, c, own, two}  # in one slot
+    assert html_extraction.template(found, [[a, b], [own, two]]) == {a, b}  # across slots: the class of less support isn't valid
+
+
+def test_two_layouts_of_a_host(spark):
+    """Each layout has its own classes where they have enough support; one with less than that relies on the slot."""
+    def page(k, side):
+        text = " ".join(f"w{k}x{j}" for j in range(40))
+        return f"<body><div class=x0>The Daily Page</div><div class={'x1' if side else 'y1'}><div>{text}</div><div>{text} two</div></div>" + ("<div class=x2>Ring us at noon</div>" if side else "") + "<div class=x3>All rights and lefts</div></body>"
+
+    out = extract(spark, [(k, f"http://h.example/{k}", page(k, k % 4 > 0)) for k in range(16)])
+    for k in range(16):
+        text = " ".join(f"w{k}x{j}" for j in range(40))
+        assert out[k] == f"{text} {text} two"
+
+
 def extract(spark, rows, **options):
     return {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, PAGES), **options).collect()}
 
@@ -51,7 +100,7 @@ def test_template_finds_the_slot_without_semantic_elements(spark):
     out = extract(spark, rows)
     assert all(out[k] == f"{words(k)} {words(k + 1000)}" for k in range(12)) and out[101] == out[0]
     found = html_extraction.templates(spark.createDataFrame(rows, PAGES)).collect()
-    sizes = {r.host: (r.n_pages, len(r.tokens)) for r in found}
+    sizes = {r.host: (r.n_pages, sum(map(len, r.classes))) for r in found}
     assert sizes["h.example"][0] == 13 and sizes["h.example"][1] >= 4 and sizes["other.example"] == (1, 0)
 
 

@@ -1,32 +1,68 @@
-"""A small reader of web pages: blocks of text with the elements around them. It never fails on broken markup."""
+"""A small reader of web pages: blocks of text with the elements around them. It never fails on broken markup, and its time grows in
+proportion to the page, however deep or broken the page is."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+import xxhash
+
+# quotes hold a value together only after an equals sign; nothing is tried twice
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?>"[^"]*"|'[^']*')|=)*+)(?:>|\Z)""",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""(?:^|(?<=[\s/"']))([^\s=/"'>]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
+CUT_OFF = re.compile(r"</?[a-zA-Z!]|<\Z")
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 #: Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre "
-    "section select summary table tbody td tfoot th thead tr ul".split()
-)
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+    "h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
+)
 #: A start tag of these ends an open one of those.
-ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
+ENDS = {
+    "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
+    "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
+}
 HOLDS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main nav ol section table td th ul".split())
-ENDS_P = BLOCK - {"br", "option", "body", "html", "head", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "summary", "dt", "dd", "figcaption"}
+ENDS_P = BLOCK - frozenset("br option body html head tbody td tfoot th thead tr caption legend summary dt dd figcaption".split())
 #: Every element that a start tag ends.
 CLOSES = {name: ENDS.get(name, frozenset()) | (frozenset({"p"}) if name in ENDS_P else frozenset()) for name in {*ENDS, *ENDS_P}}
 
 
+class Element:
+    """A place in the page: an element's signature below the place of the element around it. Places with equal paths have equal tokens.
+
+    Only elements that begin a block or carry a class, id or role make a place; others share that of the element around them.
+    """
+
+    __slots__ = ("parent", "name", "signature", "depth", "token", "facts")
+
+    def __init__(self, parent: Element | None, name: str, signature: str) -> None:
+        self.parent, self.name, self.signature = parent, name, signature
+        self.depth = parent.depth + 1 if parent else 0
+        # a running hash of the path, so a path costs the same at any depth; even, as texts have odd tokens
+        self.token = xxhash.xxh3_64_intdigest(f"{parent.token if parent else 0}\x1f{signature}") >> 2 << 1
+        self.facts = None  # what a caller derives from the path
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.parent:
+            out.append(at.signature)
+            at = at.parent
+        return tuple(out[::-1])
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  #: signatures of the elements around it, outermost first
+    element: Element  #: the place it is in
     text: str  #: with references decoded and white space runs as one space
     linked: int  #: characters of it inside links
 
@@ -39,38 +75,81 @@ def signature(name: str, attributes: str) -> str:
     return re.sub(r"\d+", "", ".".join([name, *(x for v in found for x in v.split())])) if found else name
 
 
+def decoded(raw: str) -> str:
+    """Text with character references decoded; a number beyond all characters is U+FFFD."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = TOO_LARGE.sub("�", ZEROS.sub("&#", raw))
+    return html.unescape(raw)
+
+
+class Open:
+    """The open elements. A scope is what lies inside the innermost element of HOLDS; counts say what is open without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Element]] = []
+        self.total: Counter[str] = Counter()
+        self.scopes: list[tuple[str, Counter[str]]] = [("", Counter())]
+
+    def push(self, name: str, place: Element) -> None:
+        self.stack.append((name, place))
+        self.total[name] += 1
+        self.scopes[-1][1][name] += 1
+        if name in HOLDS:
+            self.scopes.append((name, Counter()))
+
+    def close(self, names: frozenset[str]) -> list[str]:
+        """Ends the innermost element with one of the names and all inside it; their names."""
+        gone = []
+        while not gone or gone[-1] not in names:
+            name, _ = self.stack.pop()
+            if name in HOLDS:
+                self.scopes.pop()
+            self.scopes[-1][1][name] -= 1
+            self.total[name] -= 1
+            gone.append(name)
+        return gone
+
+    def reaches(self, name: str) -> bool:
+        """Whether an end tag of this name ends something: elements of HOLDS keep in what isn't of their kind."""
+        return self.total[name] > 0 if name in HOLDS or name in ("html", "head") else self.scopes[-1][1][name] > 0
+
+    def inside(self, names: frozenset[str]) -> bool:
+        """Whether one of the names is open in the scope, or is the element around it."""
+        return self.scopes[-1][0] in names or any(self.scopes[-1][1][x] > 0 for x in names)
+
+
 def blocks(page: str | None) -> Iterator[Block]:
-    page, stack, parts, linked, links = page or "", [], [], 0, 0  # stack: (name, signature); links: open a elements
-    at = 0
+    page, parts, linked, links = page or "", [], 0, 0  # links: open a elements
+    top, opened, at = Element(None, "", ""), Open(), 0
 
-    def flush() -> Iterator[Block]:
+    def place() -> Element:
+        return opened.stack[-1][1] if opened.stack else top
+
+    def flush(inner: Element | None = None) -> Iterator[Block]:
         nonlocal parts, linked
         if not parts:
             return
         text = " ".join("".join(parts).split())
         if text:
-            yield Block(tuple([s for n, s in stack if n in BLOCK or "." in s]), text, linked)
+            yield Block(inner or place(), text, linked)
         parts, linked = [], 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = decoded(raw)
             parts.append(text)
             if links:
                 linked += len(text)
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(name == "a" for name, _ in stack[k:])
-        del stack[k:]
-
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
             rest = page[at:]
             cut = rest.rfind("<")
-            add(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]|<\Z", rest[cut:]) else rest[:cut])  # a tag cut off by the end of the page
+            add(rest if cut < 0 or not CUT_OFF.match(rest, cut) else rest[:cut])  # a tag cut off by the end of the page
             break
         if m.start() > at:
             add(page[at : m.start()])
@@ -81,27 +160,22 @@ def blocks(page: str | None) -> Iterator[Block]:
         if parts and name in BLOCK:
             yield from flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(x in BLOCK for x, _ in stack[k:]):
-                        yield from flush()
-                    close(k)
-                    break
-                if stack[k][0] in HOLDS and name not in HOLDS and name not in ("html", "head"):
-                    break
+            if opened.reaches(name):
+                inner = place()
+                gone = opened.close(frozenset({name}))
+                links -= gone.count("a")
+                if parts and not BLOCK.isdisjoint(gone):
+                    yield from flush(inner)
         elif name not in VOID:
-            ends = CLOSES.get(name, ())
-            for k in range(len(stack) - 1, -1, -1) if ends else ():
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in HOLDS:
-                    break
+            ends = CLOSES.get(name)
+            if ends and opened.inside(ends):
+                links -= opened.close(ends).count("a")
             if not m[3].endswith("/") or name in BLOCK:
                 if name in RAW:
                     end = RAW_END[name].search(page, at)
                     at = end.end() if end else len(page)
                 else:
-                    stack.append((name, signature(name, m[3])))
+                    own = signature(name, m[3])
+                    opened.push(name, Element(place(), name, own) if name in BLOCK or "." in own else place())
                     links += name == "a"
     yield from flush()
