@@ -6,6 +6,8 @@ import hashlib
 import html
 import re
 import time
+import zlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -156,22 +158,90 @@ def test_empty_table(spark):
 # Web archives -----------------------------------------------------------------------------------------------------------
 
 
+class Texts(HTMLParser):
+    """Every run of text outside scripts and styles, by the standard library's own reader."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.raw = [], [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.raw = tag if tag in ("script", "style", "title") else 0
+        if tag == "a":
+            self.links += [v for k, v in attrs if k == "href"]
+
+    def handle_endtag(self, tag):
+        self.raw = 0
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.parts.append(data)
+
+
 def test_derivatives_of_all_pages(spark, sf_dir):
+    """The registered query's rows against records read back by hand and texts from another reader, whole."""
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     made = warc.derive(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).collect()
-    assert len(made) == 2 * len(pages) and len({r.record_id for r in made}) == len(made)
+    asked = {(r.page_id, r.record_type): r for r in queries.queries()["op4_warc"](spark, sf_dir).collect()}
+    assert len(made) == 2 * len(pages) == len(asked) and len({r.record_id for r in made}) == len(made)
     for r in made:
         page = pages[r.page_id]
         source, block = warc.read_record(warc.response(page.page_id, page.url, page.html))
         headers, content = warc.read_record(bytes(r.record))
+        source, headers = dict(source), dict(headers)
         body = block.partition(b"\r\n\r\n")[2]
         assert body.decode() == page.html
         assert headers["warc-refers-to"] == source["warc-record-id"] == r.refers_to and headers["warc-target-uri"] == page.url and headers["warc-date"] == source["warc-date"]
         assert headers["warc-block-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(content).digest()).decode() == r.block_digest
         assert r.source_payload_digest == source["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
-        assert int(headers["content-length"]) == len(content) == r.content_length and r.source_headers["content-type"].startswith("text/html")
+        assert int(headers["content-length"]) == len(content) == r.content_length and dict(r.source_headers)["content-type"].startswith("text/html")
+        row = asked[r.page_id, r.record_type]
+        assert row.record_id == r.record_id and row.record_sha256 == hashlib.sha256(bytes(r.record)).hexdigest()
+        other = Texts(re.sub(r"<[a-z/][^>]*$", "", page.html))
         if r.record_type == "conversion":
-            assert "<p>" not in content.decode() and article(page.html)[:20] in " ".join(content.decode().split())
+            assert "".join(content.decode().split()) == "".join("".join(other.parts).split())
+        else:
+            assert re.findall(r"^outlink: (.*)\r$", content.decode(), re.M) == other.links
+
+
+def answer(headers, body):
+    http = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
+    return warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a/")], http.encode() + body)
+
+
+def test_headers_and_encodings_of_the_source():
+    page = "<p>é text</p><!-- <a href=no>x</a> --><script>'<a href=no>'</script><a href='/x?a=1&amp;b=2'>y</a>".encode()
+    html_type = ("Content-Type", "text/html; charset=utf-8")
+    chunked = b"5;x=y\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:x}\r\n".encode() + page[5:] + b"\r\n0\r\n\r\n"
+    bodies = [([html_type], page), ([html_type, ("Content-Encoding", "gzip")], gzip.compress(page)), ([html_type, ("Content-Encoding", "deflate")], zlib.compress(page)),
+              ([html_type, ("Transfer-Encoding", "chunked")], chunked), ([html_type, ("Transfer-Encoding", "chunked"), ("Content-Encoding", "deflate")], f"{len(zlib.compress(page)[2:-4]):x}\r\n".encode() + zlib.compress(page)[2:-4] + b"\r\n0\r\n\r\n")]
+    for headers, body in bodies:
+        cookies = [("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), ("X-Long", "one\r\n two")]
+        meta, text = warc.derivatives(answer([*headers, *cookies], body))
+        assert warc.read_record(text["record"])[1].decode() == "é text\ny"
+        fields = warc.read_record(meta["record"])[1].decode()
+        assert "outlink: /x?a=1&b=2\r\n" in fields and fields.count("outlink") == 1
+        assert "http-set-cookie: a=1\r\nhttp-set-cookie: b=2\r\nhttp-x-long: one two\r\n" in fields
+        assert [h["value"] for h in meta["source_headers"] if h["name"] == "set-cookie"] == ["a=1", "b=2"]
+    for headers, body, why in (([html_type, ("Content-Encoding", "br")], b"x", "unknown encoding br"), ([html_type, ("Content-Encoding", "gzip")], b"x", "broken encoding"), ([html_type, ("Transfer-Encoding", "chunked")], b"zz\r\n", "broken encoding")):
+        (meta,) = warc.derivatives(answer(headers, body))
+        assert f"decoding: {why}\r\n" in warc.read_record(meta["record"])[1].decode()
+
+
+@pytest.mark.parametrize("packed", [False, True, "whole"])
+def test_files_of_many_records(spark, tmp_path, packed):
+    records = [warc.write_record([("WARC-Type", "warcinfo")], b"x"), *[warc.response(k, f"http://a/{k}", f"<p>text {k}\r\n\r\nmore</p>") for k in range(5)]]
+    data = b"".join(gzip.compress(r) if packed is True else r for r in records)
+    data = gzip.compress(data) if packed == "whole" else data
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc").write_bytes(data[: len(data) // 2])
+    (tmp_path / "c.warc").write_bytes(b"")
+    made = warc.derive(warc.read_files(spark, str(tmp_path)))
+    texts = [warc.read_record(bytes(r.record))[1].decode() for r in made.where("record_type = 'conversion'").collect()]
+    assert set(texts) == {f"text {k} more" for k in range(5)} and 5 + (packed != "whole") <= len(texts) < 10
+    assert made.where("record_type = 'damaged'").count() <= 1
 
 
 @pytest.mark.parametrize("data", [b"", b"junk", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc", b"WARC/1.1\r\nno blank line", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", b"\x1f\x8bbroken"])

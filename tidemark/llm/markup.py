@@ -120,7 +120,8 @@ class Open:
         return self.scopes[-1][0] in names or any(self.scopes[-1][1][x] > 0 for x in names)
 
 
-def blocks(page: str | None) -> Iterator[Block]:
+def blocks(page: str | None, hrefs: list[str] | None = None) -> Iterator[Block]:
+    """The page's blocks; the addresses of its a elements go to hrefs, with references decoded."""
     page, parts, linked, links = page or "", [], 0, 0  # links: open a elements
     top, opened, at = Element(None, "", ""), Open(), 0
 
@@ -178,4 +179,6 @@ def blocks(page: str | None) -> Iterator[Block]:
                     own = signature(name, m[3])
                     opened.push(name, Element(place(), name, own) if name in BLOCK or "." in own else place())
                     links += name == "a"
+                    if hrefs is not None and name == "a":
+                        hrefs += [decoded(v.strip("\"'")).strip() for k, v in ATTRIBUTE.findall(m[3]) if k.lower() == "href"][:1]
     yield from flush()

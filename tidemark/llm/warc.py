@@ -1,9 +1,11 @@
 """Operator 4: web archive derivatives.
 
-Response records become two linked records each: metadata (fields of the fetch, headers of the source, outgoing links) and
-conversion (the page as plain text). Both name the response in WARC-Refers-To, with its target, date and digests kept.
+Response records become two linked records each: metadata (fields of the fetch, all headers of the source in their order, outgoing links) and
+conversion (the page as plain text). Both name the response in WARC-Refers-To, with its target, date and digests kept. Transfer and content
+encodings of the body are undone first; digests are those of the payload as it was sent, without its transfer encoding.
 
-Defined results: null addresses and pages become empty ones; a payload that isn't text/html has no conversion record; a damaged record
+Defined results: null addresses and pages become empty ones; a payload that isn't text/html has no conversion record, nor has one whose
+encoding is unknown, broken, or larger than MAX_BODY when undone (the metadata's field `decoding` says so); a damaged record
 (no version line, no blank line, fewer bytes than it says) gives one row of type `damaged` without links; an empty table gives no records.
 """
 
@@ -12,23 +14,27 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .markup import blocks
 
 VERSION, DATE, CRLF = "WARC/1.1", "2024-01-01T00:00:00Z", b"\r\n"
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+MAX_BODY = 256 << 20  #: bytes of a body after its encodings are undone
 RECORDS = "page_id long, source string, record binary"
 DERIVED = (
-    "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, "
-    "source_block_digest string, source_payload_digest string, source_headers map<string,string>, record binary"
-)
+    "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
+    "content_length long, block_digest string, source_block_digest string, source_payload_digest string, "
+    "source_headers array<struct<name:string,value:string>>, record binary"
+)
+Headers = list[tuple[str, str]]
 
 
 def digest(data: bytes) -> str:
@@ -47,25 +53,112 @@ def write_record(headers: list[tuple[str, str]], block: bytes, packed: bool = Fa
     return gzip.compress(data, mtime=0) if packed else data
 
 
-def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (by lower-case name) and block of one record; ValueError if it is damaged."""
+def header_lines(data: bytes) -> tuple[str, Headers]:
+    """The first line, and every header in its order, by lower-case name; folded lines belong to the one before."""
+    first, *lines = data.decode("utf-8", "replace").split("\r\n")
+    out: Headers = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+            continue
+        name, colon, value = line.partition(":")
+        if colon:
+            out.append((name.strip().lower(), value.strip()))
+    return first, out
+
+
+def first(headers: Headers, name: str, default: str = "") -> str:
+    return next((v for k, v in headers if k == name), default)
+
+
+def read_record(data: bytes) -> tuple[Headers, bytes]:
+    """Headers (lower-case name, value) and block of one record; ValueError if it is damaged."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     head, found, rest = data.partition(CRLF + CRLF)
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not found or not lines[0].startswith("WARC/"):
+    version, headers = header_lines(head)
+    if not found or not version.startswith("WARC/"):
         raise ValueError("no WARC record")
-    headers: dict[str, str] = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if colon:
-            headers[name.strip().lower()] = value.strip()
-    n = int(headers.get("content-length", "x"))
+    n = int(first(headers, "content-length", "x"))
     if n < 0 or len(rest) < n:
         raise ValueError("record cut off")
     return headers, rest[:n]
 
 
+class Inflated(io.RawIOBase):
+    """The content of gzip members one after another; it ends where the data do, also in the middle of a member."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.left, self.made = memoryview(data), 0, b"", zlib.decompressobj(zlib.MAX_WBITS | 16)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target: bytearray) -> int:
+        while True:
+            if not self.left and not self.made.eof:
+                self.left, self.at = bytes(self.data[self.at : self.at + (1 << 16)]), self.at + (1 << 16)
+            if self.made.eof:
+                self.left = self.made.unused_data or bytes(self.data[self.at : self.at + (1 << 16)])
+                self.at += 0 if self.made.unused_data else 1 << 16
+                self.made = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            over = not self.left
+            out = self.made.decompress(self.left, len(target))
+            self.left = self.made.unconsumed_tail
+            if out or over:
+                target[: len(out)] = out
+                return len(out)
+
+
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a file of many, plain or gzip (a member for each record, or one for all). What can't be read comes last, as it is."""
+    stream = io.BufferedReader(Inflated(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 16)
+    try:
+        while True:
+            head = []
+            while not head or head[-1] not in (CRLF, b"\n", b""):
+                line = stream.readline(1 << 20)
+                if head or line.strip() or not line:  # blank lines between records
+                    head.append(line)
+            if head == [b""]:
+                return
+            length = next((int(x.partition(b":")[2]) for x in head if x.lower().startswith(b"content-length:")), -1)
+            body = stream.read(length) if length >= 0 else b""
+            yield b"".join(head) + body
+            if length < 0 or len(body) < length:
+                return  # the start of the next record isn't known
+    except (OSError, EOFError, ValueError, zlib.error):
+        yield b"damaged"
+
+
+def undone(body: bytes, headers: Headers) -> tuple[bytes | None, bytes, str]:
+    """The body without its encodings (None if that fails), the payload without its transfer encoding, and what went wrong."""
+    try:
+        if "chunked" in first(headers, "transfer-encoding").lower():
+            parts, at = [], 0
+            while True:
+                end = body.index(CRLF, at)
+                n = int(body[at:end].split(b";")[0], 16)
+                if n == 0:
+                    break
+                parts.append(body[end + 2 : end + 2 + n])
+                at = end + 4 + n
+            body = b"".join(parts)
+        payload = body
+        for kind in reversed([x.strip().lower() for x in first(headers, "content-encoding").split(",") if x.strip()]):
+            if kind in ("gzip", "x-gzip", "deflate"):
+                bits = zlib.MAX_WBITS | 32 if kind != "deflate" or body[:1] in (b"\x78", b"\x58") else -zlib.MAX_WBITS
+                made = zlib.decompressobj(bits)
+                body = made.decompress(body, MAX_BODY)
+                if not made.eof:
+                    return None, payload, "too large" if made.unconsumed_tail else "broken encoding"
+            elif kind != "identity":
+                return None, payload, f"unknown encoding {kind}"
+        return body, payload, ""
+    except (ValueError, zlib.error):
+        return None, body, "broken encoding"
+
+
 def response(page_id: int | None, url: str | None, page: str | None, date: str = DATE) -> bytes:
     body = (page or "").encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
@@ -74,45 +167,74 @@ def response(page_id: int | None, url: str | None, page: str | None, date: str =
                          ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body))], block)
 
 
-def plain_text(page: str) -> str:
-    return "\n".join(b.text for b in blocks(page))
-
-
 def derivatives(data: bytes, packed: bool = False) -> list[dict]:
     """The metadata and conversion record of a response record."""
     try:
         head, block = read_record(data)
-    except (ValueError, OSError, EOFError):
+    except (ValueError, OSError, EOFError, zlib.error):
         return [{"record_type": "damaged"}]
-    if head.get("warc-type") != "response":
+    if first(head, "warc-type") != "response":
         return []
     http, _, body = block.partition(CRLF + CRLF)
-    status, *lines = http.decode("utf-8", "replace").split("\r\n")
-    source = {k.strip().lower(): v.strip() for k, c, v in (x.partition(":") for x in lines) if c}
-    origin, uri, date = head.get("warc-record-id", ""), head.get("warc-target-uri", ""), head.get("warc-date", "")
-    declared = head.get("warc-payload-digest", "")
-    charset = (re.search(r"charset=\"?([\w-]+)", source.get("content-type", ""), re.I) or ["", "utf-8"])[1]
-    is_html = source.get("content-type", "").lower().startswith(("text/html", "application/xhtml"))
-    try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    links = [m.strip("\"'") for m in LINK.findall(page)] if is_html else []
-    fields = [("status", status), *((f"http-{k}", v) for k, v in source.items()), ("payload-digest-declared", declared), ("payload-digest-computed", digest(body)), *(("outlink", x) for x in links)]
-    made = [("metadata", "application/warc-fields", "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode())]
-    if is_html:
-        made.append(("conversion", "text/plain; charset=utf-8", plain_text(page).encode()))
+    status, source = header_lines(http)
+    origin, uri, date = (first(head, k) for k in ("warc-record-id", "warc-target-uri", "warc-date"))
+    declared, kind = first(head, "warc-payload-digest"), first(source, "content-type")
+    content, payload, failed = undone(body, source)
+    charset = (re.search(r"charset=\"?([\w-]+)", kind, re.I) or ["", "utf-8"])[1]
+    links: list[str] = []
+    text = None
+    if content is not None and kind.lower().startswith(("text/html", "application/xhtml")):
+        try:
+            page = content.decode(charset, "replace")
+        except (LookupError, UnicodeError):
+            page = content.decode("utf-8", "replace")
+        text = "\n".join(b.text for b in blocks(page, links)).encode("utf-8", "replace")
+    fields = [("status", status), *((f"http-{k}", v) for k, v in source), ("payload-digest-declared", declared), ("payload-digest-computed", digest(payload))]
+    fields += [("decoding", failed)] * bool(failed) + [("outlink", x) for x in links]
+    lines = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields)
+    made = [("metadata", "application/warc-fields", lines.encode("utf-8", "replace"))]
+    if text is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", text))
     out = []
     for kind, content_type, content in made:
         own = record_id(kind, origin, digest(content))
-        headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri), ("Content-Type", content_type), ("WARC-Block-Digest", digest(content))]
+        headers = [
+            ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", uri),
+            ("WARC-Refers-To-Date", date), ("WARC-Target-URI", uri), ("Content-Type", content_type), ("WARC-Block-Digest", digest(content)),
+        ]
         if kind == "conversion":
             headers.append(("WARC-Source-Payload-Digest", declared))
-        out.append({"record_type": kind, "record_id": own, "refers_to": origin, "target_uri": uri, "date": date, "content_type": content_type, "content_length": len(content), "block_digest": digest(content),
-                    "source_block_digest": head.get("warc-block-digest", ""), "source_payload_digest": declared, "source_headers": list(source.items()), "record": write_record(headers, content, packed)})
+        out.append({
+            "record_type": kind, "record_id": own, "refers_to": origin, "target_uri": uri, "date": date, "content_type": content_type,
+            "content_length": len(content), "block_digest": digest(content), "source_block_digest": first(head, "warc-block-digest"),
+            "source_payload_digest": declared, "source_headers": [{"name": k, "value": v} for k, v in source],
+            "record": write_record(headers, content, packed),
+        })
     return out
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A row (page_id null, source: the file, record) for each record of the archive files below a path. A task holds one file at a time (2 GB at most,
+    Spark's limit for a binary file)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some, size = [], 0
+                for record in split_records(data.as_py()):
+                    some.append(record)
+                    size += len(record)
+                    if size > 16 << 20:
+                        yield rows(name, some)
+                        some, size = [], 0
+                yield rows(name, some)
+
+    def rows(name: str, some: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array([name] * len(some), pa.string()), pa.array(some, pa.binary())], ["page_id", "source", "record"])
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, RECORDS)
+
+
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
     """A response record for each page."""
 
@@ -130,7 +252,8 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
 def derive(records: DataFrame, packed: bool = False) -> DataFrame:
     """The derivative records of response records (page_id, source, record)."""
     names = [x.split()[0] for x in DERIVED.split(", ")]
-    kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3, pa.map_(pa.string(), pa.string()), pa.binary()]
+    pair = pa.struct([("name", pa.string()), ("value", pa.string())])
+    kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3, pa.list_(pair), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
