@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, packing, token_files, tokens
+from tidemark.llm import bpe, packing, queries, token_files, tokens
 
 ODD = ["", " ", "  a  b\n\n c", "x   y", "don't  DON'T 's", "<|endoftext|> a <|endoftext|>", "a <|ENDOFTEXT|>b <|startoftext|>", "á ́b", "ΑΣ Σ", "\x1c a\x1d b", "\r\n x\t y ", "日本 語  text", "a\x85 b\xa0 c", "e ́", "\n a", "a \n", "a\x01 \x01 b", "'", "a\n\nb\nC", "x" * 5000, " " * 900 + "y", "'" * 700 + "s", "ab " * 3000]
 
@@ -53,6 +53,16 @@ def test_pieces_have_the_ids_of_the_whole(both, corpus):
     assert encode([None]) == [b""]
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t", "\u2003"])
+def test_runs_of_two_million_blanks(docs, library, run):
+    text = "a" + run * (2_000_000 // len(run)) + "b <|endoftext|>" + run * 99_999 + "c"
+    expected = [*ids(library, text), 1]
+    pieces = sorted((r.start, r.ids) for r in packing.pack(docs([(1, text)]), with_ids=True).collect())
+    assert [x for _, p in pieces for x in p] == expected
+    (r,) = bpe.digests(docs([(1, text)])).collect()
+    assert r.n_tokens == len(expected) - 1 and r.ids_sha256 == hashlib.sha256(",".join(map(str, expected[:-1])).encode()).hexdigest()
+
+
 def test_kinds_of_files():
     def read(name):
         with open(public_tokenizers.path(name), "rb") as f:
@@ -106,6 +116,17 @@ def test_digests(docs, library):
     assert bpe.encode(docs([(1, "Hello  world")])).first().ids == ids(library, "Hello  world")
 
 
+def test_query_over_the_whole_table(spark, sf_dir, corpus, library):
+    rows = {r.doc_id: r for r in queries.queries()["op8_bpe"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        expected = ids(library, t)
+        text = library.decode(expected, skip_special_tokens=False)
+        assert rows[i].n_tokens == len(expected) and rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, expected)).encode()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 # Packing ----------------------------------------------------------------------------------------------------------------
 
 
@@ -220,3 +241,24 @@ def test_files_of_a_table(spark, docs, corpus, tmp_path):
     assert [tuple(r) for r in out] == expected
     token_files.write_files(docs([]).limit(0), str(tmp_path / "e"))
     assert token_files.read_files(spark, str(tmp_path / "e")).isEmpty()
+
+
+def test_query_of_files_over_the_whole_table(spark, sf_dir, corpus):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows, at = {r.doc_id: r for r in queries.queries()["op3_token_files"](spark, sf_dir).collect()}, 0
+    for r in sorted(corpus.collect(), key=lambda r: r.doc_id):
+        x = np.array([*ids(tokenizer, r.text), 1], "<u4")
+        assert tuple(rows[r.doc_id]) == (r.doc_id, at, len(x), zlib.crc32(x.tobytes()))
+        at += len(x)
+    assert len(rows) == corpus.count()
+
+
+def test_many_rows_without_an_id_are_split(spark, docs, tmp_path):
+    df = docs([(None, f"text {k}") for k in range(4000)]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_files(df, str(tmp_path / "n"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "n")).select("shard").distinct().count() > 1
+    assert token_files.read_files(spark, str(tmp_path / "n")).count() == 4000

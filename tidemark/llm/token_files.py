@@ -12,8 +12,8 @@ segment, a file of its own in the format below; Spark's writer puts it on whatev
 
 width is the smallest that holds at least PERCENT per cent of a block's distances; larger ones are exceptions.
 
-Defined results: null and empty texts are the end id alone; null ids sort first; repeated ids keep each its own entry, in order of
-their texts; an empty table gives an empty table.
+Defined results: null and empty texts are the end id alone; null ids sort first; repeated ids keep each its own entry, in the
+order of the table; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -142,7 +142,9 @@ def write_files(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
         if held:
             yield flush()
 
-    docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(run, FILES).write.parquet(folder)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("id", "place").sortWithinPartitions("id", "place")  # the place splits many rows of one id or none
+    rows.mapInArrow(run, FILES).write.parquet(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ from pyspark.sql import SparkSession
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+RUN, BLANK_RUN = 100_000, re.compile(r"\s++")
 CACHE = 1_000_000  #: words in each of the two generations of a worker's cache
 Encoder = Callable[[list[str | None]], list[bytes]]
 
@@ -76,7 +78,19 @@ def byte_encoder(data: bytes) -> Encoder | None:
     import tiktoken
 
     encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [as_bytes(encoding.encode_to_numpy(t, allowed_special="all")) if t else b"" for t in texts]
+    slow = lru_cache(1)(lambda: library_encoder(data))
+
+    def ids(t: str | None) -> bytes:
+        if not t:
+            return b""
+        return slow()([t])[0] if has_long_run(t) else as_bytes(encoding.encode_to_numpy(t, allowed_special="all"))
+
+    return lambda texts: [*map(ids, texts)]
+
+
+def has_long_run(text: str) -> bool:
+    """Whether white space goes on for RUN characters; tiktoken fails at about a million, and the library takes any number."""
+    return len(text) >= RUN and any(m.end() - m.start() >= RUN for m in BLANK_RUN.finditer(text))
 
 
 class WordEncoder:
