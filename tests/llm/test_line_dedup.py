@@ -69,3 +69,26 @@ def test_other_columns_and_empty(spark, docs):
     assert out.columns == [*df.columns, "n_dropped"] and {r.text for r in out.collect()} == {""}
     _, none = run(spark, [df.limit(0)], 3)
     assert none.isEmpty()
+
+
+def test_runs_are_merged_without_a_shuffle_and_settled_runs_are_compacted(spark, docs):
+    runs = line_dedup.LineRuns(spark, min_docs=3, buckets=3)
+    for k in range(8):
+        runs.add(line_dedup.distinct_keys(docs([(10 * k + j, f"hot\nline {k // 2}\nown {k} {j}") for j in range(3)]), "text", "doc_id", 1))
+        assert len(runs.settled) <= runs.fanout and all(len(level) < runs.fanout for level in runs.levels)
+    plan = runs._merged([*runs.settled, *(run for level in runs.levels for run in level)])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]
+    shared, total = runs.shared()
+    assert sorted(r.n for r in shared.collect()) == [6, 6, 6, 6, 24] and total == 8 * (3 * 3)
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    names = ["_lines", "_keys", "_kept", "_gone", "_row", "_text", "_r1", "_k1", "_at", "_key", "_salt", "_is_hot", "n", "a.b", "Text 2"]
+    text = "\n".join(f"line {j % 20_000}" for j in range(60_000))
+    df = spark.createDataFrame([(k, "a\nb", *range(len(names))) for k in range(3)] + [(k, text + f"\nown {k}", *range(len(names))) for k in (7, 8, 9)], ["doc_id", "text", *names])
+    _, out = run(spark, [df], 3)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all(tuple(r)[2 : 2 + len(names)] == tuple(range(len(names))) for r in rows.values())
+    assert rows[7].text == "own 7" and rows[7].n_dropped == 60_000 and rows[0].text == ""
