@@ -28,5 +28,9 @@ def test_bitmap_misses_no_survivor(spark):
     marked = common.mark_survivors(keys.union(spark.range(5000).select(F.xxhash64("id").alias("h"))), "h", common.survivor_bitmap(keys, "h", 20), "may", 20)
     assert keys.join(marked.where("may").select("h").distinct(), "h", "left_anti").isEmpty()
     assert marked.where("not may").count() > 4000
-    empty = common.mark_survivors(keys, "h", common.survivor_bitmap(keys.limit(0), "h"), "may")
+    empty = common.mark_survivors(keys, "h", common.survivor_bitmap(keys.limit(0), "h", 15), "may", 15)
     assert empty.where("may").isEmpty()
+
+
+def test_bitmaps_grow_with_their_keys_up_to_a_bound():
+    assert [common.bitmap_bits(n) for n in (0, 1, 2048, 2049, 10**6, 8 << 20, 10**12)] == [15, 15, 15, 16, 24, 27, 27]

@@ -52,6 +52,26 @@ def test_empty_and_hot(spark, docs):
 
 
 def test_full_hash_only_for_rows_that_may_have_an_equal(docs):
-    found = {r.doc_id: r._full for r in exact_dedup.refined(docs(["abc", "xyz", "abc", "a longer one"])).collect()}
+    found = {r._id: r._full for r in exact_dedup.refined(exact_dedup.wrapped(docs(["abc", "xyz", "abc", "a longer one"]), "text", "doc_id", ["doc_id"])).collect()}
     assert found[3] is None and found[0] == found[2] == hashlib.sha256(b"abc").hexdigest()
     assert brute([(1, "a"), (2, "A")]) == {"a": [1, 2]}
+
+
+NAMES = ["_size", "_slot", "_n", "_full", "_uid", "_row", "_text", "_id", "_keep", "_best", "_h1", "_salt", "_is_hot", "_piece", "_bit", "_bits", "_same_size", "a.b", "Text 2"]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "A", *range(len(NAMES))), (2, "a", *range(len(NAMES))), (3, "b", *range(len(NAMES)))], ["doc_id", "text", *NAMES])
+    out = exact_dedup.exact_dedup(df)
+    assert out.columns == df.columns and sorted(out.collect()) == sorted(df.where("doc_id > 1").collect())
+    rows = exact_dedup.exact_groups(df, carry=["doc_id", *NAMES]).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, *range(len(NAMES)), max(2, i), 2 if i < 3 else 1, i > 1) for i in (1, 2, 3)]
+
+
+def test_a_full_bitmap_changes_no_result(docs, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "MAX_BITS", 0)
+    rows = [(k, f"text {k // 2 % 300} {'x' * (k % 7)}") for k in range(900)]
+    out = exact_dedup.exact_groups(docs(rows)).where("kept").collect()
+    assert sorted(r.doc_id for r in out) == sorted(max(g) for g in brute(rows).values())

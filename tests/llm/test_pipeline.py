@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
 from tidemark.llm import language, quality
 
@@ -34,3 +36,18 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_has_the_rows_of_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and check_sequences(out.collect()) == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (1, None), (1, ""), (2, "12 34")], None])
+def test_stages_take_any_table(spark, sf_dir, docs, tmp_path, rows):
+    """Empty tables, nulls, repeated ids and rows."""
+    good = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and length(text) between 500 and 3000").limit(6).collect()]
+    if rows is None:
+        rows = [(None, good[0]), (None, good[0]), (5, good[1]), (5, good[1]), (5, good[2]), (6, good[1].upper()), (7, good[3]), (8, None), (9, "x" * 200_000), (10, " ".join(good[3].split()[:-1]))]
+    table, before = docs(rows), None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, before if k else table, sf_dir)
+        made.write.parquet(str(tmp_path / f"{k}"))
+        before = spark.read.parquet(str(tmp_path / f"{k}"))
+        assert k == 4 or before.columns == table.columns
+    assert check_sequences(before.collect()) == 0

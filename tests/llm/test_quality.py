@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality, queries
@@ -68,11 +70,42 @@ def test_nulls_missing_labels_and_columns(spark, docs):
     assert quality.score(df.limit(0), None).isEmpty() and quality.keep_good(df.limit(0), None).isEmpty()
 
 
+def slow_probability(text, model):
+    """Features counted one by one, and the logistic regression with Platt's two numbers by hand."""
+    data = text.encode()
+    h = [xxhash.xxh64_intdigest(w) for w in data.split()]
+    words, chars = np.zeros(1 << quality.WORD_BITS), np.zeros(1 << quality.CHAR_BITS)
+    for k, x in enumerate(h):
+        words[x >> 64 - quality.WORD_BITS] += 1
+        if k:
+            words[((h[k - 1] * 0xC2B2AE3D27D4EB4F + x) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - quality.WORD_BITS] += 1
+    for k in range(len(data) - 2):
+        chars[(int.from_bytes(data[k : k + 3]) * 2654435761 & 0xFFFFFFFF) >> 32 - quality.CHAR_BITS] += 1
+    x = np.concatenate([np.sqrt(words / max(1, words.sum())), np.sqrt(chars / max(1, chars.sum()))])
+    *w, b, a, c = model
+    return 1 / (1 + np.exp(-(a * (x @ np.array(w) + b) + c)))
+
+
 def test_query(spark, sf_dir):
-    df = queries.queries()["op1_quality"](spark, sf_dir)
-    rows = {r.doc_id: r for r in df.collect()}
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(25).collect()}
+    """Every row of the table: counts and rules by hand, and the verdict from a slow probability."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    rows = {r.doc_id: r for r in queries.queries()["op1_quality"](spark, sf_dir).collect()}
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows.keys() == texts.keys()
     for i, t in texts.items():
         r = rows[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t)
-        assert r.base_failed == quality.base_failed(r.n_words, r.n_repeat_words) and not (r.kept and r.base_failed)
+        if len(t or "") < 20_000:  # the brute count is quadratic
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t)
+        assert r.base_failed == quality.base_failed(r.n_words, r.n_repeat_words)
+        p = slow_probability(t or "", model)
+        assert r.probability == pytest.approx(p, abs=1e-3) and (r.kept == (not r.base_failed and p >= 0.5) or abs(p - 0.5) < 1e-3)
+
+
+def test_training_takes_one_text_of_an_id_and_any_order(spark, docs):
+    good, bad = "plain words of a text " * 4, "### $$$ ||| <<< %%% *** " * 4
+    df = docs([(k % 20, f"{good if k % 20 % 2 else bad} {k}") for k in range(200)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "key long, quality int")
+    a = quality.train(df, labels, label_id="key", sample=16)
+    b = quality.train(df.repartition(7), labels.repartition(3), label_id="key", sample=16)
+    assert np.array_equal(a, b)

@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder below the shared spark.checkpoint.dir. Only in local mode, where that is unset, a temporary one takes its place;
+    on a cluster that is an error, since executors don't share such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -78,14 +81,23 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     return both.select(*[F.col(c) for c in left.columns], *[F.when(F.col("_is_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
-def survivor_bitmap(keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
-    """2**bits bits in 4 KB pieces (1 MB in all at 23), set where a key's hash falls: a table of fixed size, whatever the input."""
+BITS_A_KEY, MAX_BITS = 16, 27  #: bits for each key of a bitmap, and the power of two that bounds it: 16 MB
+
+
+def bitmap_bits(keys: int) -> int:
+    """The power of two for a bitmap of so many keys: one in sixteen bits is set at most, until the bound is reached at 8 million keys. Beyond
+    that more and more keys look as if they were in it; that costs time, never a result."""
+    return min(MAX_BITS, max(15, (BITS_A_KEY * keys - 1).bit_length()))
+
+
+def survivor_bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """2**bits bits in 4 KB pieces, set where a key's hash falls."""
     slot = F.pmod(F.col(key), F.lit(1 << bits))
-    return (keys.select(F.expr(f"bitmap_bucket_number(pmod({key}, {1 << bits}L))").alias("_piece"), F.bitmap_bit_position(slot).alias("_bit"))
+    return (keys.select(F.bitmap_bucket_number(slot).alias("_piece"), F.bitmap_bit_position(slot).alias("_bit"))
             .groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
 
 
-def mark_survivors(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits: int = 23) -> DataFrame:
+def mark_survivors(df: DataFrame, key: str, bitmap: DataFrame, flag: str, bits: int) -> DataFrame:
     """Adds flag: false means that the key is surely not in the bitmap's keys; true that it may be."""
     slot = F.pmod(F.col(key), F.lit(1 << bits))
     looked = df.withColumn("_piece", F.bitmap_bucket_number(slot)).withColumn("_bit", F.bitmap_bit_position(slot)).join(F.broadcast(bitmap), "_piece", "left")

@@ -19,13 +19,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import tidy
 
-PER_LANG, BITS, SWITCH, GROUP = 600, 15, 12.0, 1024
+PER_LANG, BITS, SWITCH = 600, 15, 12.0
+GROUP, GROUP_BYTES = 1024, 4 << 20  #: texts labelled at once, by number and by size (a longer text goes alone)
 CACHE = 200_000  #: words whose scores a worker keeps
 #: Starts of script ranges and the script from there on (fixed values; blocks of the Unicode standard).
 SCRIPTS = (
@@ -212,9 +214,14 @@ def labelled(texts: list[str | None], known: Scores) -> Iterator[tuple[str, floa
 
 
 def _in_groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    for at in range(0, batch.num_rows, GROUP):
-        part = batch.slice(at, GROUP)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = int(np.searchsorted(ends[at : at + GROUP], before + GROUP_BYTES, "right"))
+        part = batch.slice(at, max(1, n))
         yield part, part.column(column).to_pylist()
+        at += part.num_rows
 
 
 def predict(docs: DataFrame, model: tuple | None, text: str = "text", doc_id: str = "doc_id", spans: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_tasks, give_back, join_hot, mark_survivors, scratch, survivor_bitmap, tidy
+from .common import bitmap_bits, few_tasks, give_back, join_hot, mark_survivors, scratch, survivor_bitmap, tidy
 from .common import stored_compact as stored
 from .components import components
 
@@ -459,9 +459,8 @@ def compared(seated: DataFrame, per_cent: int, limits: Limits, complete: bool) -
 
 
 def with_bodies(seats: DataFrame, nodes: DataFrame) -> DataFrame:
-    """seats with n and body of their node. A bitmap of the seats' nodes, in size some bits a node and 8 MB at most, keeps most other bodies out of the shuffle."""
-    count = seats.count()
-    bits = min(26, max(13, (16 * count).bit_length()))
+    """seats with n and body of their node. A bitmap of the seats' nodes keeps most other bodies out of the shuffle."""
+    bits = bitmap_bits(seats.count())
     bodies = nodes.select("node", "n", "body").withColumn("_h", F.xxhash64("node"))
     bitmap = survivor_bitmap(seats.select(F.xxhash64("node").alias("_h")), "_h", bits)
     bodies = mark_survivors(bodies, "_h", bitmap, "_in", bits).where("_in").select("node", "n", "body")

@@ -5,8 +5,8 @@ whose id has the smallest hash; a bounded, documented sample), on three quarters
 its score into a probability. Every text is then scored in Arrow batches and held against a fixed threshold, after fixed base rules.
 
 Defined results: a null or empty text has no words and fails the base rules; where no labelled rows of both kinds exist, the base
-rules alone decide; rows with a null label aren't used; repeated rows are scored each on its own; a label of another row with the same id counts
-for each of them.
+rules alone decide; rows with a null label aren't used; repeated rows are scored each on its own; where an id repeats,
+one of its texts is trained on.
 """
 
 from __future__ import annotations
@@ -117,14 +117,17 @@ def platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> np.ndarray | None:
-    """Weights, bias, and Platt's two numbers; None where labels of both kinds are missing. The labelled rows meet in one task: at most `sample`."""
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+def train(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE, label_id: str = "doc_id"
+) -> np.ndarray | None:
+    """Weights, bias, and Platt's two numbers; None where labels of both kinds are missing. The labelled rows meet in one task: at most `sample`,
+    one for each id (where an id repeats, the text with the least hash)."""
+    usable = labels.select(F.col(label_id).alias("_key"), F.col(label).alias("_label")).where("_label is not null and _key is not null")
     share = min(1.0, 2 * sample / max(1, usable.count()))  # only about twice the sample's rows are sorted
-    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    ids = usable.groupBy("doc_id").agg(F.min(label).alias("_label"))
-    ids = ids.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(sample).withColumnRenamed("doc_id", "_key")
-    rows = docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_key")).select("_label", text, doc_id)
+    usable = usable.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ids = usable.groupBy("_key").agg(F.min("_label").alias("_label"))
+    ids = ids.orderBy(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)), "_key").limit(sample)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_key")).select("_label", "_text", "_id")
 
     @tidy
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         a, b = platt(score, y[held]) if held.any() and y[held].min() != y[held].max() else (1.0, 0.0)
         yield pd.DataFrame({"w": [np.append(w, [a, b]).tobytes()]})
 
-    one = rows.mapInArrow(vectors, "y int, x binary, id long").limit(2 * sample).repartition(1).mapInPandas(learn, "w binary")
+    each = rows.mapInArrow(vectors, "y int, x binary, id long").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", F.xxhash64("x")).alias("x"))
+    one = each.select("y", "x", "id").repartition(1).mapInPandas(learn, "w binary")
     found = one.collect()
     return np.frombuffer(found[0].w) if found else None
 
