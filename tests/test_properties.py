@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions import canonical
 from tidemark.operators import apply, diff
 
 SHAPE = "k long, a string, b double"
@@ -25,3 +28,18 @@ def test_random_tables(spark, source, target):
     assert table(apply.merged(s, t, ["k"], True)) == source
     cells = {(r.k, r.column) for r in diff.changed_cells(s, t, ["k"]).collect()}
     assert cells == {(k, c) for k, change in expected.items() if change == "update" for c, x, y in zip("ab", source[k], target[k], strict=True) if x != y}
+
+
+MARKS = st.text(st.sampled_from(["x", "=", ":", "s", "b", "\x01", "\x1b", "\x1e", "\x1f", "0", "1", "N", "U", "L"]), max_size=12)
+ROWS = st.lists(st.tuples(st.one_of(st.none(), MARKS), st.one_of(st.none(), MARKS)), min_size=2, max_size=30, unique=True)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(rows=ROWS)
+def test_row_and_key_texts_are_one_to_one(spark, rows):
+    df = spark.createDataFrame([*rows, ("x\x1eb=s:y", "z"), ("x", "y\x1eb=s:z"), ("x\x1fs:y", "z"), ("x", "y\x1fs:z")], "A string, b string").distinct()
+    made = df.select("A", "b", canonical.row_text(df, ["a", "B"]).alias("r"), canonical.key_text(df, ["a", "b"]).alias("k")).collect()
+    assert len({x.r for x in made}) == len({x.k for x in made}) == len(made)
+    texts = spark.createDataFrame([(x.k,) for x in made], "k string")
+    back = texts.select(*canonical.key_values(F.col("k"), {"a": T.StringType(), "b": T.StringType()})).collect()
+    assert [tuple(x) for x in back] == [(x.A, x.b) for x in made]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import canonical, text
+from tidemark.functions import canonical, staging, text
 from tidemark.operators import apply, diff, mask, project, verify
 from tidemark.operators.mask import MaskRule
 from tidemark.operators.project import Filter
@@ -224,7 +224,7 @@ def test_conform(spark, users):
 
 
 def test_sql_guard_and_cap(spark, users):
-    assert free_sql.is_read_only("-- x\n (with a as (select 1) select * from a)") and not free_sql.is_read_only("delete from t") and not free_sql.is_read_only("")
+    assert free_sql.is_read_only(spark, "-- x\n (with a as (select 1) select * from a)") and not free_sql.is_read_only(spark, "delete from t") and not free_sql.is_read_only(spark, "")
     with pytest.raises(PermissionError):
         free_sql.query(spark, "drop table x", {}, read_only=True)
     found = free_sql.run(spark, "select * from users order by id", {"users": users}, 2)
@@ -250,3 +250,86 @@ def test_replace_path_while_reading(spark, users, tmp_path):
     users.write.parquet(path)
     replace_path(spark.read.parquet(path).where("id > 1"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.parametrize("sql", ["from t insert into u select *", "with x as (select 1) insert into u select * from x", "insert overwrite u select 1", "update t set a = 1", "merge into t using u on t.a = u.a when matched then delete", "drop table t", "set a = b", "create table t as select 1", "from t insert into u select * insert into v select *", "cache table t", "nonsense"])
+def test_statements_that_write(spark, sql):
+    assert not free_sql.is_read_only(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["from t select a", "select 'insert into u' as x -- drop table t", "explain select 1", "show tables", "describe t", "values (1)", "table t", "with x as (select 1) select * from x union all select 2", "select `insert` from t"])
+def test_statements_that_read(spark, sql):
+    assert free_sql.is_read_only(spark, sql)
+
+
+def test_limits_are_errors_beyond_their_bound(spark, users):
+    for call in (lambda: free_sql.run(spark, "select 1", {}, 100_001), lambda: diff.diff_page(users, users, ["id"], "update", 201), lambda: report.run_history(users.selectExpr("id AS run_id", "age AS started"), limit=201), lambda: project.page(users, ["id"], limit=10_001)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_names_in_any_case_and_zeros(spark):
+    source = spark.createDataFrame([(1, "a", 0.0), (2, "b", 1.0), (3, "c", 1.0)], "K int, NAME string, V double")
+    target = spark.createDataFrame([(1, "a", -0.0), (2, "x", 1.0), (4, "d", 1.0)], "k int, name string, v double")
+    for keys in (["k"], ["K"]):
+        assert sorted((r[0], r.change_type) for r in diff.row_diff(source, target, keys).collect()) == [(2, "update"), (3, "insert"), (4, "delete")]
+        assert [tuple(r) for r in diff.changed_cells(source, target, keys).collect()] == [(2, "name", "x", "b")]
+        assert [r.NAME for r in diff.updated(source, target, keys).collect()] == ["b"] and diff.inserted(source, target, keys).count() == diff.deleted(source, target, keys).count() == 1
+        assert sorted(tuple(r) for r in apply.merged(source, target, keys, True).select("k", "name").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+        assert apply.copied(source, target, keys, "skip_existing").count() == 4
+    assert {r.only_source + r.only_target for r in diff.multiset_diff(source, target).collect()} == {1} and diff.multiset_diff(source, target).count() == 4
+
+
+def test_two_updates_of_one_key_are_refused(spark, users):
+    up = spark.createDataFrame([(1, 31, ["age"]), (1, 32, ["age"])], "id long, age int, _set array<string>")
+    with pytest.raises(apply.KeyConflict):
+        apply.change_set(users, ["id"], updates=up)
+
+
+def test_only_numbers_as_people_write_them_are_inferred(spark):
+    df = spark.createDataFrame([("1d", "NaN", "1e5", "2f", "+.5", "Infinity")], [f"c{k}" for k in range(6)])
+    kinds = readers.inferred_types(df)
+    assert [kinds[f"c{k}"].simpleString() for k in range(6)] == ["string", "string", "double", "string", "double", "string"]
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_csv_is_split_where_no_field_has_a_line_break(spark, tmp_path, broken):
+    (tmp_path / "a.csv").write_text('a,b\n1,"he said ""hi"""\n' + ('2,"x\ny"\n' if broken else "") + "3,\n")
+    df = readers.import_csv(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in df.collect()] == [("1", 'he said "hi"'), *([("2", "x\ny")] if broken else []), ("3", None)]
+
+
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_merge_rewrites_the_partitions_that_change(spark, tmp_path):
+    path = tmp_path / "t"
+    shape = "id int, name string, part string"
+    target = [(1, "a", "p"), (2, "b", "p"), (3, "c", "q"), (4, "d", "r"), (5, "e", None), (6, "f", "s"), (7, "g", "u")]
+    source = [(1, "a", "p"), (2, "b", "p"), (3, "C", "q"), (4, "d", "r"), (6, "f", "v"), (7, "g", "u"), (8, "h", "w")]
+    spark.createDataFrame(target, shape).write.partitionBy("part").parquet(str(path))
+    before = files(path)
+    out = {r.part: (r.inserted, r.updated, r.deleted) for r in apply.merge_into_path(spark.createDataFrame(source, shape), str(path), ["id"], ["part"], True).collect()}
+    assert out == {"q": (0, 1, 0), None: (0, 0, 1), "s": (0, 1, 0), "v": (0, 1, 0), "w": (1, 0, 0)}
+    assert sorted(tuple(r) for r in spark.read.parquet(str(path)).select("id", "name", "part").collect()) == sorted(source)
+    after = files(path)
+    untouched = {k: v for k, v in before.items() if k.split("/")[0] in ("part=p", "part=r", "part=u")}
+    assert untouched and all(after.get(k) == v for k, v in untouched.items())
+    assert not any(k.startswith(("part=s", "part=__")) for k in after)
+    assert apply.merge_into_path(spark.createDataFrame(source, shape), str(path), ["id"], ["part"], True).isEmpty() and files(path) == after
+
+
+def test_sync_writes_to_its_paths(spark, users, tmp_path):
+    path = str(tmp_path / "u")
+    users.limit(1).write.parquet(path)
+    done, rep = report.sync_tables(spark, {"u": users}, {"u": spark.read.parquet(path)}, {"u": TableSelection(["id"])}, {"u": path})
+    assert rep.first().inserted == 2 and rep.first().verified
+    assert spark.read.parquet(path).count() == 3 == done["u"].count()
+
+
+def test_old_staged_tables_are_cleared(spark, users):
+    staging.snapshot(users)
+    assert staging.clear_staged(spark, 24) == 0
+    kept = staging.base_folder(spark)
+    assert kept and staging.shared_folder(spark).startswith(kept)

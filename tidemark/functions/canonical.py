@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL, FIELD_END, KEY_END = "\x01NULL", "\x1e", "\x1f"
+#: What texts hold of the marks above is written as two characters, so that no two rows or keys have one text.
+ESCAPES = (("\x1b", "\x1b0"), ("\x1e", "\x1b1"), ("\x1f", "\x1b2"), ("\x01", "\x1b3"))
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -17,18 +19,42 @@ def plain_decimal(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def escaped(text: Column) -> Column:
+    for mark, two in ESCAPES:
+        text = F.replace(text, F.lit(mark), F.lit(two))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    for mark, two in reversed(ESCAPES):
+        text = F.replace(text, F.lit(two), F.lit(mark))
+    return text
+
+
+def named(df: DataFrame, column: str) -> T.StructField:
+    """The field with this name; where no name is the very same, the case doesn't matter. ValueError if there is none."""
+    fields = df.schema.fields
+    found = next((f for f in fields if f.name == column), None) or next((f for f in fields if f.name.lower() == column.lower()), None)
+    if found is None:
+        raise ValueError(f"unknown column: {column}")
+    return found
+
+
 def cell(c: Column, kind: T.DataType, role: str = "") -> Column:
     """Text of one value. role: what the column's metadata say about a text column ("guid" or "time")."""
     if isinstance(kind, T.StringType) or isinstance(kind, (T.CharType, T.VarcharType)):
         if role == "guid":
             text = F.concat(F.lit("g:"), F.lower(F.regexp_replace(F.btrim(c, F.lit("{} ")), r"^(\w{8})-?(\w{4})-?(\w{4})-?(\w{4})-?(\w{12})$", "$1-$2-$3-$4-$5")))
+            text = escaped(text)
         elif role == "time":
-            text = F.regexp_replace(c, r"^(\d):", "0$1:")
+            text = escaped(F.regexp_replace(c, r"^(\d):", "0$1:"))
         else:
-            text = F.concat(F.lit("s:"), c)
+            text = F.concat(F.lit("s:"), escaped(c))
     elif isinstance(kind, T.BooleanType):
         text = F.when(c, "1").otherwise("0")
         text = F.when(c.isNotNull(), text)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        text = F.when(c == 0, "0.0").otherwise(c.cast("string"))  # 0.0 and -0.0 are one number
     elif isinstance(kind, T.DecimalType):
         text = plain_decimal(c.cast("string"))
     elif isinstance(kind, T.TimestampType):
@@ -45,7 +71,8 @@ def cell(c: Column, kind: T.DataType, role: str = "") -> Column:
 
 
 def cells(df: DataFrame, columns: Iterable[str]) -> list[Column]:
-    return [cell(F.col(f"`{c}`"), df.schema[c].dataType, (df.schema[c].metadata or {}).get("role", "")) for c in columns]
+    fields = [named(df, c) for c in columns]
+    return [cell(F.col(f"`{f.name}`"), f.dataType, (f.metadata or {}).get("role", "")) for f in fields]
 
 
 def row_text(df: DataFrame, columns: Iterable[str]) -> Column:
@@ -68,7 +95,7 @@ def key_values(text: Column, kinds: Mapping[str, T.DataType]) -> list[Column]:
     out = []
     for k, (name, kind) in enumerate(kinds.items()):
         part = parts[k]
-        value = F.substring(part, 3, 1 << 30) if isinstance(kind, T.StringType) else F.expr("null")
+        value = unescaped(F.substring(part, 3, 1 << 30)) if isinstance(kind, T.StringType) else F.expr("null")
         if not isinstance(kind, T.StringType):
             value = part.try_cast(kind) if not isinstance(kind, T.BooleanType) else part == "1"
         out.append(F.when(part != NULL, value).alias(name))
@@ -76,9 +103,13 @@ def key_values(text: Column, kinds: Mapping[str, T.DataType]) -> list[Column]:
 
 
 def as_types(df: DataFrame, like: T.StructType) -> DataFrame:
-    """df with the columns it shares with a schema cast to that schema's types; what can't be cast becomes null."""
-    kinds = {f.name: f.dataType for f in like.fields}
-    return df.select(*[coerced(F.col(f"`{f.name}`"), f.dataType, kinds[f.name]).alias(f.name) if f.name in kinds and kinds[f.name] != f.dataType else F.col(f"`{f.name}`") for f in df.schema.fields])
+    """df with the columns it shares with a schema, whatever the case of their names, cast to that schema's types; what can't be cast becomes null."""
+    kinds = {f.name.lower(): f.dataType for f in like.fields}
+    out = []
+    for f in df.schema.fields:
+        want = kinds.get(f.name.lower(), f.dataType)
+        out.append(coerced(F.col(f"`{f.name}`"), f.dataType, want).alias(f.name) if want != f.dataType else F.col(f"`{f.name}`"))
+    return df.select(*out)
 
 
 def coerced(c: Column, have: T.DataType, want: T.DataType) -> Column:

@@ -3,18 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+def base_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share. Only in local mode, where that is unset, a temporary folder takes its place; on a
+    cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for staged tables."""
+    return f"{base_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession, older_than_hours: float = 24) -> int:
+    """Deletes staged tables of this library that nobody has written to for so long; the number of folders that went."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(base_folder(spark))
+    fs, before = place.getFileSystem(spark._jsc.hadoopConfiguration()), (time.time() - 3600 * older_than_hours) * 1000
+    if not fs.exists(place):
+        return 0
+    old = [f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("tidemark-") and f.getModificationTime() < before]
+    return sum(bool(fs.delete(p, True)) for p in old)
 
 
 def snapshot(df: DataFrame) -> DataFrame:
@@ -35,3 +54,13 @@ def replace_path(df: DataFrame, path: str) -> None:
         fs.rename(place(path), place(old))
     fs.rename(place(staged), place(path))
     fs.delete(place(old), True)
+
+
+def remove_partitions(spark: SparkSession, path: str, values: DataFrame) -> None:
+    """Deletes the folders of partitions (a row each) of a Parquet path; they come one at a time, however many."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in values.select(*[values[c].cast("string") for c in values.columns]).toLocalIterator():
+        folder = "/".join(name.getPartitionPathString(c, row[c]) for c in values.columns)
+        fs.delete(place(f"{path}/{folder}"), True)

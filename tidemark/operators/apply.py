@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import as_types, coerced
+from ..functions.canonical import as_types, coerced, named
+from ..functions.staging import remove_partitions, snapshot
+from .diff import duplicate_keys, keyed, short_hash
 from .project import after_key, column_pairs
 
 MODES = ("error", "truncate", "skip_existing")
@@ -36,8 +38,8 @@ def copied(source: DataFrame, target: DataFrame, keys: Sequence[str] = (), mode:
     if mode == "truncate":
         return rows
     if mode == "skip_existing" and keys:
-        return target.unionByName(rows.join(target.select(*keys), list(keys), "left_anti"))
-    if keys and not rows.join(target.select(*keys), list(keys), "left_semi").isEmpty():
+        return target.unionByName(rows.join(target.select(*keyed(target, keys)), list(keys), "left_anti"))
+    if keys and not rows.join(target.select(*keyed(target, keys)), list(keys), "left_semi").isEmpty():
         raise KeyConflict("the target has rows with keys of the source")
     return target.unionByName(rows)
 
@@ -52,19 +54,23 @@ def merged(source: DataFrame, target: DataFrame, keys: Sequence[str], delete_ext
 
     Only columns that the source has change; the others keep their values, and are null in new rows. One join, no second pass.
     """
+    keys = [named(target, k).name for k in keys]
     pairs = {t: s for s, t in column_pairs(source, target.columns)[0]}
     typed = as_types(source.select(*[F.col(f"`{s}`").alias(t) for t, s in pairs.items()]), target.schema)
-    s = typed.select(*keys, F.lit(True).alias("_in"), *[F.col(c).alias(f"_s_{c}") for c in typed.columns if c not in keys])
+    s = typed.select(*keys, F.lit(True).alias("_in"), *[F.col(f"`{c}`").alias(f"_s_{c}") for c in typed.columns if c not in keys])
     both = s.join(target.withColumn("_there", F.lit(True)), list(keys), "left" if delete_extra else "full_outer")
-    value = lambda c: F.when(F.col("_in"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c)
-    return both.select(*[F.col(c) if c in keys or c not in typed.columns else value(c) for c in target.columns])
+    value = lambda c: F.when(F.col("_in"), F.col(f"`_s_{c}`")).otherwise(F.col(f"`{c}`")).alias(c)
+    return both.select(*[F.col(f"`{c}`") if c in keys or c not in typed.columns else value(c) for c in target.columns])
 
 
 def change_set(target: DataFrame, keys: Sequence[str], inserts: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
     """The target after inserts, partial updates and deletes by key, as one unit.
 
-    updates has the keys, new values and `_set`, the names of the columns that a row changes. ValueError for changes by key without a key.
+    updates has the keys, new values and `_set`, the names of the columns that a row changes. ValueError for changes by key without a key;
+    KeyConflict if two updates have one key, since neither could be told to be the last.
     """
+    if updates is not None and keys and not duplicate_keys(updates, keys).isEmpty():
+        raise KeyConflict("two updates have the same key")
     if not keys and (updates is not None or deletes is not None):
         raise ValueError("updates and deletes need a key")
     out = target.unionByName(shaped(inserts, target)) if inserts is not None else target
@@ -87,6 +93,36 @@ def change_set_counts(target: DataFrame, keys: Sequence[str], inserts: DataFrame
     return rows.agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("inserted", "updated", "deleted")])
 
 
+def merge_into_path(source: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str], delete_extra: bool = False) -> DataFrame:
+    """Merges source into a Parquet table that is partitioned by `partitions`, and rewrites only the partitions that change.
+
+    The comparison moves keys, partition values and 32 bytes a row; whole rows are read for partitions with an inserted, updated or (with
+    delete_extra) deleted row only. A row whose update moves it changes both its partitions. New files are complete before old ones go, partition by
+    partition. Returns a row for each partition that changed: its values, inserted, updated, deleted.
+    """
+    spark = source.sparkSession
+    target = spark.read.parquet(path)
+    rows = shaped(source, target)
+    names, both = list(partitions), list(keys)
+    mine = rows.select(*both, F.struct(*names).alias("_ps"), short_hash(rows, target.columns).alias("_hs"))
+    there = target.select(*both, F.struct(*names).alias("_pt"), short_hash(target, target.columns).alias("_ht"))
+    kind = F.when(F.col("_ht").isNull(), "inserted").when(F.col("_hs").isNull(), "deleted").otherwise("updated")
+    joined = mine.join(there, both, "full_outer").where(~F.col("_hs").eqNullSafe(F.col("_ht")))
+    found = joined.select(*both, "_ps", "_pt", kind.alias("kind"))
+    found = snapshot(found if delete_extra else found.where("kind <> 'deleted'"))
+    sides = found.select("kind", F.explode(F.array_distinct(F.array_compact(F.array("_ps", "_pt")))).alias("_p"))
+    changed = snapshot(sides.groupBy("_p").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("inserted", "updated", "deleted")]).select("_p.*", "inserted", "updated", "deleted"))
+    same = lambda df: [df[c].eqNullSafe(changed[c]) for c in names]
+    old = target.join(changed, same(target), "left_semi")
+    wanted = old.select(*both).unionByName(found.select(*both)).distinct()
+    new = merged(rows.join(wanted, both, "left_semi"), old, both, delete_extra)
+    staged = snapshot(new)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
+    empty = changed.join(staged, same(staged), "left_anti")
+    remove_partitions(spark, path, empty.select(*names))
+    return changed
+
+
 def truncated(table: DataFrame) -> DataFrame:
     """No rows, same schema."""
     return table.limit(0)

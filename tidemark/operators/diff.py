@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.canonical import as_types, cell, key_text, row_text
+from ..functions.canonical import as_types, cell, key_text, named, row_text
 from ..functions.staging import snapshot
-from .project import after_key
+from .project import after_key, within
 
 INSERT, UPDATE, DELETE, SAME = "insert", "update", "delete", "same"
 
@@ -33,8 +33,13 @@ def short_hash(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.unhex(F.sha2(row_text(df, columns), 256))
 
 
+def keyed(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """The key columns, named as asked for."""
+    return [F.col(f"`{named(df, k).name}`").alias(k) for k in keys]
+
+
 def hashed(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    return df.select(*keys, short_hash(df, columns).alias(name))
+    return df.select(*keyed(df, keys), short_hash(df, columns).alias(name))
 
 
 def classified(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,11 +56,11 @@ def row_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], columns:
 
 
 def inserted(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return source.join(target.select(*keys), list(keys), "left_anti")
+    return source.join(target.select(*keyed(target, keys)), list(keys), "left_anti")
 
 
 def deleted(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return target.join(source.select(*keys), list(keys), "left_anti")
+    return target.join(source.select(*keyed(source, keys)), list(keys), "left_anti")
 
 
 def updated(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -74,16 +79,21 @@ def summary(source: DataFrame, target: DataFrame, keys: Sequence[str], columns:
 
 
 def multiset_diff(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Tables without a key: rows as a multiset of hashes; how many each side has more than the other, with one row of the hash."""
+    """Tables without a key: rows as a multiset of hashes; how many each side has more than the other, with one row of the hash.
+
+    Only hashes are counted and compared; whole rows are fetched for the hashes that differ.
+    """
     columns = columns or shared_columns(source, target)
     source = as_types(source, target.schema)
-
-    def counted(df: DataFrame, n: str, row: str) -> DataFrame:
-        return df.select(short_hash(df, columns).alias("row_hash"), F.struct(*columns).alias("r")).groupBy("row_hash").agg(F.count(F.lit(1)).alias(n), F.first("r").alias(row))
-
-    both = counted(source, "ns", "rs").join(counted(target, "nt", "rt"), "row_hash", "full_outer")
-    more = F.coalesce("ns", F.lit(0)) - F.coalesce("nt", F.lit(0))
-    return both.where(more != 0).select(F.coalesce("rs", "rt").alias("row"), F.greatest(more, F.lit(0)).alias("only_source"), F.greatest(-more, F.lit(0)).alias("only_target")).select("row.*", "only_source", "only_target")
+    one = lambda df, s, t: df.select(short_hash(df, columns).alias("row_hash"), F.lit(s).alias("s"), F.lit(t).alias("t"))
+    counts = one(source, 1, 0).unionAll(one(target, 0, 1)).groupBy("row_hash").agg((F.sum("s") - F.sum("t")).alias("more"))
+    differs = snapshot(counts.where("more <> 0"))
+    row = lambda df: df.select(short_hash(df, columns).alias("row_hash"), F.struct(*[F.col(f"`{named(df, c).name}`").alias(c) for c in columns]).alias("row"))
+    # what the source has more of is fetched from the source, the rest from the target
+    found = row(source).join(differs.where("more > 0"), "row_hash").unionAll(row(target).join(differs.where("more < 0"), "row_hash"))
+    first = found.groupBy("row_hash").agg(F.first("row").alias("row"), F.first("more").alias("more"))
+    zero = F.lit(0).cast("long")
+    return first.select("row.*", F.greatest("more", zero).alias("only_source"), F.greatest(-F.col("more"), zero).alias("only_target"))
 
 
 def windows(source: DataFrame, target: DataFrame, keys: Sequence[str], size: int, columns: Sequence[str] | None = None) -> DataFrame:
@@ -123,7 +133,7 @@ def window_counts(placed: DataFrame) -> DataFrame:
 
 def diff_keys(source: DataFrame, target: DataFrame, keys: Sequence[str], cap: int = 2000) -> DataFrame:
     """The first `cap` keys of each class with a flag that says whether there are more."""
-    found = row_diff(source, target, keys)
+    found = snapshot(row_diff(source, target, keys))  # keys only; read for the list and for the totals
     order = W.partitionBy("change_type").orderBy(*keys)
     first = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= cap)
     totals = found.groupBy("change_type").agg(F.count(F.lit(1)).alias("total"))
@@ -146,24 +156,25 @@ def samples(source: DataFrame, target: DataFrame, keys: Sequence[str], size: int
 
 
 def diff_page(source: DataFrame, target: DataFrame, keys: Sequence[str], change_type: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of the differences of one class with both sides' values."""
-    found = row_diff(source, target, keys).where(F.col("change_type") == change_type).orderBy(*keys).offset(offset).limit(min(200, limit))
+    """A page (200 rows at most, else ValueError) of the differences of one class with both sides' values."""
+    found = row_diff(source, target, keys).where(F.col("change_type") == change_type).orderBy(*keys).offset(offset).limit(within(limit, 200))
     return side_by_side(found, source, target, keys)
 
 
 def changed_cells(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """keys, column, old (target) and new (source) text of each changed cell of updated rows."""
-    columns = [c for c in columns or shared_columns(source, target) if c not in keys]
+    """keys, column, old (target) and new (source) text of each changed cell of updated rows. One join; equal cells leave nothing behind."""
+    low = {k.lower() for k in keys}
+    columns = [c for c in columns or shared_columns(source, target) if c.lower() not in low]
     source = as_types(source, target.schema)
-    ids = updated(source, target, keys).select(*keys)
-    s = source.join(ids, list(keys), "left_semi").select(*keys, *[F.col(c).alias(f"_s_{c}") for c in columns])
-    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in columns])
+    side = lambda df, p: df.select(*keyed(df, keys), *[F.col(f"`{named(df, c).name}`").alias(f"{p}{i}") for i, c in enumerate(columns)])
+    both = side(source, "_s").join(side(target, "_t"), list(keys))
     each = []
-    for c in columns:
-        kind = target.schema[c].dataType
-        differs = cell(F.col(f"_s_{c}"), kind) != cell(F.col(f"_t_{c}"), kind)
-        each.append(F.when(differs, F.struct(F.lit(c).alias("column"), F.col(f"_t_{c}").cast("string").alias("old_value"), F.col(f"_s_{c}").cast("string").alias("new_value"))))
-    both = s.join(t, list(keys))
+    for i, c in enumerate(columns):
+        field = named(target, c)
+        role = (field.metadata or {}).get("role", "")
+        differs = cell(F.col(f"_s{i}"), field.dataType, role) != cell(F.col(f"_t{i}"), field.dataType, role)
+        change = F.struct(F.lit(c).alias("column"), F.col(f"_t{i}").cast("string").alias("old_value"), F.col(f"_s{i}").cast("string").alias("new_value"))
+        each.append(F.when(differs, change))
     return both.select(*keys, F.explode(F.array_compact(F.array(*each))).alias("_c")).select(*keys, "_c.*")
 
 

@@ -137,11 +137,18 @@ def key_lookup(df: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFra
     return df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def within(limit: int, most: int) -> int:
+    """A number of rows from 1 to most; ValueError beyond that, so that nobody takes a part for the whole."""
+    if limit > most:
+        raise ValueError(f"at most {most} rows at a time, not {limit}")
+    return max(1, limit)
+
+
 def page(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]] = (), limit: int = 200, offset: int = 0, filters: Iterable[Filter] = ()) -> DataFrame:
-    """A page of 1 to 10,000 rows; order: (column, descending), by default the keys."""
+    """A page of 1 to 10,000 rows (ValueError for more); order: (column, descending), by default the keys."""
     rows = filtered(df, filters)
     by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order] + [F.col(k).asc() for k in keys if k not in {c for c, _ in order}]
-    return rows.orderBy(*by).offset(max(0, offset)).limit(min(10_000, max(1, limit)))
+    return rows.orderBy(*by).offset(max(0, offset)).limit(within(limit, 10_000))
 
 
 def page_total(df: DataFrame, filters: Iterable[Filter] = ()) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import replace_path, snapshot
 from ..operators import apply, diff, verify
 from ..operators.mask import MaskRule, masked
-from ..operators.project import mapped, where_fragment
+from ..operators.project import mapped, where_fragment, within
 
 REPORT = "`table` string, method string, inserted long, updated long, deleted long, rows long, verified boolean, error string"
 COMPARISON = "`table` string, source_rows long, target_rows long, inserted long, updated long, deleted long, structure_changes long, error string"
@@ -34,7 +35,7 @@ class TableSelection:
 
 
 def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A row for each table with its number of rows, and the share of the total; Parquet answers counts from its footers."""
+    """A row for each table with its number of rows; Parquet answers counts from its footers."""
     each = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in tables.items()]
     return functools.reduce(DataFrame.unionByName, each)
 
@@ -72,26 +73,41 @@ def compare_tables(spark: SparkSession, sources: Mapping[str, DataFrame], target
 
 def sync_table(source: DataFrame, target: DataFrame, s: TableSelection) -> DataFrame:
     """The target's new content."""
-    rows = prepared(source, target, s)
+    return synced(prepared(source, target, s), target, s)
+
+
+def synced(rows: DataFrame, target: DataFrame, s: TableSelection) -> DataFrame:
     if s.method == "row_diff" and s.keys:
         return apply.merged(rows, target, s.keys, s.delete_extra)
     return apply.copied(rows, target, s.keys, s.conflict)
 
 
-def sync_tables(spark: SparkSession, sources: Mapping[str, DataFrame], targets: Mapping[str, DataFrame], selections: Mapping[str, TableSelection]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """New content of each table, and a report row for each; a table that fails doesn't stop the others."""
+def sync_tables(
+    spark: SparkSession, sources: Mapping[str, DataFrame], targets: Mapping[str, DataFrame], selections: Mapping[str, TableSelection], paths: Mapping[str, str] | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """New content of each table, and a report row for each; a table that fails doesn't stop the others.
+
+    A table's prepared source and new content are written once, to the shared folder, and everything in the report is read from there. Where paths
+    has the table, its new content replaces the Parquet table at that path after its check.
+    """
     done, rows = {}, []
     for name, s in selections.items():
         method = s.method if s.keys or s.method == "full_copy" else "full_copy"
         try:
             source, target = sources[name], targets[name]
-            new = sync_table(source, target, s)
-            n = diff.summary(prepared(source, target, s), target, s.keys).first() if s.keys else None
+            mine = snapshot(prepared(source, target, s))
+            new = snapshot(synced(mine, target, s))
+            n = diff.summary(mine, target, s.keys).first() if s.keys else None
             total = new.count()
             ok = None
             if s.verify != "none":
-                mine = prepared(source, target, s)
-                ok = verify.full(mine, new, s.keys).first().passed if s.verify == "full" and s.keys else verify.sample(mine, new, s.keys).first().passed if s.verify == "sample" and s.keys else total == mine.count()
+                if s.verify in ("full", "sample") and s.keys:
+                    ok = (verify.full if s.verify == "full" else verify.sample)(mine, new, s.keys).first().passed
+                else:
+                    ok = total == mine.count()
+            if paths and name in paths:
+                replace_path(new, paths[name])
+                new = spark.read.parquet(paths[name])
             done[name] = new
             rows.append((name, method, n.inserted if n else total, n.updated if n else 0, n.deleted if n else 0, total, ok, None))
         except (PySparkException, ValueError, KeyError) as e:
@@ -107,8 +123,8 @@ def run_status(report: DataFrame) -> DataFrame:
 
 
 def run_history(runs: DataFrame, kind: str | None = None, status: str | None = None, profile: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page (at most 200) of saved runs, newest first."""
+    """A page (200 rows at most, else ValueError) of saved runs, newest first."""
     for c, v in (("kind", kind), ("status", status), ("profile", profile)):
         if v is not None:
             runs = runs.where(F.col(c) == v)
-    return runs.orderBy(F.col("started").desc(), F.col("run_id").desc()).offset(max(0, offset)).limit(min(200, max(1, limit)))
+    return runs.orderBy(F.col("started").desc(), F.col("run_id").desc()).offset(max(0, offset)).limit(within(limit, 200))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Mapping
 from typing import Any, NamedTuple
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-READS = frozenset("select with explain show values table describe from".split())
+from ..operators.project import within
+
+#: Commands that only read, by the starts of their plans' names (fixed values).
+READING_COMMANDS = ("Show", "Describe", "ExplainCommand")
+MOST_ROWS = 100_000
 
 
 class Result(NamedTuple):
@@ -18,11 +22,22 @@ class Result(NamedTuple):
     seconds: float
 
 
-def is_read_only(sql: str) -> bool:
-    """Whether the first word after comments and brackets only reads."""
-    text = re.sub(r"^(?:\s|\(|--[^\n]*(?:\n|$)|/\*.*?\*/)+", "", sql, flags=re.S)
-    first = re.match(r"[A-Za-z]+", text)
-    return bool(first) and first[0].lower() in READS
+def is_read_only(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's own parser finds a statement that only reads: no command (but those that show something) and no insert at any depth."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException:
+        return False
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    kinds = [spark._jvm.java.lang.Class.forName(f"{logical}.{name}") for name in ("Command", "ParsedStatement")]
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        if any(kind.isInstance(node) for kind in kinds) and not node.nodeName().startswith(READING_COMMANDS):
+            return False
+        children = node.children()
+        open_ += [children.apply(k) for k in range(children.size())]
+    return True
 
 
 def _named(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
@@ -32,18 +47,20 @@ def _named(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
 
 def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], args: Mapping[str, Any] | None = None, read_only: bool = False) -> DataFrame:
     """The rows of one statement, not capped. PermissionError if it isn't a read and must be."""
-    if read_only and not is_read_only(sql):
+    if read_only and not is_read_only(spark, sql):
         raise PermissionError("this connection only reads")
     _named(spark, tables)
     return spark.sql(sql, args=dict(args or {}))
 
 
 def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], max_rows: int = 1000, args: Mapping[str, Any] | None = None, read_only: bool = False) -> Result:
-    """At most max_rows rows, with a message when that many came."""
+    """At most max_rows rows (100,000 at most, else ValueError), with a message when that many came. The statement runs once: its rows are kept
+    in the executors until the caller unpersists them."""
     began = time.monotonic()
-    rows = query(spark, sql, tables, args, read_only).limit(min(100_000, max(1, max_rows)))
-    capped = rows.count() >= max_rows
-    return Result(rows, [f"the first {max_rows} rows; there may be more"] * capped, time.monotonic() - began)
+    limit = within(max_rows, MOST_ROWS)
+    rows = query(spark, sql, tables, args, read_only).limit(limit).persist()
+    capped = rows.count() >= limit
+    return Result(rows, [f"the first {limit} rows; there may be more"] * capped, time.monotonic() - began)
 
 
 def explain(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
