@@ -85,6 +85,21 @@ def row_hash(df: DataFrame, columns: Iterable[str]) -> Column:
     return F.upper(F.sha2(row_text(df, columns), 256))
 
 
+def value_hash(df: DataFrame, columns: Iterable[str]) -> Column:
+    """128 bits of a row's typed values, for comparing rows whose types have been aligned: equal for rows with one row text. xxHash64 with two seeds over
+    values and null marks, a tenth of the time of the row text; hashes that leave this process are `row_hash`."""
+    parts = []
+    for name in sorted(columns, key=str.lower):
+        f = named(df, name)
+        c, role = F.col(f"`{f.name}`"), (f.metadata or {}).get("role", "")
+        if role or isinstance(f.dataType, NESTED):
+            c = cell(c, f.dataType, role)
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
+        parts += [F.isnull(c), c]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(0x5EED), *parts).alias("b"))
+
+
 def key_text(df: DataFrame, keys: Iterable[str]) -> Column:
     return F.concat(*[x for v in cells(df, keys) for x in (v, F.lit(KEY_END))])
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import as_types, coerced, named
+from ..functions.canonical import as_types, coerced, named, value_hash
 from ..functions.staging import remove_partitions, snapshot
-from .diff import duplicate_keys, keyed, short_hash
+from .diff import duplicate_keys, keyed
 from .project import after_key, column_pairs
 
 MODES = ("error", "truncate", "skip_existing")
@@ -96,7 +96,7 @@ def change_set_counts(target: DataFrame, keys: Sequence[str], inserts: DataFrame
 def merge_into_path(source: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str], delete_extra: bool = False) -> DataFrame:
     """Merges source into a Parquet table that is partitioned by `partitions`, and rewrites only the partitions that change.
 
-    The comparison moves keys, partition values and 32 bytes a row; whole rows are read for partitions with an inserted, updated or (with
+    The comparison moves keys, partition values and 16 bytes a row; whole rows are read for partitions with an inserted, updated or (with
     delete_extra) deleted row only. A row whose update moves it changes both its partitions. New files are complete before old ones go, partition by
     partition. Returns a row for each partition that changed: its values, inserted, updated, deleted.
     """
@@ -104,8 +104,8 @@ def merge_into_path(source: DataFrame, path: str, keys: Sequence[str], partition
     target = spark.read.parquet(path)
     rows = shaped(source, target)
     names, both = list(partitions), list(keys)
-    mine = rows.select(*both, F.struct(*names).alias("_ps"), short_hash(rows, target.columns).alias("_hs"))
-    there = target.select(*both, F.struct(*names).alias("_pt"), short_hash(target, target.columns).alias("_ht"))
+    mine = rows.select(*both, F.struct(*names).alias("_ps"), value_hash(rows, target.columns).alias("_hs"))
+    there = target.select(*both, F.struct(*names).alias("_pt"), value_hash(target, target.columns).alias("_ht"))
     kind = F.when(F.col("_ht").isNull(), "inserted").when(F.col("_hs").isNull(), "deleted").otherwise("updated")
     joined = mine.join(there, both, "full_outer").where(~F.col("_hs").eqNullSafe(F.col("_ht")))
     found = joined.select(*both, "_ps", "_pt", kind.alias("kind"))

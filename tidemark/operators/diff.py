@@ -1,4 +1,4 @@
-"""Comparison of two tables by key and row hash.
+"""Comparison of two tables by key and a 128-bit hash of the values.
 
 The full outer join carries keys and hashes only; whole rows are fetched for the keys that differ. Source values are cast to the
 target's types before hashing. Keys must be unique and not null; check_keys finds what isn't.
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.canonical import as_types, cell, key_text, named, row_text
+from ..functions.canonical import as_types, cell, key_text, named, value_hash
 from ..functions.staging import snapshot
 from .project import after_key, within
 
@@ -28,18 +28,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def short_hash(df: DataFrame, columns: Sequence[str]) -> Column:
-    """The row hash as 32 bytes, half of what its text would move."""
-    return F.unhex(F.sha2(row_text(df, columns), 256))
-
-
 def keyed(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     """The key columns, named as asked for."""
     return [F.col(f"`{named(df, k).name}`").alias(k) for k in keys]
 
 
 def hashed(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    return df.select(*keyed(df, keys), short_hash(df, columns).alias(name))
+    return df.select(*keyed(df, keys), value_hash(df, columns).alias(name))
 
 
 def classified(source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -67,7 +62,7 @@ def updated(source: DataFrame, target: DataFrame, keys: Sequence[str], columns:
     """Source rows whose key is in the target with other values."""
     columns = columns or shared_columns(source, target)
     typed = as_types(source, target.schema)
-    mine = typed.withColumn("_hs", short_hash(typed, columns))
+    mine = typed.withColumn("_hs", value_hash(typed, columns))
     # null-safe, so that no filter for nulls computes the hashes a second time
     return mine.join(hashed(target, keys, columns, "_ht"), list(keys)).where(~F.col("_hs").eqNullSafe(F.col("_ht"))).drop("_hs", "_ht")
 
@@ -85,10 +80,10 @@ def multiset_diff(source: DataFrame, target: DataFrame, columns: Sequence[str] |
     """
     columns = columns or shared_columns(source, target)
     source = as_types(source, target.schema)
-    one = lambda df, s, t: df.select(short_hash(df, columns).alias("row_hash"), F.lit(s).alias("s"), F.lit(t).alias("t"))
+    one = lambda df, s, t: df.select(value_hash(df, columns).alias("row_hash"), F.lit(s).alias("s"), F.lit(t).alias("t"))
     counts = one(source, 1, 0).unionAll(one(target, 0, 1)).groupBy("row_hash").agg((F.sum("s") - F.sum("t")).alias("more"))
     differs = snapshot(counts.where("more <> 0"))
-    row = lambda df: df.select(short_hash(df, columns).alias("row_hash"), F.struct(*[F.col(f"`{named(df, c).name}`").alias(c) for c in columns]).alias("row"))
+    row = lambda df: df.select(value_hash(df, columns).alias("row_hash"), F.struct(*[F.col(f"`{named(df, c).name}`").alias(c) for c in columns]).alias("row"))
     # what the source has more of is fetched from the source, the rest from the target
     found = row(source).join(differs.where("more > 0"), "row_hash").unionAll(row(target).join(differs.where("more < 0"), "row_hash"))
     first = found.groupBy("row_hash").agg(F.first("row").alias("row"), F.first("more").alias("more"))
