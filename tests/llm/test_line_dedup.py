@@ -75,7 +75,7 @@ def test_runs_are_merged_without_a_shuffle_and_settled_runs_are_compacted(spark,
     runs = line_dedup.LineRuns(spark, min_docs=3, buckets=3)
     for k in range(8):
         runs.add(line_dedup.distinct_keys(docs([(10 * k + j, f"hot\nline {k // 2}\nown {k} {j}") for j in range(3)]), "text", "doc_id", 1))
-        assert len(runs.settled) <= runs.fanout and all(len(level) < runs.fanout for level in runs.levels)
+        assert len(runs.settled) <= runs.fanout + 1 and all(len(level) < runs.fanout for level in runs.levels)
     plan = runs._merged([*runs.settled, *(run for level in runs.levels for run in level)])._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]

@@ -2,8 +2,8 @@
 
 A levelled store of sorted runs in the shared folder holds (line hash, number of documents). All runs are bucketed by the hash in the same way,
 so joins and merges of runs read bucket by bucket, without a shuffle. Each batch of documents is reduced to one run; it is merge-joined
-with the settled run (hashes that already reached the threshold): what is found there goes on counting beside the levels, and the rest, by
-an anti-join, becomes a level-0 run. When a level holds FANOUT runs they are merged into one run of the next level, and
+with the settled runs (hashes that already reached the threshold): what is found there goes on counting beside the levels, and the rest, which
+the join leaves unmatched, becomes a level-0 run. When a level holds FANOUT runs they are merged into one run of the next level, and
 hashes that reach the threshold move to the settled runs, which are compacted in the same way. Every line of every batch is counted exactly once.
 
 Defined results: null and empty texts are one empty line; keys shorter than `min_chars` code points are never dropped; a line
@@ -14,6 +14,7 @@ columns are carried whatever their names, except that n_lines and n_dropped take
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterable
 
@@ -56,7 +57,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.folder, self.made, self.total = scratch(spark), 0, 0
+        self.folder, self.made = scratch(spark), 0
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
 
@@ -81,18 +82,19 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch: a row for each document and distinct key."""
-        counts = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-        new = self._run(counts.repartition(self.buckets, *KEYS), "batch")
-        self.total += new.agg(F.sum("n")).first()[0] or 0
+        new = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).repartition(self.buckets, *KEYS)
         if self.settled:
-            known = self._merged(self.settled).select(*KEYS).hint("merge")
-            self.settled.append(self._run(new.join(known, KEYS, "left_semi"), "again"))
-            new = self._run(new.join(known, KEYS, "left_anti"), "run")
-        self.levels[0].append(new)
+            known = self._merged(self.settled).select(*KEYS, F.lit(True).alias("known")).hint("merge")
+            # one merge join says of each key whether it is settled; both parts are written together
+            new = self._run(new.join(known, KEYS, "left"), "run")
+            self.settled.append(new.where("known").drop("known"))
+            self.levels[0].append(new.where("known is null").drop("known"))
+        else:
+            self.levels[0].append(self._run(new, "run"))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
-        if len(self.settled) >= self.fanout:
+        if len(self.settled) > self.fanout:
             self.settled = [self._run(self._merged(self.settled), "settled")]
 
     def _compact(self, level: int) -> None:
@@ -106,7 +108,9 @@ class LineRuns:
     def shared(self) -> tuple[DataFrame, int]:
         """Keys found in at least min_docs documents with their number of documents, and the sum of all keys' numbers."""
         runs = self.settled + [run for level in self.levels for run in level]
-        return self._run(self._merged(runs).where(F.col("n") >= self.min_docs), "shared"), self.total
+        sums = [run.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")) for run in runs]
+        total = functools.reduce(DataFrame.unionAll, sums).agg(F.sum("n")).first()[0]
+        return self._run(self._merged(runs).where(F.col("n") >= self.min_docs), "shared"), total
 
 
 def in_batches(docs: DataFrame, batches: int = BATCHES, text: str = "text", doc_id: str = "doc_id") -> Iterable[DataFrame]:
