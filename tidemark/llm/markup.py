@@ -39,12 +39,12 @@ CLOSES = {name: ENDS.get(name, frozenset()) | (frozenset({"p"}) if name in ENDS_
 
 
 class Element:
-    """A place in the page: an element's signature below the place of the element around it. Places with equal paths have equal tokens.
+    """A place in the page: a path of signatures. Elements of one path share their place.
 
     Only elements that begin a block or carry a class, id or role make a place; others share that of the element around them.
     """
 
-    __slots__ = ("parent", "name", "signature", "depth", "token", "facts")
+    __slots__ = ("parent", "name", "signature", "depth", "token", "facts", "below")
 
     def __init__(self, parent: Element | None, name: str, signature: str) -> None:
         self.parent, self.name, self.signature = parent, name, signature
@@ -52,6 +52,13 @@ class Element:
         # a running hash of the path, so a path costs the same at any depth; even, as texts have odd tokens
         self.token = xxhash.xxh3_64_intdigest(f"{parent.token if parent else 0}\x1f{signature}") >> 2 << 1
         self.facts = None  # what a caller derives from the path
+        self.below: dict[str, Element] = {}
+
+    def child(self, name: str, signature: str) -> Element:
+        found = self.below.get(signature)
+        if found is None:
+            found = self.below[signature] = Element(self, name, signature)
+        return found
 
     def path(self) -> tuple[str, ...]:
         out, at = [], self
@@ -177,7 +184,7 @@ def blocks(page: str | None, hrefs: list[str] | None = None) -> Iterator[Block]:
                     at = end.end() if end else len(page)
                 else:
                     own = signature(name, m[3])
-                    opened.push(name, Element(place(), name, own) if name in BLOCK or "." in own else place())
+                    opened.push(name, place().child(name, own) if name in BLOCK or "." in own else place())
                     links += name == "a"
                     if hrefs is not None and name == "a":
                         hrefs += [decoded(v.strip("\"'")).strip() for k, v in ATTRIBUTE.findall(m[3]) if k.lower() == "href"][:1]
