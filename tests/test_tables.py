@@ -333,3 +333,12 @@ def test_old_staged_tables_are_cleared(spark, users):
     assert staging.clear_staged(spark, 24) == 0
     kept = staging.base_folder(spark)
     assert kept and staging.shared_folder(spark).startswith(kept)
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_json_columns_come_as_first_seen(spark, tmp_path, lines):
+    objects = ['{"z": 1, "b": {"y": [1, 2]}}', '{"a": null, "b": "t", "z": true}', '{"c d": 1.50, "a": "x"}']
+    (tmp_path / "a.json").write_text("\n".join(objects) if lines else "[" + ",\n".join(objects) + "]")
+    df = readers.import_json(spark, str(tmp_path / "a.json"), lines)
+    assert df.columns == ["z", "b", "a", "c d"]
+    assert [tuple(r) for r in df.collect()] == [("1", '{"y": [1, 2]}', None, None), ("true", "t", None, None), (None, None, "x", "1.50")]
