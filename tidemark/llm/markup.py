@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -96,15 +96,15 @@ class Open:
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, Element]] = []
-        self.total: Counter[str] = Counter()
-        self.scopes: list[tuple[str, Counter[str]]] = [("", Counter())]
+        self.total: defaultdict[str, int] = defaultdict(int)
+        self.scopes: list[tuple[str, defaultdict[str, int]]] = [("", defaultdict(int))]
 
     def push(self, name: str, place: Element) -> None:
         self.stack.append((name, place))
         self.total[name] += 1
         self.scopes[-1][1][name] += 1
         if name in HOLDS:
-            self.scopes.append((name, Counter()))
+            self.scopes.append((name, defaultdict(int)))
 
     def close(self, names: frozenset[str]) -> list[str]:
         """Ends the innermost element with one of the names and all inside it; their names."""
@@ -124,7 +124,13 @@ class Open:
 
     def inside(self, names: frozenset[str]) -> bool:
         """Whether one of the names is open in the scope, or is the element around it."""
-        return self.scopes[-1][0] in names or any(self.scopes[-1][1][x] > 0 for x in names)
+        around, counts = self.scopes[-1]
+        if around in names:
+            return True
+        for x in names:
+            if counts.get(x):
+                return True
+        return False
 
 
 def blocks(page: str | None, hrefs: list[str] | None = None) -> Iterator[Block]:
