@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,7 @@ from tidemark.operators.project import Filter
 from tidemark.plans import report, schema
 from tidemark.plans import sql as free_sql
 from tidemark.plans.report import TableSelection
-from tidemark.sources import readers, writers
+from tidemark.sources import databases, readers, writers
 
 USERS = "id long, name string, age int"
 
@@ -342,3 +345,60 @@ def test_json_columns_come_as_first_seen(spark, tmp_path, lines):
     df = readers.import_json(spark, str(tmp_path / "a.json"), lines)
     assert df.columns == ["z", "b", "a", "c d"]
     assert [tuple(r) for r in df.collect()] == [("1", '{"y": [1, 2]}', None, None), ("true", "t", None, None), (None, None, "x", "1.50")]
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@pytest.fixture
+def stored(spark):
+    """A database table: text keys with quotes, a null in the key."""
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    df = spark.createDataFrame([(f"o'{k % 3}" if k else None, k, f"n{k}") for k in range(20)], "a string, b long, c string")
+    df.where("a is not null").repartition(1).write.format("jdbc").options(url=url, dbtable="t", createTableColumnTypes="a varchar(8), c varchar(8)", **DERBY).save()
+    databases._execute(spark, url, DERBY, ["INSERT INTO t (\"b\", \"c\") VALUES (0, 'n0')"])
+    return url, df
+
+
+@pytest.mark.parametrize("keys", [["a"], ["a", "b"], ["b", "a"], ["b"], ["c"]])
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_databases_are_read_by_any_key(spark, stored, keys, partitions):
+    url, df = stored
+    found = readers.jdbc(spark, url, "t", keys, partitions, DERBY)
+    assert sorted(map(str, found.collect())) == sorted(map(str, df.collect()))
+    assert min(partitions, 2) <= found.rdd.getNumPartitions() <= min(partitions, 21)
+
+
+def test_ranges_of_an_empty_table(spark, stored):
+    url, _ = stored
+    databases._execute(spark, url, DERBY, ["DELETE FROM t"])
+    assert readers.jdbc(spark, url, "t", ["a", "b"], 3, DERBY).count() == 0
+    assert readers.jdbc(spark, url, "t", "b", 3, DERBY).count() == 0
+
+
+def test_changes_are_written_in_one_transaction(spark, stored):
+    url, _ = stored
+    upserts = spark.createDataFrame([("n5", 5, "five"), ("x", 100, "new")], "c string, b long, a string").select("a", "b", "c")
+    gone = spark.createDataFrame([(7,), (7,), (8,), (999,)], "b long")
+    assert databases.apply_changes(url, "t", ["b"], upserts, gone, properties=DERBY) == {"written": 2, "deleted": 2}
+    now = {r.b: (r.a, r.c) for r in readers.jdbc(spark, url, "t", properties=DERBY).collect()}
+    assert len(now) == 19 and now[5] == ("five", "n5") and now[100] == ("new", "x") and 7 not in now and 8 not in now
+    with pytest.raises(apply.KeyConflict):
+        databases.apply_changes(url, "t", ["b"], upserts.unionByName(upserts), properties=DERBY)
+    with pytest.raises(ValueError, match="lack"):
+        databases.apply_changes(url, "t", ["b"], upserts.drop("c"), properties=DERBY)
+
+
+def test_a_failed_transaction_leaves_the_table(spark, stored):
+    url, _ = stored
+    with pytest.raises(Exception, match="NOWHERE"):
+        databases._execute(spark, url, DERBY, ["DELETE FROM t", "DELETE FROM nowhere"])
+    assert readers.jdbc(spark, url, "t", properties=DERBY).count() == 20
+
+
+def test_result_as_one_json_array(users):
+    text = writers.result_json(users.withColumn("x", F.lit(None).cast("int")), ["id"]).first().json
+    assert json.loads(text)[1] == {"id": 2, "name": "bob", "age": 25, "x": None} and "\n" in text
+    assert writers.result_json(users.limit(0), ["id"], pretty=False).first().json == "[]"
+    with pytest.raises(Exception, match="more than 2 rows"):
+        writers.result_json(users, ["id"], 2).collect()

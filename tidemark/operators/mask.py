@@ -78,3 +78,26 @@ def issues(df: DataFrame, keys: Sequence[str], rules: Sequence[MaskRule]) -> Dat
     found += [("warning", r.pattern, "no column matches this rule") for r in rules if not any(matches(r.pattern, c) for c in df.columns)]
     found += [("error", r.pattern, f"unknown mask: {r.kind}") for r in rules if r.kind not in KINDS or re.fullmatch(r"\**", r.pattern) and r.pattern != "*"]
     return df.sparkSession.createDataFrame(found, "level string, column string, message string")
+
+
+def _matched(pattern: str, column: Column) -> Column:
+    p, c = pattern.lower(), F.lower(column)
+    if p == "*":
+        return F.lit(True)
+    if p.endswith("*"):
+        return c.startswith(p[:-1])
+    return c.endswith(p[1:]) if p.startswith("*") else c == p
+
+
+def catalogue_issues(catalogue: DataFrame, rules: Sequence[MaskRule]) -> DataFrame:
+    """table, column, message for a catalogue of columns (table, column, is_key): key columns whose first rule is a random mask, and rules that
+    match no column of a table. One pass over the catalogue."""
+    rule = F.lit(None).cast("string")
+    for r in reversed(rules):
+        rule = F.when(_matched(r.pattern, F.col("column")), r.kind).otherwise(rule)
+    by_column = F.when(F.col("is_key") & rule.startswith("random"), F.col("column"))
+    unused = [F.when(~F.bool_or(_matched(r.pattern, F.col("column"))), r.pattern) for r in rules]
+    found = catalogue.groupBy("table").agg(F.collect_set(by_column).alias("keys"), F.array_compact(F.array(*unused)).alias("unused"))
+    said = lambda names, text: F.transform(names, lambda c: F.struct(c.alias("column"), F.lit(text).alias("message")))
+    both = F.concat(said("keys", "a random mask makes other keys of it"), said("unused", "no column matches this rule"))
+    return found.select("table", F.inline(both))

@@ -6,6 +6,7 @@ key % 7 = 0 have another value, and rows with key % 50 = 0 exist a second time u
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +22,7 @@ from .operators.project import Filter
 from .plans import report, schema
 from .plans import sql as free_sql
 from .plans.report import TableSelection
-from .sources import readers, writers
+from .sources import databases, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +104,24 @@ def jdbc_round_trip(spark, d):
     return readers.jdbc(spark, url, name, "c_custkey", 4, driver)
 
 
+@query(f"""SELECT * FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT * FROM {drift_sql('customer')} WHERE c_custkey % 2 = 1""")
+def jdbc_apply_changes(spark, d):
+    """A stored table gets only its changed rows (those of even keys, and deletes), in one transaction, and is read by ranges of a key of text and
+    numbers. The database is that of jdbc_round_trip."""
+    url = spark.conf.get("spark.tidemark.jdbc.url", f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true")
+    driver = {"driver": spark.conf.get("spark.tidemark.jdbc.driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver")}
+    name = f"customer_{uuid.uuid4().hex[:8]}"
+    types = {"createTableColumnTypes": "c_name varchar(64), c_mktsegment varchar(32)"}
+    source, target, keys = sides(spark, d, "customer")
+    writers.write_jdbc(target, url, name, partitions=4, properties=driver | types)
+    stored = readers.jdbc(spark, url, name, keys, 4, driver)
+    kinds = staging.snapshot(diff.row_diff(source, stored, keys))
+    upserts = source.join(kinds.where("change_type <> 'delete' AND c_custkey % 2 = 0"), keys, "left_semi")
+    databases.apply_changes(url, name, keys, upserts, kinds.where("change_type = 'delete'"), partitions=4, properties=driver)
+    return readers.jdbc(spark, url, name, ["c_mktsegment", "c_custkey"], 4, driver)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 500")
 def keyset_page(spark, d):
     return project.keyset_page(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber", "l_quantity"], [100, 2, 1e9], 500)
@@ -731,6 +750,91 @@ def types_to_target(spark, d):
     return found.select("table", "column", "target_type", F.array_join("warnings", "; ").alias("warnings"))
 
 
+#: Types of each dialect, what they mean (with length, precision and scale), and how the next dialect of the list writes them (fixed values).
+DIALECT_TYPES = {
+    "postgresql": (
+        ("numeric(70,40)", "Decimal", None, 70, 40, "decimal(65,30)"), ("character varying(20000)", "VarChar", 20000, None, None, "text"),
+        ("int4[]", "Json", None, None, None, "json"), ("timestamp with time zone", "DateTimeOffset", None, None, None, "datetime"),
+        ("uuid", "Guid", None, None, None, "char(36)"),
+    ),
+    "mysql": (
+        ("tinyint(1)", "Boolean", None, None, None, "tinyint(1)"), ("enum('a','b')", "VarChar", 255, None, None, "varchar(255)"),
+        ("decimal(12,3)", "Decimal", None, 12, 3, "decimal(12,3)"), ("mediumint", "Int32", None, None, None, "int"),
+        ("longblob", "Binary", None, None, None, "longblob"),
+    ),
+    "mariadb": (
+        ("geometry", "Unknown", None, None, None, "TEXT"), ("varchar(30)", "VarChar", 30, None, None, "VARCHAR(30)"),
+        ("double", "Double", None, None, None, "REAL"), ("json", "Json", None, None, None, "TEXT"), ("datetime", "DateTime", None, None, None, "DATETIME"),
+    ),
+    "sqlite": (
+        ("VARCHAR(50)", "VarChar", 50, None, None, "nvarchar(50)"), ("", "Binary", None, None, None, "varbinary(max)"),
+        ("DECIMAL(10,2)", "Decimal", None, 10, 2, "decimal(10,2)"), ("BIGINT", "Int64", None, None, None, "bigint"),
+        ("BOOLEAN", "Boolean", None, None, None, "bit"),
+    ),
+    "sqlserver": (
+        ("nvarchar(max)", "Text", None, None, None, "String"), ("money", "Decimal", None, 19, 4, "decimal(19,4)"),
+        ("datetimeoffset", "DateTimeOffset", None, None, None, "DateTime"), ("uniqueidentifier", "Guid", None, None, None, "UUID"),
+        ("bit", "Boolean", None, None, None, "UInt8"),
+    ),
+    "clickhouse": (
+        ("UInt64", "Decimal", None, 20, 0, "decimal(20,0)"), ("Int8", "Int16", None, None, None, "SMALLINT"),
+        ("IPv4", "VarChar", 45, None, None, "VARCHAR(45)"), ("Float32", "Single", None, None, None, "FLOAT"),
+        ("Array(String)", "Json", None, None, None, "JSON"),
+    ),
+    "duckdb": (
+        ("hugeint", "Decimal", None, 38, 0, "decimal(38,0)"), ("struct(a int)", "Json", None, None, None, "CLOB"),
+        ("timestamptz", "DateTimeOffset", None, None, None, "TIMESTAMP(6) WITH TIME ZONE"), ("usmallint", "Int32", None, None, None, "INTEGER"),
+        ("varchar", "VarChar", None, None, None, "VARCHAR2(255)"),
+    ),
+    "dm8": (
+        ("DATE", "DateTime", None, None, None, "timestamp without time zone"), ("NUMBER", "Decimal", None, None, None, "numeric"),
+        ("VARCHAR2(100)", "VarChar", 100, None, None, "character varying(100)"), ("CLOB", "Text", None, None, None, "text"),
+        ("BINARY_FLOAT", "Single", None, None, None, "real"),
+    ),
+    "kingbasees": (
+        ("money", "Decimal", None, 19, 4, "numeric(19,4)"), ("bpchar(3)", "Char", 3, None, None, "character(3)"),
+        ("bool", "Boolean", None, None, None, "boolean"), ("bytea", "Binary", None, None, None, "bytea"),
+        ("time with time zone", "Time", None, None, None, "time without time zone"),
+    ),
+    "opengauss": (
+        ("int8", "Int64", None, None, None, "bigint"), ("citext", "Text", None, None, None, "text"), ("xml", "Xml", None, None, None, "xml"),
+        ("float4", "Single", None, None, None, "real"), ("jsonb", "Json", None, None, None, "jsonb"),
+    ),
+}
+MAPPED = ("native_type", "canonical", "c_length", "c_precision", "c_scale", "target_type")
+
+
+def _dialect_sql(dialect: str) -> str:
+    def case(k: int) -> str:
+        found = [t[k] for t in DIALECT_TYPES[dialect]]
+        shown = ["NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in found]
+        kind = "INTEGER" if MAPPED[k].startswith("c_") else "VARCHAR"
+        return "CASE p_size % 5 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(shown)) + f" END::{kind} AS {MAPPED[k]}"
+
+    return f"SELECT '{dialect}' AS dialect, p_partkey AS k, " + ", ".join(map(case, range(len(MAPPED)))) + " FROM part"
+
+
+@query(" UNION ALL ".join(map(_dialect_sql, DIALECT_TYPES)))
+def types_all_dialects(spark, d):
+    """A catalogue of each of the ten dialects, written for the next of them."""
+    names, out = list(DIALECT_TYPES), []
+    for dialect, target in zip(names, [*names[1:], names[0]]):
+        native = F.element_at(F.array(*[F.lit(t[0]) for t in DIALECT_TYPES[dialect]]), (F.col("p_size") % 5 + 1).cast("int"))
+        columns = table(spark, d, "part").select(F.lit(dialect).alias("dialect"), F.col("p_partkey").alias("k"), native.alias("native_type"))
+        out.append(schema.to_target(schema.to_canonical(columns, dialect), target).select("dialect", "k", *MAPPED))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(f"""SELECT "table", 'c0' AS "column", 'a random mask makes other keys of it' AS message FROM ({CATALOGUE}) WHERE place = 0
+UNION ALL SELECT "table", 'rc*', 'no column matches this rule' FROM ({CATALOGUE}) GROUP BY "table", t HAVING NOT bool_or(place = 3 AND t % 2 = 0)
+UNION ALL SELECT "table", '*1', 'no column matches this rule' FROM ({CATALOGUE}) GROUP BY "table" HAVING NOT bool_or(place = 1)
+UNION ALL SELECT "table", 'C*', 'no column matches this rule' FROM ({CATALOGUE}) GROUP BY "table", t HAVING NOT bool_or(NOT (place = 3 AND t % 2 = 0) AND NOT (place = 4 AND t % 3 = 0))""")
+def mask_issues(spark, d):
+    """Random masks on key columns and rules without a column, for the tables of a whole catalogue; the key column c1 has an earlier rule."""
+    rules = [MaskRule("*1", "null"), MaskRule("rc*", "fixed", "x"), MaskRule("C*", "random_int")]
+    return mask.catalogue_issues(later(catalogue(spark, d)), rules)
+
+
 RENAMED, DROPPED, RETYPED = "place = 3 AND t % 2 = 0", "place = 4 AND t % 3 = 0", "place = 5 AND t % 5 = 0"
 COLUMN_CHANGES = f"""SELECT "table", 'r' || "column" AS "column", 'added' AS change FROM ({CATALOGUE}) WHERE {RENAMED} UNION ALL SELECT "table", "column", 'dropped' FROM ({CATALOGUE}) WHERE ({RENAMED}) OR ({DROPPED})
 UNION ALL SELECT "table", "column", 'altered' FROM ({CATALOGUE}) WHERE {RETYPED}"""
