@@ -1,0 +1,115 @@
+from __future__ import annotations
+
+import random
+import re
+from itertools import permutations
+
+import pytest
+
+from tidemark.llm import filter_audit, queries
+
+from ..compare import connect, duck_rows, spark_rows
+
+
+def brute(rows, labels):
+    """The rows of the audit, filter by filter and order by order."""
+    good = {i for i, q, t in labels if i is not None and q == 1}
+    toxic = {i for i, q, t in labels if i is not None and t == 1}
+    fails = []
+    for i, text, part in rows:
+        text = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        smaller = any(j is not None and i is not None and j < i and (other or "") == text for j, other, _ in rows)
+        marks = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", text)) > 3 * len(text), "D": bool(re.search(r"[#$%&*|]", text)), "E": smaller}
+        fails.append((part or "", i, {f for f, m in marks.items() if m}))
+    out = {}
+    for part in {p for p, _, _ in fails}:
+        mine = [(i, f) for p, i, f in fails if p == part]
+        for order in permutations("ABCDE"):
+            left = mine
+            for k, own in enumerate(order):
+                gone = [x for x in left if own in x[1]]
+                left = [x for x in left if own not in x[1]]
+                out[part, "".join(order), k + 1] = [len(left), len(gone), sum(own in f for _, f in mine) - len(gone), sum(f == {own} for _, f in mine), sum(i in good for i, _ in gone), sum(i in toxic for i, _ in gone)]
+    for (part, order, step), v in list(out.items()):
+        v.append(sum(out[part, o, o.index(order[step - 1]) + 1][1] for o in map("".join, permutations("ABCDE"))))
+    return out
+
+
+COLUMNS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def audited(spark, rows, labels):
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, mask int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    return {(r.part, r.filter_order, r.step): [r[c] for c in COLUMNS] for r in filter_audit.audit(docs, known).collect()}
+
+
+def some_rows():
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(400)] + ["Ab", "$", "é"]
+    texts = [None, "", " ", "A", "#", *(" ".join(r.choice(words) for _ in range(r.choice([3, 150, 250, 900]))) for _ in range(20)), "x " * 300]
+    rows = [(r.choice([None, *range(30)]), r.choice(texts), r.choice([None, "", "en", "de"])) for _ in range(150)]
+    return rows + [(100 + k, texts[7], "en") for k in range(60)]
+
+
+def test_against_brute_force(spark):
+    rows = some_rows()
+    labels = [(k, r, t) for k, (r, t) in enumerate([(1, 0), (0, 1), (1, 1), (None, 1), (1, None), (0, 0)] * 8)] + [(3, 1, 0), (None, 1, 1)]
+    found = audited(spark, rows, labels)
+    assert found == brute(rows, labels)
+
+
+def test_tiny_ranges_change_nothing(spark, monkeypatch):
+    """Prefixes of two bytes, texts that share them, ranges split by hash, tries emptied again and again."""
+    rows = some_rows() + [(200 + k, "same beginning " + "y" * (k % 7) + "$" * (k % 3), "fr") for k in range(80)]
+    want = brute(rows, [])
+    for name, value in (("PREFIX", 2), ("CHUNK", 9), ("TRIE_BYTES", 2000), ("BATCH_BYTES", 500), ("RANGE_BYTES", 4000)):
+        monkeypatch.setattr(filter_audit, name, value)
+    assert audited(spark, rows, []) == want
+
+
+def test_empty_table(spark):
+    assert audited(spark, [], []) == {}
+
+
+def test_query_against_sql(spark, sf_dir):
+    names, expected = duck_rows(connect(sf_dir), queries.OP11_SQL)
+    df = queries.op11_filter_audit(spark, sf_dir)
+    assert sorted(df.columns) == names and spark_rows(df) == expected
+
+
+def test_trie():
+    r = random.Random(1)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(400)] + [b"x" * 100 + bytes([r.choice(b"ab")]) * r.randint(0, 60) for _ in range(50)]
+    trie, least = filter_audit.Trie(), {}
+    for t in texts:
+        number = r.choice([None, *range(50)])
+        trie.insert(t, number)
+        known = [x for x in (least.get(t), number) if x is not None]
+        least[t] = min(known) if known else None
+    assert list(trie.texts()) == sorted(least.items())
+    import xxhash
+
+    assert sorted(trie.hashes(), key=lambda x: x[0]) == sorted(((xxhash.xxh3_128_digest(t), n) for t, n in least.items()), key=lambda x: x[0])
+
+
+def test_a_range_of_one_prefix_is_split(spark):
+    """A third of the rows share their first 256 bytes and differ after them: their range has as many parts as its weight asks for."""
+    rows = [(f"{'p' * 300}{k}",) for k in range(300)] + [(f"{chr(97 + k % 26)}{k} " * 60,) for k in range(600)]
+    texts = spark.createDataFrame(rows, "t string").selectExpr("cast(t as binary) AS t").repartition(3)
+    bounds, parts, total = filter_audit.ranges(texts, 8)
+    assert total == sum(len(t) + 1 for t, in rows) and len(parts) == len(bounds) + 1 and bounds == sorted(set(bounds))
+    at = filter_audit.bisect_right(bounds, b"p" * 300)
+    assert parts[at] > 3 and max(len(b) for b in bounds) <= 256
+    sizes = [0] * sum(parts)
+    first = [sum(parts[:k]) for k in range(len(parts))]
+    for t, in rows:
+        at = filter_audit.bisect_right(bounds, t.encode())
+        sizes[first[at] + filter_audit.zlib.crc32(t.encode()) % parts[at]] += len(t)
+    assert max(sizes) < 6 * total / len(sizes)
+
+
+@pytest.mark.parametrize("text,want", [("", 1), ("A", 5), ("a " * 199, 3), ("a " * 200, 2), (" ".join(map(str, range(200))), 0), ("é" * 97 + "AAA", 1), ("é" * 96 + "AAAA", 5), ("a|b", 9)])
+def test_failures(text, want):
+    assert filter_audit.failures(text.encode()) == want

@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import kernel_quality as kq
+from tidemark.llm import queries
+
+
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(score))
+    values, inverse, counts = np.unique(score, return_inverse=True, return_counts=True)
+    ends = np.cumsum(counts)
+    ranks = (ends - (counts - 1) / 2)[inverse]
+    good = y.sum()
+    assert len(order)
+    return (ranks[y == 1].sum() - good * (good + 1) / 2) / (good * (len(y) - good))
+
+
+def test_pooled_is_the_closest_rising_curve():
+    r = np.random.default_rng(1)
+    y = (r.random(200) < np.linspace(0.1, 0.9, 200)).astype(float)
+    at = np.sort(r.random(200))
+    knots, values = kq.pooled(np.ones(200), y, at)
+    assert (np.diff(values) > 0).all() and (np.diff(knots) > 0).all()
+    # the known formula: the largest of the least means of intervals around a point
+    sums = np.concatenate([[0], np.cumsum(y)])
+    curve = np.interp(at, knots, values)
+    for k in (0, 50, 120, 199):
+        exact = max(min((sums[b] - sums[a]) / (b - a) for b in range(k + 1, 201)) for a in range(k + 1))
+        block = next(v for v, n in zip(values, np.cumsum([0] * 0 + [1] * len(values))) if abs(v - exact) < 1e-12)
+        assert block == pytest.approx(exact)
+    assert curve.min() >= 0 and curve.max() <= 1
+
+
+def test_features_approximate_the_kernel():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, kq.STATISTICS))
+    f = kq.fourier(x, np.zeros(kq.STATISTICS), np.ones(kq.STATISTICS))[:, :-1]
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert np.abs(f @ f.T - np.exp(-far / (2 * kq.STATISTICS))).mean() < 0.08
+
+
+def test_partition_sums_equal_one_matrix(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = kq.training_rows(kq.measured(docs), labels)
+    local = rows.collect()
+    x, y, fold = np.array([r.x for r in local], np.float64), np.array([r.y for r in local]), np.array([r.fold for r in local])
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    sums = kq.normal_equations(rows.repartition(5), mean, scale)
+    f = kq.fourier(x, mean, scale)
+    for k in range(kq.FOLDS):
+        assert np.allclose(sums[k, :-1], f[fold == k].T @ f[fold == k]) and np.allclose(sums[k, -1], y[fold == k] @ f[fold == k])
+    assert {zlib.crc32(str(r.doc_id).encode()) % 5 for r in labels.collect()} > {0}
+
+
+def test_held_out_accuracy(spark):
+    """Learns from four fifths of the labelled rows; the rest is told apart."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    out = queries.op12_quality_classifier(spark, d)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    every = out.collect()
+    assert len(every) == spark.read.parquet(f"{d}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in every)
+    held = out.where("held_out").join(labels.where("quality is not null"), "doc_id").collect()
+    score, y = np.array([r.score for r in held]), np.array([r.quality for r in held])
+    assert auc(score, y) > 0.9 and np.mean((score >= 0.3) == y) > 0.9
+    assert abs(score.mean() - y.mean()) < 0.1
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, docs):
+    texts = docs([("good text of many words here " * 5 if k % 2 else "BAD!! TEXT!! " * 9) + str(k) for k in range(60)])
+    rows = kq.measured(texts)
+    known = [(k, k % 2) for k in range(60)]
+    turned = [(k, 1 - y if zlib.crc32(str(k).encode()) % 5 == 0 else y) for k, y in known]
+    scores = [{r.doc_id: r.score for r in kq.score(rows, kq.train(rows, spark.createDataFrame(some, "doc_id long, quality int"))).collect()} for some in (known, turned)]
+    assert scores[0] == scores[1]
+    assert min(s for k, s in scores[0].items() if k % 2) > max(s for k, s in scores[0].items() if not k % 2)
+
+
+def test_edges(spark, docs):
+    odd = docs([(1, None), (2, ""), (None, "no id"), (4, "x" * 300_000), (4, "the same id"), (6, "😀 \x00")]).withColumn("x", F.lit("clash")).withColumn("held_out", F.lit("clash")).withColumn("y", F.lit(3))
+    rows = kq.measured(odd)
+    none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    out = kq.score(rows, kq.train(rows, none)).collect()
+    assert len(out) == 6 and {r.score for r in out} == {0.5} and {r.predicted for r in out} == {1}
+    one_kind = kq.score(rows, kq.train(rows, spark.createDataFrame([(k, 0) for k in range(9)], "doc_id long, quality int"))).collect()
+    assert {r.score for r in one_kind} == {0.0} and {r.predicted for r in one_kind} == {0}
+    both = kq.score(rows, kq.train(rows, spark.createDataFrame([(1, 0), (2, 1), (2, 0), (4, 1), (6, 1)], "doc_id long, quality int"))).collect()
+    assert len(both) == 6 and all(0 <= r.score <= 1 for r in both) and [r.held_out for r in both if r.doc_id is None] == [False]
+    empty = kq.measured(docs([]))
+    assert kq.score(empty, kq.train(empty, none)).collect() == []

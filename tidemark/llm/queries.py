@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and DuckDB SQL where SQL can say the same."""
+"""The registered queries of the thirteen operators, and DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extraction, language, line_dedup, ngram_join, packing, quality, token_files, warc
+from . import bpe, filter_audit, html_extraction, kernel_quality, language, line_dedup, ngram_join, packing, quality, token_files, warc, whitening
 from . import exact_dedup as dedup
 from .common import scratch, table
 
@@ -93,9 +93,46 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY l.doc_id
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id AS again FROM documents),
+l AS (SELECT doc_id, coalesce(max(quality), 0) = 1 AS good, coalesce(max(toxic), 0) = 1 AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN again THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY part, fails),
+x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, CASE WHEN step = 1 THEN '' ELSE substr(filter_order, 1, step - 1) END AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+r AS (SELECT part, filter_order, step, own, n, good, bad, fails, contains(fails, own) AS here, length(translate(fails, before, '')) < length(fails) AS gone FROM c, s),
+g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (here AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails, coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost, coalesce(sum(bad) FILTER (here AND NOT gone), 0) AS toxic_lost FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g
+"""
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kernel_quality.measured(table(spark, sf_dir, "documents"))
+    return kernel_quality.score(rows, kernel_quality.train(rows, table(spark, sf_dir, "labels")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_language": op7_language, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_quality": op1_quality, "op2_packing": op2_packing, "op3_token_files": op3_token_files, "op4_warc": op4_warc, "op5_line_dedup": op5_line_dedup,
+        "op6_ngram_join": op6_ngram_join, "op7_language": op7_language, "op8_bpe": op8_bpe, "op9_html": op9_html, "op10_exact_dedup": op10_exact_dedup,
+        "op11_filter_audit": op11_filter_audit, "op12_quality_classifier": op12_quality_classifier, "op13_whitening": op13_whitening,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_ngram_join": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_ngram_join": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL}
