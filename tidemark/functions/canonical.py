@@ -40,6 +40,19 @@ def named(df: DataFrame, column: str) -> T.StructField:
     return found
 
 
+def column(name: str) -> Column:
+    """A column by its very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(*frames: DataFrame) -> str:
+    """A beginning of names that no column of these tables has."""
+    taken, mark = [c.lower() for df in frames for c in df.columns], "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return mark
+
+
 def cell(c: Column, kind: T.DataType, role: str = "") -> Column:
     """Text of one value. role: what the column's metadata say about a text column ("guid" or "time")."""
     if isinstance(kind, T.StringType) or isinstance(kind, (T.CharType, T.VarcharType)):
@@ -85,21 +98,32 @@ def row_hash(df: DataFrame, columns: Iterable[str]) -> Column:
     return F.upper(F.sha2(row_text(df, columns), 256))
 
 
-def value_hash(df: DataFrame, columns: Iterable[str]) -> Column:
-    """128 bits of a row's typed values, for comparing rows whose types have been aligned: equal for rows with one row text. xxHash64 with two seeds over
-    values and null marks, a tenth of the time of the row text; hashes that leave this process are `row_hash`."""
-    parts = []
+def value_hash(df: DataFrame, columns: Iterable[str], like: T.StructType | None = None) -> Column:
+    """128 bits of a row's typed values: equal for rows with one row text. xxHash64 with two seeds over values and null marks, a tenth of the time of
+    the row text; hashes that leave this process are `row_hash`. With `like`, values are hashed as that schema's types; one that can't be cast counts by its
+    raw text, so it equals no value of that type, and no null."""
+    wanted, parts = {f.name.lower(): f for f in like.fields} if like else {}, []
     for name in sorted(columns, key=str.lower):
         f = named(df, name)
-        c, role = F.col(f"`{f.name}`"), (f.metadata or {}).get("role", "")
-        if role or isinstance(f.dataType, NESTED):
-            c = cell(c, f.dataType, role)
-        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
-        parts += [F.isnull(c), c]
+        want = wanted.get(f.name.lower(), f)
+        kind = f.dataType if isinstance(want.dataType, NESTED) else want.dataType
+        c, role, raw = column(f.name), (want.metadata or {}).get("role", "") or (f.metadata or {}).get("role", ""), []
+        if kind != f.dataType:
+            typed = coerced(c, f.dataType, kind)
+            # a null adds nothing to a hash, so values that can be cast hash as on the other side
+            raw, c = [F.when(c.isNotNull() & typed.isNull(), plain_text(c, f.dataType))], typed
+        if role or isinstance(kind, NESTED):
+            c = cell(c, kind, role)
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = F.when(c == 0, F.lit(0.0).cast(kind)).otherwise(c)
+        parts += [F.isnull(c), c, *raw]
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(0x5EED), *parts).alias("b"))
 
 
+def plain_text(c: Column, kind: T.DataType) -> Column:
+    return F.to_json(c, {"ignoreNullFields": "false"}) if isinstance(kind, NESTED) else c.cast("string")
+
+
 def key_text(df: DataFrame, keys: Iterable[str]) -> Column:
     return F.concat(*[x for v in cells(df, keys) for x in (v, F.lit(KEY_END))])
 

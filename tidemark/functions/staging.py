@@ -45,15 +45,30 @@ def snapshot(df: DataFrame) -> DataFrame:
 
 def replace_path(df: DataFrame, path: str) -> None:
     """Overwrites a Parquet path that df may be reading: staged beside it, then renamed."""
-    spark = df.sparkSession
-    staged, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    publish(df.sparkSession, staged_beside(df, path), path)
+
+
+def staged_beside(df: DataFrame, path: str) -> str:
+    """df written once, beside the path that it is to replace."""
+    staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.write.parquet(staged)
+    return staged
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts a staged table in a path's place. If that fails, OSError, and the old table is where it was."""
     place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(place(path)):
-        fs.rename(place(path), place(old))
-    fs.rename(place(staged), place(path))
-    fs.delete(place(old), True)
+    new, now, old = place(staged), place(path), place(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(now)
+    if there and not fs.rename(now, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(new, now):
+        if there and not fs.rename(old, now):
+            raise OSError(f"{staged} can't be moved to {path}; the old table is in {old.toString()}")
+        raise OSError(f"{staged} can't be moved to {path}")
+    if there:
+        fs.delete(old, True)
 
 
 def remove_partitions(spark: SparkSession, path: str, values: DataFrame) -> None:

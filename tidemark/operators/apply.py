@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.canonical import as_types, coerced, named, value_hash
+from ..functions.canonical import as_types, coerced, column, fresh, named, value_hash
 from ..functions.staging import remove_partitions, snapshot
 from .diff import duplicate_keys, keyed
 from .project import after_key, column_pairs
@@ -56,11 +57,12 @@ def merged(source: DataFrame, target: DataFrame, keys: Sequence[str], delete_ext
     """
     keys = [named(target, k).name for k in keys]
     pairs = {t: s for s, t in column_pairs(source, target.columns)[0]}
-    typed = as_types(source.select(*[F.col(f"`{s}`").alias(t) for t, s in pairs.items()]), target.schema)
-    s = typed.select(*keys, F.lit(True).alias("_in"), *[F.col(f"`{c}`").alias(f"_s_{c}") for c in typed.columns if c not in keys])
-    both = s.join(target.withColumn("_there", F.lit(True)), list(keys), "left" if delete_extra else "full_outer")
-    value = lambda c: F.when(F.col("_in"), F.col(f"`_s_{c}`")).otherwise(F.col(f"`{c}`")).alias(c)
-    return both.select(*[F.col(f"`{c}`") if c in keys or c not in typed.columns else value(c) for c in target.columns])
+    typed = as_types(source.select(*[column(s).alias(t) for t, s in pairs.items()]), target.schema)
+    mark = fresh(target)
+    s = typed.select(*map(column, keys), F.lit(True).alias(f"{mark}in"), *[column(c).alias(f"{mark}{c}") for c in typed.columns if c not in keys])
+    both = s.join(target, list(keys), "left" if delete_extra else "full_outer")
+    value = lambda c: F.when(column(f"{mark}in"), column(f"{mark}{c}")).otherwise(column(c)).alias(c)
+    return both.select(*[column(c) if c in keys or c not in typed.columns else value(c) for c in target.columns])
 
 
 def change_set(target: DataFrame, keys: Sequence[str], inserts: DataFrame | None = None, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
@@ -75,12 +77,13 @@ def change_set(target: DataFrame, keys: Sequence[str], inserts: DataFrame | None
         raise ValueError("updates and deletes need a key")
     out = target.unionByName(shaped(inserts, target)) if inserts is not None else target
     if updates is not None:
-        new = updates.select(*keys, F.col("_set"), *[F.col(c).alias(f"_n_{c}") for c in updates.columns if c not in (*keys, "_set")])
+        mark = fresh(target)
+        new = updates.select(*map(column, keys), F.col("_set").alias(f"{mark}set"), *[column(c).alias(f"{mark}n{c}") for c in updates.columns if c not in (*keys, "_set")])
         out = out.join(new, list(keys), "left")
-        value = lambda c: F.when(F.array_contains("_set", c), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
-        out = out.select(*[value(c) if f"_n_{c}" in out.columns else F.col(c) for c in target.columns])
+        value = lambda c: F.when(F.array_contains(f"{mark}set", c), column(f"{mark}n{c}")).otherwise(column(c)).alias(c)
+        out = out.select(*[value(c) if f"{mark}n{c}" in out.columns else column(c) for c in target.columns])
     if deletes is not None:
-        out = out.join(deletes.select(*keys), list(keys), "left_anti")
+        out = out.join(deletes.select(*map(column, keys)), list(keys), "left_anti")
     return out
 
 
@@ -98,12 +101,18 @@ def merge_into_path(source: DataFrame, path: str, keys: Sequence[str], partition
 
     The comparison moves keys, partition values and 16 bytes a row; whole rows are read for partitions with an inserted, updated or (with
     delete_extra) deleted row only. A row whose update moves it changes both its partitions. New files are complete before old ones go, partition by
-    partition. Returns a row for each partition that changed: its values, inserted, updated, deleted.
+    partition, so a run that dies in between leaves some partitions new and some old, and can be run again; `stored` has tables that switch at once.
+    Partition values keep the source's types (01 stays 01). KeyConflict if two source rows have one key. Returns a row for each partition that
+    changed: its values, inserted, updated, deleted.
     """
     spark = source.sparkSession
-    target = spark.read.parquet(path)
-    rows = shaped(source, target)
     names, both = list(partitions), list(keys)
+    # Spark would guess the types of partition values from folder names
+    own = {p: T.StructField(p, named(source, p).dataType) for p in names}
+    target = spark.read.schema(T.StructType([own.get(f.name, f) for f in spark.read.parquet(path).schema.fields])).parquet(path)
+    rows = shaped(source, target)
+    if not duplicate_keys(rows, both).isEmpty():
+        raise KeyConflict("two source rows have the same key")
     mine = rows.select(*both, F.struct(*names).alias("_ps"), value_hash(rows, target.columns).alias("_hs"))
     there = target.select(*both, F.struct(*names).alias("_pt"), value_hash(target, target.columns).alias("_ht"))
     kind = F.when(F.col("_ht").isNull(), "inserted").when(F.col("_hs").isNull(), "deleted").otherwise("updated")

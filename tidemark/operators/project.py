@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import column, named
+
 
 @dataclass(frozen=True)
 class Filter:
@@ -21,10 +23,9 @@ class Filter:
 
 
 def comparison(df: DataFrame, f: Filter) -> Column:
-    """A structured filter as a column; its value is cast to the column's type. ValueError for an unknown column or operator."""
-    if f.column not in df.columns:
-        raise ValueError(f"unknown column: {f.column}")
-    c, kind = F.col(f"`{f.column}`"), df.schema[f.column].dataType
+    """A structured filter as a column, named in any case; its value is cast to the column's type. ValueError for an unknown column or operator."""
+    field = named(df, f.column)
+    c, kind = column(field.name), field.dataType
     value = lambda v: F.lit(v).try_cast(kind)
     match f.op.lower():
         case "=":
@@ -108,22 +109,22 @@ def after_key(keys: Sequence[str], values: Sequence[Any], inclusive: bool = Fals
     out = None
     for k in range(len(keys)):
         last = k == len(keys) - 1
-        step = F.col(keys[k]) >= F.lit(values[k]) if last and inclusive else F.col(keys[k]) > F.lit(values[k])
+        step = column(keys[k]) >= F.lit(values[k]) if last and inclusive else column(keys[k]) > F.lit(values[k])
         for j in range(k):
-            step = (F.col(keys[j]) == F.lit(values[j])) & step
+            step = (column(keys[j]) == F.lit(values[j])) & step
         out = step if out is None else out | step
-    return out & (F.col(keys[0]) >= F.lit(values[0]))
+    return out & (column(keys[0]) >= F.lit(values[0]))
 
 
 def upto_key(keys: Sequence[str], values: Sequence[Any]) -> Column:
-    return ~after_key(keys, values) & (F.col(keys[0]) <= F.lit(values[0]))
+    return ~after_key(keys, values) & (column(keys[0]) <= F.lit(values[0]))
 
 
 def keyset_page(df: DataFrame, keys: Sequence[str], after: Sequence[Any] | None, limit: int, where: str | None = None) -> DataFrame:
     rows = where_fragment(df, where)
     if after is not None:
         rows = rows.where(after_key(keys, after))
-    return rows.orderBy(*keys).limit(limit)
+    return rows.orderBy(*map(column, keys)).limit(limit)
 
 
 def key_range(df: DataFrame, keys: Sequence[str], after: Sequence[Any] | None, upper: Sequence[Any] | None) -> DataFrame:

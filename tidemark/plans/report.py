@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import replace_path, snapshot
+from ..functions.staging import publish, snapshot, staged_beside
 from ..operators import apply, diff, verify
 from ..operators.mask import MaskRule, masked
 from ..operators.project import mapped, where_fragment, within
@@ -83,20 +85,28 @@ def synced(rows: DataFrame, target: DataFrame, s: TableSelection) -> DataFrame:
 
 
 def sync_tables(
-    spark: SparkSession, sources: Mapping[str, DataFrame], targets: Mapping[str, DataFrame], selections: Mapping[str, TableSelection], paths: Mapping[str, str] | None = None
-) -> tuple[dict[str, DataFrame], DataFrame]:
+    spark: SparkSession, sources: Mapping[str, DataFrame], targets: Mapping[str, DataFrame], selections: Mapping[str, TableSelection],
+    paths: Mapping[str, str] | None = None, parallel: int = 2,
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """New content of each table, and a report row for each; a table that fails doesn't stop the others.
 
-    A table's prepared source and new content are written once, to the shared folder, and everything in the report is read from there. Where paths
-    has the table, its new content replaces the Parquet table at that path after its check.
+    Up to `parallel` tables (1 to 8) run at a time, each with its job group in the scheduler pool `sync`. A table's prepared source is written once, to
+    the shared folder; its new content once as well, beside its path if it has one, and everything in the report is read from there. Only after a passed check
+    does the new content take the place of the Parquet table at that path; otherwise the report says why, and the path stays as it was.
     """
-    done, rows = {}, []
-    for name, s in selections.items():
+    context = spark.sparkContext
+
+    def one(name: str) -> tuple[DataFrame | None, tuple]:
+        s = selections[name]
         method = s.method if s.keys or s.method == "full_copy" else "full_copy"
+        context.setJobGroup(f"sync-{name}", f"sync of {name}")
+        context.setLocalProperty("spark.scheduler.pool", "sync")
         try:
             source, target = sources[name], targets[name]
             mine = snapshot(prepared(source, target, s))
-            new = snapshot(synced(mine, target, s))
+            path, new = (paths or {}).get(name), synced(mine, target, s)
+            staged = staged_beside(new, path) if path else None
+            new = spark.read.schema(new.schema).parquet(staged) if path else snapshot(new)
             n = diff.summary(mine, target, s.keys).first() if s.keys else None
             total = new.count()
             ok = None
@@ -105,14 +115,22 @@ def sync_tables(
                     ok = (verify.full if s.verify == "full" else verify.sample)(mine, new, s.keys).first().passed
                 else:
                     ok = total == mine.count()
-            if paths and name in paths:
-                replace_path(new, paths[name])
-                new = spark.read.parquet(paths[name])
-            done[name] = new
-            rows.append((name, method, n.inserted if n else total, n.updated if n else 0, n.deleted if n else 0, total, ok, None))
-        except (PySparkException, ValueError, KeyError) as e:
-            rows.append((name, method, 0, 0, 0, 0, None, str(e)[:500]))
-    return done, spark.createDataFrame(rows, REPORT)
+            counted = n.inserted if n else total, n.updated if n else 0, n.deleted if n else 0, total
+            if path and ok is False:
+                return None, (name, method, *counted, ok, f"the check failed; {path} is as it was, the new content in {staged}")
+            if path:
+                publish(spark, staged, path)
+                new = spark.read.parquet(path)
+            return new, (name, method, *counted, ok, None)
+        except (PySparkException, Py4JJavaError, OSError, ValueError, KeyError) as e:
+            return None, (name, method, 0, 0, 0, 0, None, str(e)[:500])
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, min(8, parallel))) as pool:
+        found = dict(zip(selections, pool.map(one, selections)))
+    done = {name: new for name, (new, _) in found.items() if new is not None}
+    return done, spark.createDataFrame([row for _, row in found.values()], REPORT)
 
 
 def run_status(report: DataFrame) -> DataFrame:

@@ -183,7 +183,8 @@ def conversion_issues(catalogue: DataFrame, source: str, target: str) -> DataFra
     return df.select("table", "column", F.explode(F.concat(of_type, F.array_compact(F.array(*rules)))).alias("i")).select("table", "column", "i.level", "i.message")
 
 
-PROPERTIES = ("native_type", "nullable", "default_value", "default_kind", "auto_increment", "generated")
+TYPE = ("native_type", "length", "precision", "scale")  #: what makes a column's type
+PROPERTIES = (*TYPE, "nullable", "default_value", "default_kind", "auto_increment", "generated")
 
 
 def _matched(before: DataFrame, after: DataFrame, name: str, fingerprint: Column, extra: Sequence[str] = ()) -> DataFrame:
@@ -194,12 +195,17 @@ def _matched(before: DataFrame, after: DataFrame, name: str, fingerprint: Column
 
 def _prints(df: DataFrame, names: Sequence[str]) -> Column:
     low = lambda c: F.lower(F.col(c).cast("string")) if c == "default_value" else F.col(c).cast("string")
-    return F.concat_ws("|", *[F.coalesce(low(c), F.lit("\x01")) for c in names if c in df.columns])
+    return _print([low(c) for c in names if c in df.columns])
+
+
+def _print(parts: Sequence[Column]) -> Column:
+    """One text of several, each after its length, so that no two lists have one text."""
+    return F.concat(F.lit(""), *[F.when(p.isNull(), "-").otherwise(F.concat(F.char_length(p).cast("string"), F.lit(":"), p)) for p in parts])
 
 
 def diff_columns(before: DataFrame, after: DataFrame, properties: Sequence[str] = PROPERTIES) -> DataFrame:
-    """table, column, change: added, altered or dropped."""
-    both = _matched(before, after, "column", _prints(before, properties))
+    """table, column, change: added, altered or dropped. A property counts if both catalogues have it."""
+    both = _matched(before, after, "column", _prints(before, [p for p in properties if p in after.columns]))
     change = F.when(F.col("b_name").isNull(), "added").when(F.col("a_name").isNull(), "dropped").when(F.col("a_print") != F.col("b_print"), "altered")
     return both.select("table", F.coalesce("a_name", "b_name").alias("column"), change.alias("change")).where("change is not null")
 
@@ -214,7 +220,7 @@ def _drop_and_add(both: DataFrame, kind: str) -> DataFrame:
 def diff_indexes(before: DataFrame, after: DataFrame) -> DataFrame:
     """table, index, columns, unique, method, predicate on both sides → table, index, change."""
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    mark = F.concat_ws("|", F.array_join(F.transform("columns", lambda c: F.lower(F.btrim(c, F.lit('"` ')))), ","), F.col("unique").cast("string"), text("method"), text("predicate"))
+    mark = _print([F.array_join(F.transform("columns", lambda c: F.lower(F.btrim(c, F.lit('"` ')))), ","), F.col("unique").cast("string"), text("method"), text("predicate")])
     return _drop_and_add(_matched(before, after, "index", mark), "index")
 
 
@@ -222,7 +228,7 @@ def diff_fks(before: DataFrame, after: DataFrame) -> DataFrame:
     """table, fk, columns, ref_table, ref_columns, on_delete, on_update on both sides → table, fk, change."""
     low = lambda c: F.array_join(F.transform(c, lambda x: F.lower(x)), ",")
     act = lambda c: F.when(F.btrim(F.coalesce(F.col(c), F.lit(""))) == "", "no action").otherwise(F.lower(c))
-    mark = F.concat_ws("|", low("columns"), F.lower(F.btrim("ref_table", F.lit('"`'))), low("ref_columns"), act("on_delete"), act("on_update"))
+    mark = _print([low("columns"), F.lower(F.btrim("ref_table", F.lit('"`'))), low("ref_columns"), act("on_delete"), act("on_update")])
     return _drop_and_add(_matched(before, after, "fk", mark), "fk")
 
 
@@ -239,7 +245,7 @@ def renames(before: DataFrame, after: DataFrame, most: int = 3) -> DataFrame:
     Tables with more than `most` dropped or added columns have none. Each round takes a table's first pair; there are at most `most`.
     """
     changes = diff_columns(before, after)
-    side = lambda df, change, s: changes.where(F.col("change") == change).join(df.select("table", "column", F.col("position").alias(f"{s}_at"), F.col("native_type").alias("type"), "nullable"), ["table", "column"]).withColumnRenamed("column", s).drop("change")
+    side = lambda df, change, s: changes.where(F.col("change") == change).join(df.select("table", "column", F.col("position").alias(f"{s}_at"), _prints(before, [p for p in TYPE if p in after.columns]).alias("type"), "nullable"), ["table", "column"]).withColumnRenamed("column", s).drop("change")
     dropped, added = side(before, "dropped", "old"), side(after, "added", "new")
     few = changes.groupBy("table").agg(F.count_if(F.col("change") == "dropped").alias("d"), F.count_if(F.col("change") == "added").alias("a")).where(f"d between 1 and {most} and a between 1 and {most}").select("table")
     pairs = dropped.join(few, "table", "left_semi").join(added, ["table", "type", "nullable"]).withColumn("distance", F.abs(F.col("old_at") - F.col("new_at"))).where("distance <= 1")
@@ -255,9 +261,32 @@ def renames(before: DataFrame, after: DataFrame, most: int = 3) -> DataFrame:
     return taken
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """All column and key changes as steps, with whether a step destroys data (a dropped column, another type)."""
-    types = _matched(before, after, "column", F.col("native_type")).where("a_print <> b_print").select("table", F.col("a_name").alias("column"), F.lit(True).alias("other_type"))
+Pair = tuple[DataFrame, DataFrame]
+
+
+def changes(before: DataFrame, after: DataFrame, indexes: Pair | None = None, fks: Pair | None = None, tables: bool = False) -> DataFrame:
+    """All column and key changes as steps, with whether a step destroys data (a dropped column, another type or length of it).
+
+    With indexes and foreign keys (before and after, as diff_indexes and diff_fks take them) theirs too. With `tables`, a table that one catalogue lacks is
+    created or dropped, which destroys data, as one step in place of its columns'.
+    """
+    steps = _column_steps(before, after)
+    step = lambda df, name, what: df.select("table", F.col(name).alias("object"), F.concat(F.when(F.col("change") == "added", "add_").otherwise("drop_"), F.lit(what)).alias("kind"), F.lit(False).alias("destructive"))
+    if indexes:
+        steps = steps.unionByName(step(diff_indexes(*indexes), "index", "index"))
+    if fks:
+        steps = steps.unionByName(step(diff_fks(*fks), "fk", "foreign_key"))
+    if tables:
+        side = lambda df, name: df.select("table", F.lit(True).alias(name)).distinct()
+        whole = side(before, "was").join(side(after, "is"), "table", "full_outer").where("was is null or is is null")
+        steps = steps.join(whole.select("table"), "table", "left_anti")
+        gone = F.col("is").isNull()
+        steps = steps.unionByName(whole.select("table", F.col("table").alias("object"), F.when(gone, "drop_table").otherwise("create_table").alias("kind"), gone.alias("destructive")))
+    return steps
+
+
+def _column_steps(before: DataFrame, after: DataFrame) -> DataFrame:
+    types = _matched(before, after, "column", _prints(before, [p for p in TYPE if p in after.columns])).where("a_print <> b_print").select("table", F.col("a_name").alias("column"), F.lit(True).alias("other_type"))
     columns = diff_columns(before, after).join(types, ["table", "column"], "left")
     kind = F.when(F.col("change") == "added", "add_column").when(F.col("change") == "dropped", "drop_column").otherwise("alter_column")
     steps = columns.select("table", F.col("column").alias("object"), kind.alias("kind"), ((F.col("change") == "dropped") | F.coalesce("other_type", F.lit(False))).alias("destructive"))
@@ -266,8 +295,8 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return steps
 
 
-def change_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    return changes(before, after).groupBy("table").agg(F.count(F.lit(1)).alias("changes"))
+def change_counts(before: DataFrame, after: DataFrame, indexes: Pair | None = None, fks: Pair | None = None, tables: bool = False) -> DataFrame:
+    return changes(before, after, indexes, fks, tables).groupBy("table").agg(F.count(F.lit(1)).alias("changes"))
 
 
 def invalid_identifiers(names: DataFrame, column: str) -> DataFrame:

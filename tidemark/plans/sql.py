@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Mapping
 from typing import Any, NamedTuple
@@ -9,10 +10,12 @@ from typing import Any, NamedTuple
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.staging import snapshot
 from ..operators.project import within
 
-#: Commands that only read, by the starts of their plans' names (fixed values).
-READING_COMMANDS = ("Show", "Describe", "ExplainCommand")
+#: Commands that only show something, by the starts of their plans' names (fixed values).
+SHOWING = ("Show", "Describe")
+EXPLAIN = re.compile(r"\s*EXPLAIN(?:\s+(?:EXTENDED|CODEGEN|COST|FORMATTED|LOGICAL))?\s+", re.IGNORECASE)
 MOST_ROWS = 100_000
 
 
@@ -23,21 +26,21 @@ class Result(NamedTuple):
 
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """Whether Spark's own parser finds a statement that only reads: no command (but those that show something) and no insert at any depth."""
+    """Whether a statement is known to read only: Spark's own parser takes it whole as a query, or as a command that shows something. All else is
+    refused, EXECUTE IMMEDIATE, CALL, scripts and settings included. EXPLAIN of a statement counts as that statement."""
+    explained = EXPLAIN.match(sql)
+    if explained:
+        return is_read_only(spark, sql[explained.end() :])
+    parser = spark._jsparkSession.sessionState().sqlParser()
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        parser.parseQuery(sql)
+        return True
+    except ParseException:
+        pass
+    try:
+        return parser.parsePlan(sql).nodeName().startswith(SHOWING)
     except ParseException:
         return False
-    logical = "org.apache.spark.sql.catalyst.plans.logical"
-    kinds = [spark._jvm.java.lang.Class.forName(f"{logical}.{name}") for name in ("Command", "ParsedStatement")]
-    open_ = [plan]
-    while open_:
-        node = open_.pop()
-        if any(kind.isInstance(node) for kind in kinds) and not node.nodeName().startswith(READING_COMMANDS):
-            return False
-        children = node.children()
-        open_ += [children.apply(k) for k in range(children.size())]
-    return True
 
 
 def _named(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
@@ -54,11 +57,11 @@ def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], args:
 
 
 def run(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], max_rows: int = 1000, args: Mapping[str, Any] | None = None, read_only: bool = False) -> Result:
-    """At most max_rows rows (100,000 at most, else ValueError), with a message when that many came. The statement runs once: its rows are kept
-    in the executors until the caller unpersists them."""
+    """At most max_rows rows (100,000 at most, else ValueError), with a message when that many came. The statement runs once: its rows are written to
+    the shared folder, so that a lost executor can't change which ones they are."""
     began = time.monotonic()
     limit = within(max_rows, MOST_ROWS)
-    rows = query(spark, sql, tables, args, read_only).limit(limit).persist()
+    rows = snapshot(query(spark, sql, tables, args, read_only).limit(limit))
     capped = rows.count() >= limit
     return Result(rows, [f"the first {limit} rows; there may be more"] * capped, time.monotonic() - began)
 
