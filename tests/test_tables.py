@@ -402,3 +402,83 @@ def test_result_as_one_json_array(users):
     assert writers.result_json(users.limit(0), ["id"], pretty=False).first().json == "[]"
     with pytest.raises(Exception, match="more than 2 rows"):
         writers.result_json(users, ["id"], 2).collect()
+
+
+@pytest.mark.parametrize("sql", ["execute immediate 'drop table x'", "call proc()", "begin drop table x; end", "set a.b = 1", "explain execute immediate 'drop table x'", "EXPLAIN FORMATTED insert into t select 1", "reset", "use x", "select 1; select 2"])
+def test_statements_that_are_not_known_to_read(spark, sql):
+    assert not free_sql.is_read_only(spark, sql)
+
+
+def test_values_that_cannot_be_cast_are_differences(spark):
+    source = spark.createDataFrame([(1, "n/a", "5"), (2, "7", "x"), (3, None, "1"), (4, "1.0", "1")], "id int, v string, w string")
+    target = spark.createDataFrame([(1, None, 5), (2, 7, None), (3, None, 1), (4, 1, 1)], "id long, v int, w int")
+    assert counts(diff.summary(source, target, ["id"])) == (0, 2, 0)
+    assert rows(diff.changed_cells(source, target, ["id"])) == [(1, "v", None, "n/a"), (2, "w", None, "x")]
+    assert sorted(r.id for r in diff.updated(source, target, ["id"]).collect()) == [1, 2]
+    assert not verify.full(source, target, ["id"]).first().passed
+    assert diff.multiset_diff(source, target).count() == 4
+    odd = spark.createDataFrame([("x", "1", "1"), ("4", "1", "1")], "id string, v string, w string")
+    assert counts(diff.summary(odd, target, ["id"])) == (1, 0, 3)
+
+
+def test_any_column_names(spark):
+    source = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "`k.1` int, `_in` string, `a.b` string")
+    target = spark.createDataFrame([(1, "a", "z"), (3, "c", "w")], "`k.1` int, `_in` string, `a.b` string")
+    keys = ["k.1"]
+    assert rows(apply.merged(source, target, keys)) == [(1, "a", "x"), (2, "b", "y"), (3, "c", "w")]
+    assert diff.diff_page(source, target, keys, "update").first()[:] == (1, "update", "a", "x", "a", "z")
+    assert rows(diff.changed_cells(source, target, keys)) == [(1, "a.b", "z", "x")]
+    assert sorted(r.pk_key for r in diff.diff_keys(source, target, keys).collect()) == ["1\x1f", "2\x1f", "3\x1f"]
+    assert diff.samples(source, target, keys, 5).count() == 2
+    assert project.filtered(source, [Filter("K.1", "=", 1), Filter("A.B", "like", "x")]).count() == 1
+
+
+@pytest.mark.parametrize("cap", [1, 7, 1000])
+def test_first_keys_by_ranges(spark, cap):
+    source = spark.range(300).selectExpr("id", "id % 5 AS v")
+    target = source.where("id % 3 > 0").selectExpr("id", "if(id % 7 = 0, -1, v) AS v").unionByName(spark.range(1000, 1050).selectExpr("id", "0L AS v"))
+    found = {}
+    for r in diff.diff_keys(source, target, ["id"], cap).collect():
+        found.setdefault(r.change_type, []).append((r.position, int(r.pk_key[:-1]), r.truncated))
+    want = {"insert": [k for k in range(300) if k % 3 == 0], "update": [k for k in range(300) if k % 3 and k % 7 == 0], "delete": list(range(1000, 1050))}
+    assert {c: sorted(x) for c, x in found.items()} == {c: [(n, k, len(ks) > cap) for n, k in enumerate(ks[:cap], 1)] for c, ks in want.items()}
+
+
+def test_partition_values_keep_their_text(spark, tmp_path):
+    shape = "id int, name string, p string"
+    spark.createDataFrame([(1, "a", "01"), (2, "b", "1"), (3, "c", "x=1")], shape).write.partitionBy("p").parquet(str(tmp_path / "t"))
+    source = spark.createDataFrame([(1, "A", "01"), (2, "b", "1"), (3, "c", "x=1")], shape)
+    assert rows(apply.merge_into_path(source, str(tmp_path / "t"), ["id"], ["p"])) == [("01", 0, 1, 0)]
+    assert sorted(p.name for p in (tmp_path / "t").glob("p=*")) == ["p=01", "p=1", "p=x%3D1"]
+    with pytest.raises(apply.KeyConflict):
+        apply.merge_into_path(source.unionByName(source), str(tmp_path / "t"), ["id"], ["p"])
+
+
+def test_a_failed_check_leaves_the_path(spark, users, tmp_path):
+    path = str(tmp_path / "u")
+    users.where("id = 1").selectExpr("id + 90 AS id", "name", "age").write.parquet(path)
+    selections = {n: TableSelection(["id"]) for n in "uvw"}
+    sources, targets = {"u": users, "v": users, "w": users.unionByName(users)}, {"u": spark.read.parquet(path), "v": users.limit(0), "w": users}
+    done, rep = report.sync_tables(spark, sources, targets, selections, {"u": path}, parallel=4)
+    told = {r.table: r for r in rep.collect()}
+    assert spark.read.parquet(path).count() == 1 and list(done) == ["v"] and "same key" in told["w"].error
+    assert told["u"].verified is False and "check failed" in told["u"].error and told["v"].verified and told["v"].error is None
+    _, serial = report.sync_tables(spark, {"v": users}, {"v": users.limit(0)}, {"v": TableSelection(["id"])}, parallel=1)
+    assert rows(serial) == [tuple(told["v"])]
+
+
+def test_a_failed_rename_keeps_the_old_table(spark, users, tmp_path):
+    path = str(tmp_path / "t")
+    users.write.parquet(path)
+    with pytest.raises(OSError):
+        staging.publish(spark, str(tmp_path / "nowhere"), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_lengths_and_whole_tables_in_changes(spark):
+    shape = "`table` string, `column` string, position int, native_type string, length int, nullable boolean"
+    before = spark.createDataFrame([("t", "a", 0, "varchar", 10, True), ("t", "b", 1, "a|", None, True), ("old", "x", 0, "int", None, True)], shape)
+    after = spark.createDataFrame([("t", "a", 0, "varchar", 20, True), ("t", "b", 1, "a|", None, True), ("new", "x", 0, "int", None, True)], shape)
+    assert rows(schema.diff_columns(before, after)) == [("new", "x", "added"), ("old", "x", "dropped"), ("t", "a", "altered")]
+    assert rows(schema.changes(before, after, tables=True)) == [("new", "new", "create_table", False), ("old", "old", "drop_table", True), ("t", "a", "alter_column", True)]
+    assert rows(schema.change_counts(before, after, tables=True)) == [("new", 1), ("old", 1), ("t", 1)]

@@ -6,6 +6,7 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,10 +62,17 @@ def publish(spark: SparkSession, staged: str, path: str) -> None:
     new, now, old = place(staged), place(path), place(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
     fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
     there = fs.exists(now)
-    if there and not fs.rename(now, old):
+
+    def renamed(a, b) -> bool:
+        try:
+            return fs.rename(a, b)
+        except Py4JJavaError:
+            return False
+
+    if there and not renamed(now, old):
         raise OSError(f"{path} can't be moved away")
-    if not fs.rename(new, now):
-        if there and not fs.rename(old, now):
+    if not renamed(new, now):
+        if there and not renamed(old, now):
             raise OSError(f"{staged} can't be moved to {path}; the old table is in {old.toString()}")
         raise OSError(f"{staged} can't be moved to {path}")
     if there:

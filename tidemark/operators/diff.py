@@ -26,7 +26,7 @@ def shared_columns(source: DataFrame, target: DataFrame) -> list[str]:
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
 def keyed(df: DataFrame, keys: Sequence[str], like: DataFrame | None = None) -> list[Column]:

@@ -104,6 +104,8 @@ def sync_tables(
         try:
             source, target = sources[name], targets[name]
             mine = snapshot(prepared(source, target, s))
+            if s.keys and not diff.duplicate_keys(mine, s.keys).isEmpty():
+                raise apply.KeyConflict("two source rows have the same key")
             path, new = (paths or {}).get(name), synced(mine, target, s)
             staged = staged_beside(new, path) if path else None
             new = spark.read.schema(new.schema).parquet(staged) if path else snapshot(new)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .functions import canonical, staging, text
 from .functions.canonical import cell
-from .operators import apply, diff, mask, project, verify
+from .operators import apply, diff, digests, mask, project, stored, verify
 from .operators.mask import MaskRule
 from .operators.project import Filter
 from .plans import report, schema
@@ -156,6 +156,26 @@ def import_json(spark, d):
     return readers.import_json(spark, path, lines=True)
 
 
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name || chr(10) || '\"' || c_mktsegment || '\",' AS note FROM customer")
+def import_csv_line_breaks(spark, d):
+    """Every record has line breaks, quotes and commas in a field; the files are read by many tasks all the same."""
+    path = staging.shared_folder(spark)
+    note = F.concat("c_name", F.lit("\n\""), "c_mktsegment", F.lit('",'))
+    writers.export_csv(table(spark, d, "customer").select("c_custkey", note.alias("note")), path)
+    return readers.import_csv(spark, path)
+
+
+@query("SELECT event_id::VARCHAR AS event_id, event_type, props FROM events")
+def import_json_array(spark, d):
+    """Arrays of objects with braces and quotes in their texts."""
+    path = staging.shared_folder(spark)
+    some = table(spark, d, "events").select(F.col("event_id").cast("string"), "event_type", "props")
+    # a file is one array: objects by the thousand, each file with its brackets
+    one = some.select(F.to_json(F.struct("*")).alias("o"), (F.col("event_id") % 16).alias("g")).groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("o"), ",\n"), F.lit("]")).alias("value"))
+    one.select("value").repartition(16).write.option("lineSep", "\n").text(path)
+    return readers.import_json(spark, path)
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice, p_size > 25 AS large, TIMESTAMP '2024-01-01 00:00:00' + to_days(p_size::INTEGER) AS made FROM part")
 def import_infer_types(spark, d):
     made = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("p_size"))
@@ -312,6 +332,24 @@ def diff_deleted(spark, d):
     return diff.deleted(*sides(spark, d, "events"))
 
 
+@query(f"SELECT * FROM {classes_sql('orders')} WHERE change_type <> 'same'")
+def range_diff(spark, d):
+    """By digests of key ranges, those of the target saved before."""
+    source, target, keys = sides(spark, d, "orders")
+    path = staging.shared_folder(spark)
+    digests.save(target, path, keys, 64)
+    return digests.range_diff(source, target, keys, path)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'insert' ELSE 'update' END AS change_type FROM events WHERE event_id % 11 = 0 OR event_id % 4 = 1")
+def diff_uncastable(spark, d):
+    """Texts that are no numbers on one side, nulls on the other: they differ."""
+    e = table(spark, d, "events")
+    target = e.where("event_id % 11 <> 0").select("event_id", F.when(F.col("event_id") % 4 != 1, F.col("user_id")).alias("user_id"), "event_type")
+    text_ = F.when(F.col("event_id") % 4 == 1, "n/a").otherwise(F.col("user_id").cast("string"))
+    return diff.row_diff(e.select(F.col("event_id").cast("string").alias("event_id"), text_.alias("user_id"), "event_type"), target, ["event_id"])
+
+
 W = 100
 WINDOW_SOURCE = "(SELECT * FROM customer WHERE c_custkey % 60 <> 1)"
 PLACED = f"""(WITH c AS (SELECT * FROM {classes_sql('customer', WINDOW_SOURCE)}), n AS (SELECT count(*) AS total FROM c WHERE change_type <> 'delete'),
@@ -559,6 +597,37 @@ def apply_changed_partitions(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query(f"SELECT * FROM {MERGED}")
+def stored_upsert(spark, d):
+    """A stored table after a merge that writes only the files with a change."""
+    source, target, keys = sides(spark, d, "orders")
+    path = staging.shared_folder(spark)
+    stored.create(target, path, keys)
+    stored.merge(source, path)
+    return stored.read(spark, path)
+
+
+@query("SELECT * FROM orders")
+def stored_mirror(spark, d):
+    source, target, keys = sides(spark, d, "orders")
+    path = staging.shared_folder(spark)
+    stored.create(target, path, keys)
+    stored.merge(source, path, delete_extra=True)
+    return stored.read(spark, path)
+
+
+@query(SQL["apply_change_set"])
+def stored_change_set(spark, d):
+    """Three change sets beside the base of a stored table, merged by key when it is read."""
+    target, keys, inserts, updates, deletes = _edits(spark, d)
+    path = staging.shared_folder(spark)
+    stored.create(target, path, keys)
+    stored.apply_changes(spark, path, inserts=inserts)
+    stored.apply_changes(spark, path, updates=updates)
+    stored.apply_changes(spark, path, deletes=deletes)
+    return stored.read(spark, path)
+
+
 SELECTED = {"customer": TableSelection(["c_custkey"]), "part": TableSelection(["p_partkey"], delete_extra=True, verify="full"), "supplier": TableSelection(["s_suppkey"], where="s_acctbal > 0"), "events": TableSelection(), "missing": TableSelection(["id"])}
 
 
@@ -860,10 +929,14 @@ def schema_diff_indexes(spark, d):
 
 @query("""SELECT 't' || (p_partkey // 10)::VARCHAR AS "table", 'fk_' || p_partkey::VARCHAR AS fk, unnest(CASE WHEN p_partkey % 17 = 0 THEN ['added'] ELSE ['dropped', 'added'] END) AS change FROM part WHERE p_partkey % 17 = 0 OR p_partkey % 5 = 0""")
 def schema_diff_fks(spark, d):
+    return schema.diff_fks(*foreign_keys(spark, d))
+
+
+def foreign_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
     after = table(spark, d, "part").select(F.concat(F.lit("t"), F.floor(k / 10).cast("string")).alias("table"), F.concat(F.lit("fk_"), k.cast("string")).alias("fk"), F.array(F.lit("a")).alias("columns"), F.lit("other").alias("ref_table"), F.array(F.lit("id")).alias("ref_columns"), F.when(k % 5 == 0, "CASCADE").otherwise("").alias("on_delete"), F.lit(None).cast("string").alias("on_update"), k.alias("k"))
     before = after.where("k % 17 <> 0").withColumn("on_delete", F.lit("NO ACTION")).withColumn("ref_table", F.lit('"OTHER"'))
-    return schema.diff_fks(before, after)
+    return before, after
 
 
 @query(f"SELECT \"table\", 'c0' AS key_before, 'c0,c1' AS key_after FROM ({CATALOGUE}) GROUP BY \"table\", t HAVING t % 7 = 0 AND bool_or(place = 1) AND bool_or(place = 0) UNION ALL SELECT \"table\", '', 'c1' FROM ({CATALOGUE}) GROUP BY \"table\", t HAVING t % 7 = 0 AND bool_or(place = 1) AND NOT bool_or(place = 0)")
@@ -885,6 +958,19 @@ def schema_changes(spark, d):
     return schema.changes(before, later(before))
 
 
+@query(f"""WITH w AS (SELECT "table", t, place, "column" FROM ({CATALOGUE})), k AS (SELECT DISTINCT "table", t FROM w)
+SELECT "table", "column" AS object, 'alter_column' AS kind, true AS destructive FROM w WHERE place = 0 AND t % 4 <> 0 UNION ALL
+SELECT "table", "table", 'drop_table', true FROM k WHERE t % 4 = 0 UNION ALL SELECT 'n' || "table", 'n' || "table", 'create_table', false FROM k WHERE t % 4 = 0 UNION ALL
+SELECT "table", "index", CASE change WHEN 'added' THEN 'add_index' ELSE 'drop_index' END, false FROM ({SQL['schema_diff_indexes']}) WHERE substr("table", 2)::INTEGER % 4 <> 0 UNION ALL
+SELECT "table", fk, CASE change WHEN 'added' THEN 'add_foreign_key' ELSE 'drop_foreign_key' END, false FROM ({SQL['schema_diff_fks']}) WHERE substr("table", 2)::INTEGER % 4 <> 0""")
+def schema_change_list(spark, d):
+    """Columns of other lengths, whole tables, indexes and foreign keys: a fourth of the tables has another name, each first column is longer."""
+    before = catalogue(spark, d).withColumn("length", F.lit(10)).drop("is_key")
+    t = F.col("table").substr(F.lit(2), F.lit(9)).cast("int")
+    after = before.withColumn("length", F.when(F.col("column") == "c0", 20).otherwise(10)).withColumn("table", F.when(t % 4 == 0, F.concat(F.lit("n"), "table")).otherwise(F.col("table")))
+    return schema.changes(before, after, indexes(spark, d), foreign_keys(spark, d), tables=True)
+
+
 @query(f"SELECT \"table\", \"column\", 'warning' AS level, CASE p_size % 10 WHEN 5 THEN 'the time zone is lost' ELSE 'unknown type, kept as text' END AS message FROM ({CATALOGUE}) WHERE p_size % 10 IN (5, 9)")
 def conversion_issues(spark, d):
     return schema.conversion_issues(catalogue(spark, d), "postgresql", "mysql")
