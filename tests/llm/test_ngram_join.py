@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect, duck_rows, spark_rows
 from tidemark.llm import ngram_join, queries
@@ -139,3 +140,12 @@ def test_components_of_chains_and_stars(spark, tmp_path):
     out = dict(components(spark.createDataFrame(edges, "u long, v long"), str(tmp_path), "c").collect())
     assert all(out[k] == 0 for k in range(61)) and all(out[k] == 100 for k in range(100, 140)) and {out[k] for k in (200, 250, 300)} == {200}
     assert components(spark.createDataFrame([], "u long, v long"), str(tmp_path), "d").isEmpty()
+
+
+def test_an_id_with_texts_of_several_components(spark, docs):
+    """Only the text that is linked with a smaller id goes; the other text of that id stays."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (3, b + " more"), (7, a + " x"), (None, b), (9, None), (5, "")]
+    out = ngram_join.near_dedup(docs(rows).withColumn("h1", F.lit(1)).withColumn("gone", F.lit("x")))
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(5, a), (3, b + " more"), (0, b), (9, ""), (5, "")])
+    assert out.columns[-2:] == ["h1", "gone"]

@@ -261,3 +261,50 @@ def test_other_records_nulls_and_packing(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (1, None, None)], PAGES)
     assert warc.derive(warc.responses(rows)).count() == 6
     assert warc.derive(warc.responses(rows.limit(0))).isEmpty()
+
+
+HTML_TYPE = ("Content-Type", "text/html; charset=utf-8")
+
+
+def test_bad_chunks_end_and_are_reported():
+    for body in (b"-6\r\nabcdef\r\n", b"5\r\nab", b"ffffffffffffff\r\nab\r\n", b"2\r\nabcd\r\n0\r\n\r\n", b"", b" 2\r\nab\r\n0\r\n\r\n"):
+        (meta,) = warc.derivatives(answer([HTML_TYPE, ("Transfer-Encoding", "chunked")], body))
+        assert b"decoding: broken encoding\r\n" in warc.read_record(meta["record"])[1]
+
+
+def test_all_members_of_a_body_count():
+    page = b"<p>first part</p>" + b"<p>second part</p>"
+    body = gzip.compress(page[:17]) + gzip.compress(page[17:])
+    _, text = warc.derivatives(answer([HTML_TYPE, ("Content-Encoding", "gzip")], body))
+    assert warc.read_record(text["record"])[1] == b"first part\nsecond part"
+    (meta,) = warc.derivatives(answer([HTML_TYPE, ("Content-Encoding", "gzip")], body), most=20)
+    assert b"decoding: too large\r\n" in warc.read_record(meta["record"])[1]
+    assert len(warc.derivatives(answer([HTML_TYPE, ("Content-Encoding", "gzip")], gzip.compress(b"<p>x</p>" + b" " * (300 << 20))))) == 2
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("harm", ["middle", "length", "short", "cut", "between"])
+def test_records_after_a_damaged_one_are_read(packed, harm):
+    good = [warc.response(k, f"http://a/{k}", f"<p>text {k} {'x' * 500}</p>") for k in range(4)]
+    bad = good[1]
+    pack = gzip.compress if packed else bytes
+    parts = [pack(x) for x in good]
+    if harm == "middle":
+        parts[1] = parts[1][:40] + b"\xff\xff\xff" + parts[1][43:] if packed else bad.replace(b"WARC/1.1", b"WURC/1.1")
+    elif harm == "length":
+        parts[1] = pack(bad.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1) if b"\r\nContent-Length: 9" not in bad else bad)
+    elif harm == "short":
+        parts[1] = pack(bad.replace(b"Content-Length: ", b"Content-Size: ", 1).replace(b"Content-Length: ", b"Content-Size: "))
+    elif harm == "cut":
+        parts[1] = parts[1][: len(parts[1]) // 2]
+    else:
+        parts[1] = b"\x00\x01 nothing that is a record \x1f\x8b"
+    texts = [warc.read_record(d["record"])[1].decode().split(" x")[0] for r in warc.split_records(b"".join(parts)) for d in warc.derivatives(r) if d["record_type"] == "conversion"]
+    assert [t for t in texts if t != "text 1"] == ["text 0", "text 2", "text 3"], texts
+    assert sum(d["record_type"] == "damaged" for r in warc.split_records(b"".join(parts)) for d in warc.derivatives(r)) >= 1
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROWS_BYTES", 5000)
+    rows = spark.createDataFrame([(k, f"u{k}", "<p>" + "y" * (3000 * (k % 3))) for k in range(20)], PAGES)
+    assert warc.derive(warc.responses(rows)).where("record_type = 'conversion'").count() == 20

@@ -31,6 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bitmap_bits, few_tasks, give_back, join_hot, mark_survivors, scratch, survivor_bitmap, tidy
 from .common import stored_compact as stored
@@ -270,8 +271,7 @@ def nodes_of(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: int)
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 g = shingles(t.as_py(), words)
-                h = xxhash.xxh3_128_intdigest(g.tobytes())
-                c = ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63))
+                c = class_of(g)
                 rows.append((key, len(g), *c))
                 count += 16
                 if len(g) and c not in seen:
@@ -535,6 +535,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, per_cent: int = PER_CENT, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    return grouped(docs, text, doc_id, words, per_cent, limits).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, text: str, doc_id: str, words: int, per_cent: int, limits: Limits = Limits()) -> DataFrame:
+    """The same with the hash of each document's set."""
     members, roots = classes(docs, text, doc_id, words, per_cent, limits)
     sized = members.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
     rooted, total = sized.join(roots, ["h1", "h2"], "left"), members.count()
@@ -543,12 +548,37 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     alone = rooted.where("root is null").select("h1", "h2", "m", F.col("least").alias("component_id"))
     right = join_hot(linked, best, ["root"], "w", total).select("h1", "h2", "m", "component_id").unionByName(alone)
     out = join_hot(members, right, ["h1", "h2"], "m", total)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "h1", "h2")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
-    """The rows of docs that are the smallest id of their component; rows that repeat that id stay together (exact
-    dedup tells them apart), and so do rows with a null id."""
-    found = groups(docs, text, doc_id, words, per_cent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """The rows of docs that are the smallest id of their component. Where an id repeats, each of its texts is judged by its own component; rows that
+    repeat id and text stay together (exact dedup tells them apart), and so do rows with a null id."""
+    spark = docs.sparkSession
+    found = grouped(docs, text, doc_id, words, per_cent)
+    marks = found.where("doc_id is not null").select("doc_id", "h1", "h2", F.coalesce(F.col("component_id") != F.col("doc_id"), F.lit(False)).alias("gone"))
+    # ids with a row that goes; most often all rows of the id do
+    ids = stored(marks.groupBy("doc_id").agg(F.max("gone").alias("some"), F.min("gone").alias("all")).where("some").select(F.col("doc_id").alias("_gone"), "all"), scratch(spark), "gone")
+    key = F.col(f"`{doc_id}`").cast("long")
+    kept = docs.join(ids.select("_gone"), key == F.col("_gone"), "left_anti")
+    mixed = ids.where("not all")
+    if mixed.isEmpty():
+        return kept
+    at = docs.columns.index(text)
+
+    def classed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [class_of(shingles(t.as_py(), words)) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in h], pa.int64()), pa.array([b for _, b in h], pa.int64())], [*batch.schema.names, "_h1", "_h2"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
+    rows = docs.join(mixed.select("_gone"), key == F.col("_gone"), "left_semi").mapInArrow(classed, schema)
+    stays = marks.where("not gone").select(F.col("doc_id").alias("_stays"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2"))
+    own = (key == F.col("_stays")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
+    return kept.unionByName(rows.join(stays, own, "left_semi").drop("_h1", "_h2"))
+
+
+def class_of(g: np.ndarray) -> tuple[int, int]:
+    """The 128-bit hash of a set of shingles, as two whole numbers."""
+    h = xxhash.xxh3_128_intdigest(g.tobytes())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)

@@ -133,7 +133,7 @@ def train(
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(*statistics(t.as_py())[1:]).astype(np.float16).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary()), batch.column(2).cast(pa.int64())], ["y", "x", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary()), batch.column(2)], ["y", "x", "id"])
 
     def learn(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ys, xs, ids = [], [], []
@@ -154,7 +154,7 @@ def train(
         a, b = platt(score, y[held]) if held.any() and y[held].min() != y[held].max() else (1.0, 0.0)
         yield pd.DataFrame({"w": [np.append(w, [a, b]).tobytes()]})
 
-    each = rows.mapInArrow(vectors, "y int, x binary, id long").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", F.xxhash64("x")).alias("x"))
+    each = rows.mapInArrow(vectors, f"y int, x binary, id {docs.schema[doc_id].dataType.simpleString()}").groupBy("id").agg(F.min("y").alias("y"), F.min_by("x", F.xxhash64("x")).alias("x"))
     one = each.select("y", "x", "id").repartition(1).mapInPandas(learn, "w binary")
     found = one.collect()
     return np.frombuffer(found[0].w) if found else None

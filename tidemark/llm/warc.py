@@ -5,8 +5,10 @@ conversion (the page as plain text). Both name the response in WARC-Refers-To, w
 encodings of the body are undone first; digests are those of the payload as it was sent, without its transfer encoding.
 
 Defined results: null addresses and pages become empty ones; a payload that isn't text/html has no conversion record, nor has one whose
-encoding is unknown, broken, or larger than MAX_BODY when undone (the metadata's field `decoding` says so); a damaged record
-(no version line, no blank line, fewer bytes than it says) gives one row of type `damaged` without links; an empty table gives no records.
+encoding is unknown or broken (the metadata's field `decoding` says so); bodies may have any size that a task's memory holds, unless `max_body` bounds
+what their encodings come to (then `decoding` says "too large"); all members of a body count; a damaged record (no version line, no blank line, fewer bytes than it
+says) gives one row of type `damaged` without links, and the records after it go on; repeated rows give the same records each, with the same ids; an empty
+table gives no records.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import re
 import uuid
 import zlib
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .markup import blocks
 
 VERSION, DATE, CRLF = "WARC/1.1", "2024-01-01T00:00:00Z", b"\r\n"
-MAX_BODY = 256 << 20  #: bytes of a body after its encodings are undone
+PIECE, ROWS_BYTES = 1 << 20, 16 << 20  #: bytes read at a time, and of the records of one Arrow batch
+HEAD_END, LENGTH, VERSION_LINE = re.compile(rb"\r?\n\r?\n"), re.compile(rb"(?i)\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r?\n"), re.compile(rb"WARC/\d\.\d\r?\n")
+CHUNK, MEMBER = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n"), b"\x1f\x8b\x08"
 RECORDS = "page_id long, source string, record binary"
 DERIVED = (
     "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
@@ -85,73 +88,118 @@ def read_record(data: bytes) -> tuple[Headers, bytes]:
     return headers, rest[:n]
 
 
-class Inflated(io.RawIOBase):
-    """The content of gzip members one after another; it ends where the data do, also in the middle of a member."""
+class Splitter:
+    """Cuts a stream of bytes into records. What can't be read (no version line, no length, or one that doesn't end at a blank line) is cut off before the
+    next version line, and comes as it is."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at, self.left, self.made = memoryview(data), 0, b"", zlib.decompressobj(zlib.MAX_WBITS | 16)
+    def __init__(self) -> None:
+        self.data, self.needs = bytearray(), 0
 
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, target: bytearray) -> int:
-        while True:
-            if not self.left and not self.made.eof:
-                self.left, self.at = bytes(self.data[self.at : self.at + (1 << 16)]), self.at + (1 << 16)
-            if self.made.eof:
-                self.left = self.made.unused_data or bytes(self.data[self.at : self.at + (1 << 16)])
-                self.at += 0 if self.made.unused_data else 1 << 16
-                self.made = zlib.decompressobj(zlib.MAX_WBITS | 16)
-            over = not self.left
-            out = self.made.decompress(self.left, len(target))
-            self.left = self.made.unconsumed_tail
-            if out or over:
-                target[: len(out)] = out
-                return len(out)
+    def feed(self, more: bytes, last: bool = False) -> Iterator[bytes]:
+        self.data += more
+        while last or len(self.data) >= self.needs:
+            del self.data[: len(self.data) - len(self.data.lstrip(b"\r\n"))]
+            if not self.data:
+                self.needs = 1
+                return
+            head = HEAD_END.search(self.data)
+            if not head and not last:
+                self.needs = len(self.data) + 1
+                return
+            n = LENGTH.search(self.data, 0, head.end()) if head else None
+            at = 1
+            if self.data.startswith(b"WARC/") and n:
+                end, at = head.end() + int(n[1]), head.end()
+                if len(self.data) < end + 2 and not last:
+                    self.needs = end + 2
+                    return
+                if self.data[end : end + 2] == CRLF or self.data[end : end + 1] == b"\n" or len(self.data) == end:
+                    self.needs = 0
+                    yield self._cut(end)
+                    continue
+            after = VERSION_LINE.search(self.data, at)
+            if not after and not last:
+                self.needs = 2 * len(self.data)  # looked through again when it has doubled
+                return
+            self.needs = 0
+            yield self._cut(after.start() if after else len(self.data))
 
+    def finish(self) -> Iterator[bytes]:
+        yield from self.feed(b"", True)
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of a file of many, plain or gzip (a member for each record, or one for all). What can't be read comes last, as it is."""
-    stream = io.BufferedReader(Inflated(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 16)
-    try:
-        while True:
-            head = []
-            while not head or head[-1] not in (CRLF, b"\n", b""):
-                line = stream.readline(1 << 20)
-                if head or line.strip() or not line:  # blank lines between records
-                    head.append(line)
-            if head == [b""]:
-                return
-            length = next((int(x.partition(b":")[2]) for x in head if x.lower().startswith(b"content-length:")), -1)
-            body = stream.read(length) if length >= 0 else b""
-            yield b"".join(head) + body
-            if length < 0 or len(body) < length:
-                return  # the start of the next record isn't known
-    except (OSError, EOFError, ValueError, zlib.error):
-        yield b"damaged"
+    def _cut(self, n: int) -> bytes:
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
 
 
-def undone(body: bytes, headers: Headers) -> tuple[bytes | None, bytes, str]:
-    """The body without its encodings (None if that fails), the payload without its transfer encoding, and what went wrong."""
+def split_records(data: bytes) -> Iterator[bytes]:
+    """The records of a file of many, plain or gzip (a member for each record, or one for all). After what can't be read the next record, or the next
+    member that can be read, goes on; a gap between members comes as one damaged record."""
+    splitter = Splitter()
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield from splitter.feed(data[at : at + PIECE])
+        yield from splitter.finish()
+        return
+    at, gap = 0, False
+    while 0 <= at < len(data):
+        made, start, sent = zlib.decompressobj(zlib.MAX_WBITS | 16), at, 0
+        try:
+            while not made.eof:
+                piece = made.unconsumed_tail or data[at : at + PIECE]
+                at += 0 if made.unconsumed_tail else len(piece)
+                out = made.decompress(piece, PIECE)
+                if not out and not piece:
+                    break
+                sent += len(out)
+                yield from splitter.feed(out)
+            at -= len(made.unused_data)
+            gap = gap and not made.eof
+            if made.eof and data[at : at + 2] == b"\x1f\x8b" or not data[at:].strip(b"\0\r\n"):
+                continue
+        except zlib.error:
+            pass
+        # not a member's end: what came of it so far, then the next member
+        yield from splitter.finish()
+        if not gap and (made.eof or not sent):
+            yield b"damaged"
+        gap = True
+        at = data.find(MEMBER, start + 1 if not made.eof else at)
+    yield from splitter.finish()
+
+
+def undone(body: bytes, headers: Headers, most: int = 0) -> tuple[bytes | None, bytes, str]:
+    """The body without its encodings (None if that fails), the payload without its transfer encoding, and what went wrong. most: bytes that an undone
+    body may have; 0: any number."""
     try:
         if "chunked" in first(headers, "transfer-encoding").lower():
             parts, at = [], 0
             while True:
-                end = body.index(CRLF, at)
-                n = int(body[at:end].split(b";")[0], 16)
+                size = CHUNK.match(body, at)
+                n = int(size[1], 16) if size else -1
                 if n == 0:
                     break
-                parts.append(body[end + 2 : end + 2 + n])
-                at = end + 4 + n
+                at = size.end() + n + 2 if size else len(body) + 1
+                if at > len(body) or body[at - 2 : at] != CRLF:
+                    raise ValueError("no chunk of this size")
+                parts.append(body[at - 2 - n : at - 2])
             body = b"".join(parts)
         payload = body
         for kind in reversed([x.strip().lower() for x in first(headers, "content-encoding").split(",") if x.strip()]):
             if kind in ("gzip", "x-gzip", "deflate"):
                 bits = zlib.MAX_WBITS | 32 if kind != "deflate" or body[:1] in (b"\x78", b"\x58") else -zlib.MAX_WBITS
-                made = zlib.decompressobj(bits)
-                body = made.decompress(body, MAX_BODY)
-                if not made.eof:
-                    return None, payload, "too large" if made.unconsumed_tail else "broken encoding"
+                parts, rest, room = [], body, most
+                while True:  # a body may have several members
+                    made = zlib.decompressobj(bits)
+                    parts.append(made.decompress(rest, max(1, room) if most else 0))
+                    room -= len(parts[-1])
+                    if not made.eof:
+                        return None, payload, "too large" if most and made.unconsumed_tail else "broken encoding"
+                    rest = made.unused_data
+                    if rest[:2] != b"\x1f\x8b":
+                        break
+                body = b"".join(parts)
             elif kind != "identity":
                 return None, payload, f"unknown encoding {kind}"
         return body, payload, ""
@@ -167,7 +215,7 @@ def response(page_id: int | None, url: str | None, page: str | None, date: str =
                          ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(body))], block)
 
 
-def derivatives(data: bytes, packed: bool = False) -> list[dict]:
+def derivatives(data: bytes, packed: bool = False, most: int = 0) -> list[dict]:
     """The metadata and conversion record of a response record."""
     try:
         head, block = read_record(data)
@@ -179,7 +227,7 @@ def derivatives(data: bytes, packed: bool = False) -> list[dict]:
     status, source = header_lines(http)
     origin, uri, date = (first(head, k) for k in ("warc-record-id", "warc-target-uri", "warc-date"))
     declared, kind = first(head, "warc-payload-digest"), first(source, "content-type")
-    content, payload, failed = undone(body, source)
+    content, payload, failed = undone(body, source, most)
     charset = (re.search(r"charset=\"?([\w-]+)", kind, re.I) or ["", "utf-8"])[1]
     links: list[str] = []
     text = None
@@ -224,7 +272,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 for record in split_records(data.as_py()):
                     some.append(record)
                     size += len(record)
-                    if size > 16 << 20:
+                    if size > ROWS_BYTES:
                         yield rows(name, some)
                         some, size = [], 0
                 yield rows(name, some)
@@ -240,26 +288,42 @@ def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, urls = part.column(0).to_pylist(), part.column(1).to_pylist()
-                data = [response(i, u, p.as_py(), date) for i, u, p in zip(ids, urls, part.column(2), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column(1), pa.array(data, pa.binary())], ["page_id", "source", "record"])
+            rows, size = [], 0
+            for i, u, p in zip(*batch.columns, strict=True):
+                i, u = i.as_py(), u.as_py()
+                rows.append((i, u, response(i, u, p.as_py(), date)))
+                size += len(rows[-1][2])
+                if size > ROWS_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["page_id", "source", "record"])
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("source"), F.col(page).alias("html")).mapInArrow(run, RECORDS)
 
 
-def derive(records: DataFrame, packed: bool = False) -> DataFrame:
-    """The derivative records of response records (page_id, source, record)."""
+def derive(records: DataFrame, packed: bool = False, max_body: int = 0) -> DataFrame:
+    """The derivative records of response records (page_id, source, record). max_body: bytes that a body may have without its encodings; 0: any number."""
     names = [x.split()[0] for x in DERIVED.split(", ")]
     pair = pa.struct([("name", pa.string()), ("value", pa.string())])
     kinds = [pa.int64(), *[pa.string()] * 6, pa.int64(), *[pa.string()] * 3, pa.list_(pair), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [{"page_id": i} | d for i, r in zip(part.column(0).to_pylist(), part.column(1), strict=True) for d in derivatives(r.as_py() or b"", packed)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+            rows, size = [], 0
+            for i, r in zip(*batch.columns, strict=True):
+                i = i.as_py()
+                for d in derivatives(r.as_py() or b"", packed, max_body):
+                    rows.append({"page_id": i} | d)
+                    size += len(d.get("record") or b"")
+                if size > ROWS_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
     return records.select("page_id", "record").mapInArrow(run, DERIVED)
