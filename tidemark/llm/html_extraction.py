@@ -9,8 +9,8 @@
    The valid classes, one inside the other, are the page's template.
 4. The blocks fall into the slots between template tokens. A block whose very text is a template token is boilerplate, inside a marked
    article too, and so is one inside an element for menus, headers, footers, sidebars, notices, adverts, forms or comments. If the page
-   marks its article, what is left in there is the text; else it is all that is left in the slot around the page's running text, in page
-   order: headlines, lists, short and linked paragraphs too. Elements around the main slot itself (a form or a sidebar layout that wraps the page)
+   marks its article, what is left in there is the text; else it is all that is left in the slot with the most running text, in page
+   order: headlines, lists, short and linked paragraphs too. Slots lie in the template's elements, whatever they are called. Elements around the main slot itself (a form or a sidebar layout that wraps the page)
    don't count as boilerplate.
 
 Defined results: null and empty pages, and pages without main text (all of it links, or boilerplate), give an empty text; a null address is a host of its own; hosts with
@@ -176,17 +176,30 @@ def text_token(b: Block) -> int:
 
 
 def tokens(found: list[Block]) -> dict[int, tuple[int, int]]:
-    """A page's tokens (every path around a block, and the path with the block's text), their numbers and first places."""
+    """A page's tokens (every path around a block, the path with its number, and the path with the block's text), their numbers and first places.
+
+    A path by itself counts as there or not. With its number (its token is the negative one) it counts each time that the page enters it, and each further
+    block directly in it: six list items count as six, a box once."""
     out: dict[int, tuple[int, int]] = {}
-    at = 0
+    at, before = 0, None
     for b in found:
-        new, e = [], b.element
-        while e.parent and e.token not in out:
+        new, e, last = [], b.element, before
+        while e.parent and e is not last:
+            while last is not None and last.depth > e.depth:
+                last = last.parent
+            if last is e:
+                break
             new.append(e.token)
             e = e.parent
+        if not new and b.element.parent:
+            new = [b.element.token]
+        before = b.element
         for t in reversed(new):
-            out[t] = (1, at)
-            at += 1
+            n, first = out.get(-t, (0, at + 1))
+            out[-t] = (n + 1, first)
+            if not n:
+                out[t] = (1, at)
+                at += 2
         t = text_token(b)
         n, first = out.get(t, (0, at))
         out[t] = (n + 1, first)
@@ -320,14 +333,55 @@ def within(found: list[Block], top: Element) -> list[Block]:
     return out
 
 
+def chosen(found: list[Block], known: frozenset[int]) -> list[Block]:
+    """The blocks of the template's slot that holds the page's text, where no article is marked.
+
+    The template's elements (whose numbers are in a valid class: the host's pages have them as often as the others of it) cut the page into slots: a block is in
+    that of the innermost one around it. The slot with the most running text is the page's; an element around it is taken instead if it adds a headline that the slot
+    lacks and less than half as much running text again. Without such elements, the innermost place around all running text is the slot."""
+    holders: dict[int, Element | None] = {}
+
+    def holder(e: Element) -> Element | None:
+        chain, at = [], e
+        while at is not None and at.token not in holders:
+            if -at.token in known and at.name not in TEXT and at.name not in ("html", "body"):
+                holders[at.token] = at
+                break
+            chain.append(at.token)
+            at = at.parent
+        top = holders[at.token] if at is not None else None
+        holders.update(dict.fromkeys(chain, top))
+        return top
+
+    size: Counter[int] = Counter()
+    slots: dict[int, Element | None] = {}
+    for b in running(found):
+        e = holder(b.element)
+        slots.setdefault(e.token if e else 0, e)
+        size[e.token if e else 0] += len(b.text) - b.linked
+    if not any(slots.values()):
+        top = slot(found, known)
+        return within(found, top) if top else []
+    best = slots[max(slots, key=lambda t: (size[t], t != 0))]
+    if best is None:
+        return [b for b in found if holder(b.element) is None]
+    headline = lambda some: any(b.element.name == "h1" or facts(b.element).text and facts(b.element).text.name == "h1" for b in some)
+    text = lambda some: sum(len(b.text) - b.linked for b in running(some))
+    inside = within(found, best)
+    while best.parent and (up := holder(best.parent)):
+        more = within(found, up)
+        if headline(inside) or not headline(more) or 2 * text(more) > 3 * text(inside):
+            break
+        best, inside = up, more
+    return inside
+
+
 def main_text(found: list[Block], classes: Iterable[list[int]] = ()) -> str:
     known = template(found, classes)
     left = without_boilerplate([b for b in found if text_token(b) not in known])
     inside = [b for b in left if facts(b.element).main]
     if not inside:
-        # no article is marked: the slot around the running text, with the template's elements as bounds
-        top = slot(left, known)
-        inside = within(left, top) if top else []
+        inside = chosen(left, known)
     return " ".join(b.text for b in inside)
 
 
