@@ -6,6 +6,7 @@ key % 7 = 0 have another value, and rows with key % 50 = 0 exist a second time u
 
 from __future__ import annotations
 
+import datetime
 import functools
 import uuid
 from collections.abc import Callable
@@ -19,7 +20,7 @@ from .functions.canonical import cell
 from .operators import apply, diff, digests, mask, project, stored, verify
 from .operators.mask import MaskRule
 from .operators.project import Filter
-from .plans import report, schema
+from .plans import report, runs, schema
 from .plans import sql as free_sql
 from .plans.report import TableSelection
 from .sources import databases, readers, writers
@@ -122,6 +123,17 @@ def jdbc_apply_changes(spark, d):
     return readers.jdbc(spark, url, name, ["c_mktsegment", "c_custkey"], 4, driver)
 
 
+@query(f"SELECT {SUMMARY} FROM {classes_sql('supplier')}")
+def jdbc_read_moment(spark, d):
+    """A comparison with a database table as of one moment, read by ranges of a key of text and numbers. The database is that of jdbc_round_trip."""
+    url = spark.conf.get("spark.tidemark.jdbc.url", f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true")
+    driver = {"driver": spark.conf.get("spark.tidemark.jdbc.driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver")}
+    name = f"supplier_{uuid.uuid4().hex[:8]}"
+    source, target, keys = sides(spark, d, "supplier")
+    writers.write_jdbc(target, url, name, partitions=4, properties=driver | {"createTableColumnTypes": "s_name varchar(64)"})
+    return diff.summary(source, databases.read_moment(spark, url, name, ["s_name", "s_suppkey"], 4, driver), keys)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_orderkey, l_linenumber) > (100, 2) ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 500")
 def keyset_page(spark, d):
     return project.keyset_page(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber", "l_quantity"], [100, 2, 1e9], 500)
@@ -671,6 +683,44 @@ def run_history(spark, d):
     return report.run_history(runs, status="F", limit=100, offset=20)
 
 
+@query(f"""SELECT f.o_orderkey, f.change_type, s.o_totalprice AS source_o_totalprice, t.o_totalprice AS target_o_totalprice FROM (SELECT * FROM {classes_sql('orders')} WHERE change_type = 'update' ORDER BY o_orderkey LIMIT 100 OFFSET 30) f
+LEFT JOIN orders s USING (o_orderkey) LEFT JOIN {drift_sql('orders')} t ON f.o_orderkey = t.o_orderkey""")
+def saved_diff_page(spark, d):
+    """A page of a saved comparison: nothing is compared again."""
+    source, target, keys = sides(spark, d, "orders")
+    store = staging.shared_folder(spark)
+    found = staging.snapshot(diff.row_diff(source, target, keys))
+    told = report.compare_tables(spark, {"orders": source}, {"orders": target}, {"orders": TableSelection(keys)})
+    run = runs.save_run(spark, store, "compare", told, BEGAN, differences={"orders": (found, keys)})
+    page = runs.saved_page(spark, store, run, "orders", source, target, keys, "update", 100, 30)
+    return page.select("o_orderkey", "change_type", "source_o_totalprice", "target_o_totalprice")
+
+
+BEGAN = datetime.datetime(2024, 1, 1)
+
+
+@query(f"SELECT kind, profile, status, tables, failed, rows FROM (SELECT 'sync' AS kind, 'a' AS profile, 'Completed' AS status, 1::BIGINT AS tables, 0::BIGINT AS failed, count(*) AS rows, 1 AS n FROM customer UNION ALL SELECT 'compare', 'a', r.status, r.tables, r.failed, r.rows, 2 FROM ({SQL['run_status']}) r) ORDER BY n DESC")
+def saved_run_history(spark, d):
+    """Runs saved by a sync and a comparison, newest first; runs of other profiles aren't asked for."""
+    store = staging.shared_folder(spark)
+    source, target, keys = sides(spark, d, "customer")
+    _, told = report.sync_tables(spark, {"customer": source}, {"customer": target}, {"customer": TableSelection(keys, delete_extra=True)})
+    runs.save_run(spark, store, "sync", told, BEGAN, "a")
+    runs.save_run(spark, store, "compare", compare_tables(spark, d), BEGAN + datetime.timedelta(hours=1), "a")
+    runs.save_run(spark, store, "sync", told, BEGAN, "b")
+    return report.run_history(runs.runs(spark, store), profile="a").select("kind", "profile", "status", "tables", "failed", "rows")
+
+
+@query("SELECT * FROM orders")
+def copy_resumable(spark, d):
+    """A copy by key ranges that stops and goes on where it stopped."""
+    path = staging.shared_folder(spark)
+    o = table(spark, d, "orders")
+    runs.resumable_copy(o, path, ["o_orderkey"], 6, most=2)
+    runs.resumable_copy(o, path, ["o_orderkey"], 6)
+    return runs.finished(spark, path)
+
+
 # Checks ---------------------------------------------------------------------------------------------------------------------
 
 
