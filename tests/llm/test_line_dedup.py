@@ -92,3 +92,13 @@ def test_columns_of_any_name_and_long_texts(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert all(tuple(r)[2 : 2 + len(names)] == tuple(range(len(names))) for r in rows.values())
     assert rows[7].text == "own 7" and rows[7].n_dropped == 60_000 and rows[0].text == ""
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5])
+def test_batches_of_one_reading(spark, docs, batches):
+    """The same rows as with a reading for each batch, whatever their number; the plan reads texts once."""
+    rows = docs([f"head\nrow {k % 7}\nown {k}\n head " for k in range(60)] + [None, "", "head"])
+    want = line_dedup.drop_shared_lines(rows, *line_dedup.shared_lines(line_dedup.in_batches(rows, batches), spark)).collect()
+    shared, total = line_dedup.shared_lines_of(rows, batches)
+    assert sorted(map(str, line_dedup.drop_shared_lines(rows, shared, total).collect())) == sorted(map(str, want))
+    assert total == line_dedup.distinct_keys(rows, "text", "doc_id", 1).count()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import language, quality
@@ -13,7 +17,7 @@ from .test_tokens import check_sequences
 
 
 def test_stages(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150).cache()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = [docs.collect()]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = spark.read.parquet(str(tmp_path / f"{k - 1}")) if k else docs
@@ -34,8 +38,26 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_run_has_the_rows_of_the_last_stage(spark, sf_dir):
+    """The whole table, against the stages worked out row by row."""
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and check_sequences(out.collect()) == 0
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = [r.doc_id for r in language.predict(docs, language.train(docs)).where("lang_pred <> 'und' and score >= 0.5").collect()]
+    left = docs.where(docs.doc_id.isin(known))
+    good = [r.doc_id for r in quality.score(left, quality.train(left, labels)).where("kept").collect()]
+    single = [max(g) for g in equal_texts([(i, texts[i]) for i in good]).values()]
+    want = {c for _, _, c in near_texts([(i, texts[i]) for i in single])}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in out.collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert set(pieces) == want
+    for i in want:
+        ids = [*library.encode(texts[i], add_special_tokens=False).ids, 1]
+        for start, length, crc in sorted(pieces[i]):
+            assert crc == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[start : start + length]))
+        assert sum(n for _, n, _ in pieces[i]) == len(ids)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None), (1, None), (1, ""), (2, "12 34")], None])

@@ -82,7 +82,16 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch: a row for each document and distinct key."""
-        new = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).repartition(self.buckets, *KEYS)
+        self._add(lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).repartition(self.buckets, *KEYS), False)
+
+    def add_all(self, lines: DataFrame, batches: int) -> None:
+        """Adds many batches whose rows are read once: a row for each document and distinct key, with _batch. Their counts are written together, in the
+        buckets of the runs; each batch is a filter on that table."""
+        counts = self._run(lines.groupBy("_batch", *KEYS).agg(F.count(F.lit(1)).alias("n")).repartition(self.buckets, *KEYS), "batches")
+        for k in range(batches):
+            self._add(counts.where(F.col("_batch") == k).drop("_batch"), True)
+
+    def _add(self, new: DataFrame, written: bool) -> None:
         if self.settled:
             known = self._merged(self.settled).select(*KEYS, F.lit(True).alias("known")).hint("merge")
             # one merge join says of each key whether it is settled; both parts are written together
@@ -90,7 +99,7 @@ class LineRuns:
             self.settled.append(new.where("known").drop("known"))
             self.levels[0].append(new.where("known is null").drop("known"))
         else:
-            self.levels[0].append(self._run(new, "run"))
+            self.levels[0].append(new if written else self._run(new, "run"))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
@@ -126,6 +135,14 @@ def shared_lines(batches: Iterable[DataFrame], spark: SparkSession, text: str =
     return runs.shared()
 
 
+def shared_lines_of(docs: DataFrame, batches: int = BATCHES, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, int]:
+    """shared_lines of docs dealt to batches by a hash of the row; docs is read once."""
+    runs = LineRuns(docs.sparkSession, min_docs)
+    lines = distinct_keys(docs, text, doc_id, min_chars)
+    runs.add_all(lines.select(F.pmod("_r1", F.lit(batches)).cast("int").alias("_batch"), *KEYS), batches)
+    return runs.shared()
+
+
 def drop_shared_lines(docs: DataFrame, shared: DataFrame, total: int, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with `text` cut down to the lines that stay, and n_lines, n_dropped (in place of columns with these names).
 

@@ -78,7 +78,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    shared, total = line_dedup.shared_lines(line_dedup.in_batches(docs), spark)
+    shared, total = line_dedup.shared_lines_of(docs)
     left = line_dedup.drop_shared_lines(docs.select("doc_id", "text"), shared, total)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
