@@ -6,6 +6,7 @@ default_kind, auto_increment, generated.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,53 +17,286 @@ from ..functions.canonical import coerced
 #: Families of dialects that share their type names.
 FAMILY = {"postgresql": "pg", "kingbasees": "pg", "opengauss": "pg", "mysql": "my", "mariadb": "my", "sqlite": "lite", "sqlserver": "ms", "clickhouse": "ch", "duckdb": "duck", "dm8": "dm"}
 #: Native type names by family and canonical type (fixed values).
-NAMES: dict[str, dict[str, str]] = {
+NAMES: dict[str, dict[str, tuple[str, ...]]] = {
     "pg": {
-        "Boolean": "boolean|bool", "Int16": "smallint|int2", "Int32": "integer|int4|int", "Int64": "bigint|int8", "Decimal": "numeric|decimal|money", "Single": "real|float4", "Double": "double precision|float8", "VarChar": "character varying|varchar",
-        "Char": "character|bpchar|char", "Text": "text|citext", "Date": "date", "Time": "time|time without time zone|time with time zone", "DateTime": "timestamp|timestamp without time zone", "DateTimeOffset": "timestamp with time zone", "Binary": "bytea", "Guid": "uuid", "Json": "json|jsonb", "Xml": "xml",
+        "Boolean": ("boolean", "bool"),
+        "Int16": ("smallint", "int2"),
+        "Int32": ("integer", "int4", "int"),
+        "Int64": ("bigint", "int8"),
+        "Decimal": ("numeric", "decimal", "money"),
+        "Single": ("real", "float4"),
+        "Double": ("double precision", "float8"),
+        "VarChar": ("character varying", "varchar"),
+        "Char": ("character", "bpchar", "char"),
+        "Text": ("text", "citext"),
+        "Date": ("date",),
+        "Time": ("time", "time without time zone", "time with time zone"),
+        "DateTime": ("timestamp", "timestamp without time zone"),
+        "DateTimeOffset": ("timestamp with time zone",),
+        "Binary": ("bytea",),
+        "Guid": ("uuid",),
+        "Json": ("json", "jsonb"),
+        "Xml": ("xml",),
     },
     "my": {
-        "Int16": "tinyint|smallint|year", "Int32": "mediumint|int|integer", "Int64": "bigint", "Decimal": "decimal|numeric", "Single": "float", "Double": "double|real", "Char": "char", "VarChar": "varchar|enum|set", "Text": "tinytext|text|mediumtext|longtext", "Date": "date",
-        "DateTime": "datetime|timestamp", "Time": "time", "Binary": "bit|binary|varbinary|tinyblob|blob|mediumblob|longblob", "Json": "json", "Guid": "uuid",
+        "Int16": ("tinyint", "smallint", "year"),
+        "Int32": ("mediumint", "int", "integer"),
+        "Int64": ("bigint",),
+        "Decimal": ("decimal", "numeric"),
+        "Single": ("float",),
+        "Double": ("double", "real"),
+        "Char": ("char",),
+        "VarChar": ("varchar", "enum", "set"),
+        "Text": ("tinytext", "text", "mediumtext", "longtext"),
+        "Date": ("date",),
+        "DateTime": ("datetime", "timestamp"),
+        "Time": ("time",),
+        "Binary": ("bit", "binary", "varbinary", "tinyblob", "blob", "mediumblob", "longblob"),
+        "Json": ("json",),
+        "Guid": ("uuid",),
     },
     "ms": {
-        "Boolean": "bit", "Int16": "tinyint|smallint", "Int32": "int", "Int64": "bigint", "Decimal": "decimal|numeric|money|smallmoney", "Double": "float", "Single": "real", "Char": "char|nchar", "VarChar": "varchar|nvarchar", "Text": "text|ntext", "Date": "date", "Time": "time",
-        "DateTime": "datetime|datetime2|smalldatetime", "DateTimeOffset": "datetimeoffset", "Binary": "binary|varbinary|image", "Guid": "uniqueidentifier", "Xml": "xml",
+        "Boolean": ("bit",),
+        "Int16": ("tinyint", "smallint"),
+        "Int32": ("int",),
+        "Int64": ("bigint",),
+        "Decimal": ("decimal", "numeric", "money", "smallmoney"),
+        "Double": ("float",),
+        "Single": ("real",),
+        "Char": ("char", "nchar"),
+        "VarChar": ("varchar", "nvarchar"),
+        "Text": ("text", "ntext"),
+        "Date": ("date",),
+        "Time": ("time",),
+        "DateTime": ("datetime", "datetime2", "smalldatetime"),
+        "DateTimeOffset": ("datetimeoffset",),
+        "Binary": ("binary", "varbinary", "image"),
+        "Guid": ("uniqueidentifier",),
+        "Xml": ("xml",),
     },
     "ch": {
-        "Int16": "int8|int16|uint8", "Int32": "int32|uint16", "Int64": "int64|uint32", "Decimal": "uint64|decimal", "Single": "float32", "Double": "float64", "Text": "string", "Char": "fixedstring", "Guid": "uuid", "Date": "date|date32", "DateTime": "datetime|datetime64", "VarChar": "ipv4|ipv6|enum8|enum16",
-        "Json": "json|array|map|tuple|nested",
+        "Int16": ("int8", "int16", "uint8"),
+        "Int32": ("int32", "uint16"),
+        "Int64": ("int64", "uint32"),
+        "Decimal": ("uint64", "decimal"),
+        "Single": ("float32",),
+        "Double": ("float64",),
+        "Text": ("string",),
+        "Char": ("fixedstring",),
+        "Guid": ("uuid",),
+        "Date": ("date", "date32"),
+        "DateTime": ("datetime", "datetime64"),
+        "VarChar": ("ipv4", "ipv6", "enum8", "enum16"),
+        "Json": ("json", "array", "map", "tuple", "nested"),
     },
     "duck": {
-        "Boolean": "boolean|bool", "Int16": "tinyint|smallint|utinyint", "Int32": "integer|int|int32|usmallint", "Int64": "bigint|int64|uinteger|uint|uint32", "Decimal": "hugeint|ubigint|decimal|numeric", "Single": "float|float4|real", "Double": "double|float8", "Char": "char|bpchar", "VarChar": "varchar",
-        "Text": "text|string", "Binary": "blob|bytea", "Date": "date", "Time": "time", "DateTime": "timestamp|datetime", "DateTimeOffset": "timestamptz|timestamp with time zone", "Guid": "uuid", "Json": "json|list|struct|map|union|enum|array",
+        "Boolean": ("boolean", "bool"),
+        "Int16": ("tinyint", "smallint", "utinyint"),
+        "Int32": ("integer", "int", "int32", "usmallint"),
+        "Int64": ("bigint", "int64", "uinteger", "uint", "uint32"),
+        "Decimal": ("hugeint", "ubigint", "decimal", "numeric"),
+        "Single": ("float", "float4", "real"),
+        "Double": ("double", "float8"),
+        "Char": ("char", "bpchar"),
+        "VarChar": ("varchar",),
+        "Text": ("text", "string"),
+        "Binary": ("blob", "bytea"),
+        "Date": ("date",),
+        "Time": ("time",),
+        "DateTime": ("timestamp", "datetime"),
+        "DateTimeOffset": ("timestamptz", "timestamp with time zone"),
+        "Guid": ("uuid",),
+        "Json": ("json", "list", "struct", "map", "union", "enum", "array"),
     },
     "dm": {
-        "Boolean": "bit", "Int16": "tinyint|smallint", "Int32": "int|integer|pls_integer|binary_integer", "Int64": "bigint", "Decimal": "number|numeric|decimal|dec", "Single": "binary_float", "Double": "binary_double|float|double precision", "Char": "char|nchar|character", "VarChar": "varchar|varchar2|nvarchar|nvarchar2",
-        "Text": "clob|nclob|text|long|longvarchar", "Binary": "blob|raw|long raw|varbinary|binary|image", "Time": "time", "DateTime": "date|timestamp|datetime", "DateTimeOffset": "timestamp with time zone|timestamp with local time zone|timestamptz", "Xml": "xmltype",
+        "Boolean": ("bit",),
+        "Int16": ("tinyint", "smallint"),
+        "Int32": ("int", "integer", "pls_integer", "binary_integer"),
+        "Int64": ("bigint",),
+        "Decimal": ("number", "numeric", "decimal", "dec"),
+        "Single": ("binary_float",),
+        "Double": ("binary_double", "float", "double precision"),
+        "Char": ("char", "nchar", "character"),
+        "VarChar": ("varchar", "varchar2", "nvarchar", "nvarchar2"),
+        "Text": ("clob", "nclob", "text", "long", "longvarchar"),
+        "Binary": ("blob", "raw", "long raw", "varbinary", "binary", "image"),
+        "Time": ("time",),
+        "DateTime": ("date", "timestamp", "datetime"),
+        "DateTimeOffset": ("timestamp with time zone", "timestamp with local time zone", "timestamptz"),
+        "Xml": ("xmltype",),
     },
 }
 #: Type names with a length or a precision and scale of their own (fixed values).
 OWN_LENGTH = {"my": {"enum": 255, "set": 255}, "ch": {"ipv4": 45, "ipv6": 45, "enum8": 255, "enum16": 255}}
 OWN_DECIMAL = {"pg": {"money": (19, 4)}, "ms": {"money": (19, 4), "smallmoney": (19, 4)}, "ch": {"uint64": (20, 0)}, "duck": {"hugeint": (38, 0), "ubigint": (20, 0)}}
 #: A declared SQLite type by what its name holds, in this order (fixed values).
-LITE = (("BOOL", "Boolean"), ("GUID", "Guid"), ("UUID", "Guid"), ("INT", "Int64"), ("DEC", "Decimal"), ("NUM", "Decimal"), ("CLOB", "Text"), ("TEXT", "Text"), ("VAR&CHAR", "VarChar"), ("CHAR", "Char"), ("BLOB", "Binary"), ("REAL", "Double"), ("FLOA", "Double"), ("DOUB", "Double"), ("DATE", "DateTime"), ("TIME", "DateTime"))
-#: How a target writes each canonical type; {n} length, {p},{s} precision and scale; after a bar, a warning (fixed values).
-TARGETS: dict[str, dict[str, str]] = {
-    "pg": {"Boolean": "boolean", "Int16": "smallint", "Int32": "integer", "Int64": "bigint", "Decimal": "numeric({p},{s})", "Single": "real", "Double": "double precision", "Char": "character({n})", "VarChar": "character varying({n})", "Text": "text", "Date": "date", "Time": "time without time zone",
-           "DateTime": "timestamp without time zone", "DateTimeOffset": "timestamp with time zone", "Binary": "bytea", "Guid": "uuid", "Json": "jsonb", "Xml": "xml", "Unknown": "text|unknown type, kept as text"},
-    "my": {"Boolean": "tinyint(1)|boolean becomes tinyint(1)", "Int16": "smallint", "Int32": "int", "Int64": "bigint", "Decimal": "decimal({p},{s})", "Single": "float", "Double": "double", "Char": "char({n})", "VarChar": "varchar({n})", "Text": "text", "Date": "date", "Time": "time", "DateTime": "datetime",
-           "DateTimeOffset": "datetime|the time zone is lost", "Binary": "longblob", "Guid": "char(36)", "Json": "json", "Xml": "longtext|XML is kept as text", "Unknown": "text|unknown type, kept as text"},
-    "ms": {"Boolean": "bit|boolean becomes bit", "Int16": "smallint", "Int32": "int", "Int64": "bigint", "Decimal": "decimal({p},{s})", "Single": "real", "Double": "float", "Char": "nchar({n})", "VarChar": "nvarchar({n})", "Text": "nvarchar(max)", "Date": "date", "Time": "time", "DateTime": "datetime2",
-           "DateTimeOffset": "datetimeoffset", "Binary": "varbinary(max)", "Guid": "uniqueidentifier", "Json": "nvarchar(max)|JSON is kept as text", "Xml": "xml", "Unknown": "nvarchar(max)|unknown type, kept as text"},
-    "ch": {"Boolean": "UInt8|boolean becomes UInt8", "Int16": "Int16", "Int32": "Int32", "Int64": "Int64", "Decimal": "decimal({p},{s})", "Single": "Float32", "Double": "Float64", "Char": "FixedString({n})|short strings are padded", "VarChar": "String", "Text": "String", "Date": "Date", "Time": "String|no time of day type, kept as text",
-           "DateTime": "DateTime", "DateTimeOffset": "DateTime|check the time zone", "Binary": "String|binary is kept as text", "Guid": "UUID", "Json": "String|JSON is kept as text", "Xml": "String|XML is kept as text", "Unknown": "String|unknown type, kept as text"},
-    "duck": {"Boolean": "BOOLEAN", "Int16": "SMALLINT", "Int32": "INTEGER", "Int64": "BIGINT", "Decimal": "decimal({p},{s})", "Single": "FLOAT", "Double": "DOUBLE", "Char": "VARCHAR({n})|lengths aren't fixed", "VarChar": "VARCHAR({n})", "Text": "VARCHAR", "Date": "DATE", "Time": "TIME", "DateTime": "TIMESTAMP",
-             "DateTimeOffset": "TIMESTAMPTZ", "Binary": "BLOB", "Guid": "UUID", "Json": "JSON", "Xml": "VARCHAR|XML is kept as text", "Unknown": "VARCHAR|unknown type, kept as text"},
-    "dm": {"Boolean": "BIT|boolean becomes BIT", "Int16": "SMALLINT", "Int32": "INTEGER", "Int64": "BIGINT", "Decimal": "decimal({p},{s})", "Single": "BINARY_FLOAT", "Double": "BINARY_DOUBLE", "Char": "CHAR({n})", "VarChar": "VARCHAR2({n})", "Text": "CLOB", "Date": "DATE|dates hold a time", "Time": "TIME", "DateTime": "TIMESTAMP(6)",
-           "DateTimeOffset": "TIMESTAMP(6) WITH TIME ZONE", "Binary": "BLOB", "Guid": "VARCHAR(36)|UUID is kept as text", "Json": "CLOB|JSON is kept as text", "Xml": "CLOB|XML is kept as text", "Unknown": "CLOB|unknown type, kept as text"},
-    "lite": {"Boolean": "INTEGER|boolean becomes 0 or 1", "Int16": "INTEGER", "Int32": "INTEGER", "Int64": "INTEGER", "Decimal": "NUMERIC|precision isn't kept", "Single": "REAL", "Double": "REAL", "Char": "CHAR({n})|lengths aren't checked", "VarChar": "VARCHAR({n})|lengths aren't checked", "Text": "TEXT", "Date": "DATE", "Time": "TIME",
-             "DateTime": "DATETIME", "DateTimeOffset": "DATETIME|the time zone is lost", "Binary": "BLOB", "Guid": "TEXT|UUID is kept as text", "Json": "TEXT|JSON is kept as text", "Xml": "TEXT", "Unknown": "TEXT|unknown type, kept as text"},
+LITE = (
+    (("BOOL",), "Boolean"),
+    (("GUID",), "Guid"),
+    (("UUID",), "Guid"),
+    (("INT",), "Int64"),
+    (("DEC",), "Decimal"),
+    (("NUM",), "Decimal"),
+    (("CLOB",), "Text"),
+    (("TEXT",), "Text"),
+    (("VAR", "CHAR"), "VarChar"),
+    (("CHAR",), "Char"),
+    (("BLOB",), "Binary"),
+    (("REAL",), "Double"),
+    (("FLOA",), "Double"),
+    (("DOUB",), "Double"),
+    (("DATE",), "DateTime"),
+    (("TIME",), "DateTime"),
+)
+#: How a target writes each canonical type; {n} length, {p},{s} precision and scale; and its warning (fixed values).
+TARGETS: dict[str, dict[str, tuple[str, str | None]]] = {
+    "pg": {
+        "Boolean": ("boolean", None),
+        "Int16": ("smallint", None),
+        "Int32": ("integer", None),
+        "Int64": ("bigint", None),
+        "Decimal": ("numeric({p},{s})", None),
+        "Single": ("real", None),
+        "Double": ("double precision", None),
+        "Char": ("character({n})", None),
+        "VarChar": ("character varying({n})", None),
+        "Text": ("text", None),
+        "Date": ("date", None),
+        "Time": ("time without time zone", None),
+        "DateTime": ("timestamp without time zone", None),
+        "DateTimeOffset": ("timestamp with time zone", None),
+        "Binary": ("bytea", None),
+        "Guid": ("uuid", None),
+        "Json": ("jsonb", None),
+        "Xml": ("xml", None),
+        "Unknown": ("text", "unknown type, kept as text"),
+    },
+    "my": {
+        "Boolean": ("tinyint(1)", "boolean becomes tinyint(1)"),
+        "Int16": ("smallint", None),
+        "Int32": ("int", None),
+        "Int64": ("bigint", None),
+        "Decimal": ("decimal({p},{s})", None),
+        "Single": ("float", None),
+        "Double": ("double", None),
+        "Char": ("char({n})", None),
+        "VarChar": ("varchar({n})", None),
+        "Text": ("text", None),
+        "Date": ("date", None),
+        "Time": ("time", None),
+        "DateTime": ("datetime", None),
+        "DateTimeOffset": ("datetime", "the time zone is lost"),
+        "Binary": ("longblob", None),
+        "Guid": ("char(36)", None),
+        "Json": ("json", None),
+        "Xml": ("longtext", "XML is kept as text"),
+        "Unknown": ("text", "unknown type, kept as text"),
+    },
+    "ms": {
+        "Boolean": ("bit", "boolean becomes bit"),
+        "Int16": ("smallint", None),
+        "Int32": ("int", None),
+        "Int64": ("bigint", None),
+        "Decimal": ("decimal({p},{s})", None),
+        "Single": ("real", None),
+        "Double": ("float", None),
+        "Char": ("nchar({n})", None),
+        "VarChar": ("nvarchar({n})", None),
+        "Text": ("nvarchar(max)", None),
+        "Date": ("date", None),
+        "Time": ("time", None),
+        "DateTime": ("datetime2", None),
+        "DateTimeOffset": ("datetimeoffset", None),
+        "Binary": ("varbinary(max)", None),
+        "Guid": ("uniqueidentifier", None),
+        "Json": ("nvarchar(max)", "JSON is kept as text"),
+        "Xml": ("xml", None),
+        "Unknown": ("nvarchar(max)", "unknown type, kept as text"),
+    },
+    "ch": {
+        "Boolean": ("UInt8", "boolean becomes UInt8"),
+        "Int16": ("Int16", None),
+        "Int32": ("Int32", None),
+        "Int64": ("Int64", None),
+        "Decimal": ("decimal({p},{s})", None),
+        "Single": ("Float32", None),
+        "Double": ("Float64", None),
+        "Char": ("FixedString({n})", "short strings are padded"),
+        "VarChar": ("String", None),
+        "Text": ("String", None),
+        "Date": ("Date", None),
+        "Time": ("String", "no time of day type, kept as text"),
+        "DateTime": ("DateTime", None),
+        "DateTimeOffset": ("DateTime", "check the time zone"),
+        "Binary": ("String", "binary is kept as text"),
+        "Guid": ("UUID", None),
+        "Json": ("String", "JSON is kept as text"),
+        "Xml": ("String", "XML is kept as text"),
+        "Unknown": ("String", "unknown type, kept as text"),
+    },
+    "duck": {
+        "Boolean": ("BOOLEAN", None),
+        "Int16": ("SMALLINT", None),
+        "Int32": ("INTEGER", None),
+        "Int64": ("BIGINT", None),
+        "Decimal": ("decimal({p},{s})", None),
+        "Single": ("FLOAT", None),
+        "Double": ("DOUBLE", None),
+        "Char": ("VARCHAR({n})", "lengths aren't fixed"),
+        "VarChar": ("VARCHAR({n})", None),
+        "Text": ("VARCHAR", None),
+        "Date": ("DATE", None),
+        "Time": ("TIME", None),
+        "DateTime": ("TIMESTAMP", None),
+        "DateTimeOffset": ("TIMESTAMPTZ", None),
+        "Binary": ("BLOB", None),
+        "Guid": ("UUID", None),
+        "Json": ("JSON", None),
+        "Xml": ("VARCHAR", "XML is kept as text"),
+        "Unknown": ("VARCHAR", "unknown type, kept as text"),
+    },
+    "dm": {
+        "Boolean": ("BIT", "boolean becomes BIT"),
+        "Int16": ("SMALLINT", None),
+        "Int32": ("INTEGER", None),
+        "Int64": ("BIGINT", None),
+        "Decimal": ("decimal({p},{s})", None),
+        "Single": ("BINARY_FLOAT", None),
+        "Double": ("BINARY_DOUBLE", None),
+        "Char": ("CHAR({n})", None),
+        "VarChar": ("VARCHAR2({n})", None),
+        "Text": ("CLOB", None),
+        "Date": ("DATE", "dates hold a time"),
+        "Time": ("TIME", None),
+        "DateTime": ("TIMESTAMP(6)", None),
+        "DateTimeOffset": ("TIMESTAMP(6) WITH TIME ZONE", None),
+        "Binary": ("BLOB", None),
+        "Guid": ("VARCHAR(36)", "UUID is kept as text"),
+        "Json": ("CLOB", "JSON is kept as text"),
+        "Xml": ("CLOB", "XML is kept as text"),
+        "Unknown": ("CLOB", "unknown type, kept as text"),
+    },
+    "lite": {
+        "Boolean": ("INTEGER", "boolean becomes 0 or 1"),
+        "Int16": ("INTEGER", None),
+        "Int32": ("INTEGER", None),
+        "Int64": ("INTEGER", None),
+        "Decimal": ("NUMERIC", "precision isn't kept"),
+        "Single": ("REAL", None),
+        "Double": ("REAL", None),
+        "Char": ("CHAR({n})", "lengths aren't checked"),
+        "VarChar": ("VARCHAR({n})", "lengths aren't checked"),
+        "Text": ("TEXT", None),
+        "Date": ("DATE", None),
+        "Time": ("TIME", None),
+        "DateTime": ("DATETIME", None),
+        "DateTimeOffset": ("DATETIME", "the time zone is lost"),
+        "Binary": ("BLOB", None),
+        "Guid": ("TEXT", "UUID is kept as text"),
+        "Json": ("TEXT", "JSON is kept as text"),
+        "Xml": ("TEXT", None),
+        "Unknown": ("TEXT", "unknown type, kept as text"),
+    },
 }
 #: Largest precision and scale, and longest string with what replaces a longer one (fixed values).
 MOST_DIGITS = {"my": (65, 30), "ms": (38, 38), "ch": (76, 76), "duck": (38, 38), "dm": (38, 38)}
@@ -96,12 +330,12 @@ def to_canonical(catalogue: DataFrame, dialect: str) -> DataFrame:
     if family == "lite":
         up, kind = F.upper(bare), F.lit("Text")
         for part, canonical in reversed(LITE):
-            hit = up.contains("CHAR") & up.contains("VAR") if "&" in part else up.contains(part)
+            hit = functools.reduce(Column.__and__, [up.contains(x) for x in part])
             kind = F.when(hit, canonical).otherwise(kind)
         kind = F.when(bare == "", "Binary").when((kind == "Char") & one.isNull(), "Text").otherwise(kind)
         length, precision, scale = one, F.coalesce(first, one), second
     else:
-        kind = F.coalesce(lookup({n: k for k, names in NAMES[family].items() for n in names.split("|")}, bare), F.lit("Unknown"))
+        kind = F.coalesce(lookup({n: k for k, names in NAMES[family].items() for n in names}, bare), F.lit("Unknown"))
         if family == "pg":
             kind = F.when(is_array(name), "Json").otherwise(kind)
         if family == "my":
@@ -123,8 +357,8 @@ def to_canonical(catalogue: DataFrame, dialect: str) -> DataFrame:
 def to_target(df: DataFrame, dialect: str) -> DataFrame:
     """df (with canonical and its numbers) with target_type and warnings."""
     family = FAMILY[dialect]
-    forms = {k: v.partition("|")[0] for k, v in TARGETS[family].items()}
-    notes = {k: v.partition("|")[2] or None for k, v in TARGETS[family].items()}
+    forms = {k: form for k, (form, _) in TARGETS[family].items()}
+    notes = {k: note for k, (_, note) in TARGETS[family].items()}
     kind, n, p, s = F.coalesce("canonical", F.lit("Unknown")), F.col("c_length"), F.col("c_precision"), F.coalesce("c_scale", F.lit(0))
     form, found = lookup(forms, kind), [lookup({k: v for k, v in notes.items() if v} or {"": ""}, kind)]
     decimal, string = kind == "Decimal", kind == "VarChar"
