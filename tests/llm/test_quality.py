@@ -109,3 +109,12 @@ def test_training_takes_one_text_of_an_id_and_any_order(spark, docs):
     a = quality.train(df, labels, label_id="key", sample=16)
     b = quality.train(df.repartition(7), labels.repartition(3), label_id="key", sample=16)
     assert np.array_equal(a, b)
+
+
+def test_ids_of_text(spark, sf_dir):
+    """The id may be of any type: the same verdicts as with numbers on rows that both samples can hold."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    named = docs.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id")), labels.withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    out = {r.doc_id: r.kept for r in quality.score(named[0], quality.train(*named)).collect()}
+    known = {r.doc_id: r.kept for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert len(out) == len(known) and np.mean([out[f"doc-{i}"] == k for i, k in known.items()]) >= 0.95
