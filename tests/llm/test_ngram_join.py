@@ -149,3 +149,39 @@ def test_an_id_with_texts_of_several_components(spark, docs):
     out = ngram_join.near_dedup(docs(rows).withColumn("h1", F.lit(1)).withColumn("gone", F.lit("x")))
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(5, a), (3, b + " more"), (0, b), (9, ""), (5, "")])
     assert out.columns[-2:] == ["h1", "gone"]
+
+
+def test_a_large_place_is_walked_by_size(spark, tmp_path):
+    """10,000 sets of one place that link with nothing: each goes to blocks of its own size only, and meets all sets that it could link with."""
+    r = random.Random(5)
+    rows = [(7, k, k, 9, int(10 ** r.uniform(1, 6))) for k in range(10_000)] + [(8, k, 0, 9, 50) for k in range(40)]
+    seats = spark.createDataFrame(rows, "place long, node long, root long, size int, n long")
+    out = ngram_join.placed(seats, str(tmp_path), 75, ngram_join.Limits(sets=64)).collect()
+    assert len(out) == len(rows)
+    sits = {(x.place, x.node): x["at"][0].block for x in out}
+    walks = {x.node: {b.block for b in x["at"] if b.walks} for x in out if x.place == 7}
+    assert sum(len(x["at"]) for x in out) < 20 * len(rows)  # by all blocks of the place it would be 157 a row
+    sizes = {k: n for p, k, _, _, n in rows if p == 7}
+    for a, b in ((r.randrange(10_000), r.randrange(10_000)) for _ in range(200_000)):
+        if 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b]):
+            assert a == b or sits[7, b] in walks[a] or sits[7, a] in walks[b]
+    assert {sits[8, k] for k in range(40)} == {0} and all(len(x["at"]) == 1 for x in out if x.place == 8)
+
+
+@pytest.mark.parametrize("per_cent", [50, 75, 90, 100])
+def test_bands_part_no_sizes_that_can_link(spark, per_cent):
+    """A set and the smallest set that could link with it, for all sizes up to 20,000 and some large ones."""
+    n = spark.range(1, 20_001).union(spark.sql("select 4 * pow(4, id) * 3 as id from range(12)").select(F.col("id").cast("long")))
+    least = F.ceil(F.col("id") * per_cent / 100)
+    apart = ngram_join.band(F.col("id"), per_cent) - ngram_join.band(least, per_cent)
+    assert n.select(F.max(apart)).first()[0] <= 1
+
+
+@pytest.mark.parametrize("per_cent", [60, 75, 90])
+def test_places_of_many_sizes_against_all_pairs(docs, per_cent):
+    r = random.Random(6)
+    parts = [words(r, 12, 10**6) for _ in range(12)]
+    rows = [(k, " ".join(w for p in r.sample(parts, r.randrange(1, 9)) for w in p)) for k in range(160)]
+    rows += [(1000 + k, " ".join(edited(r, rows[k][1].split(), 1))) for k in range(40)]
+    df = ngram_join.groups(docs(rows), per_cent=per_cent, limits=ngram_join.Limits(3, 400, 4))
+    assert found(df) == brute(rows, per_cent)

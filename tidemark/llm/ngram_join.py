@@ -9,7 +9,8 @@
 3. Nodes meet by the least hash of their shingles (MEETS of them, one after another; from the second on only one node for each component
    of a place). A block of them is laid in one prefix tree, which is walked by all of them.
 4. What is left: every list of a prefix shingle whose nodes are in two components or more. All nodes of such a list take a seat at one place;
-   all pairs of seats in different components are compared, in blocks of bounded size. So no link between two components is left.
+   all pairs of seats in different components are compared, in blocks of bounded size. So no link between two components is left. Large places
+   are cut by bands of set size: a set goes only to blocks of sets from about half to twice its size, since others can't link with it.
 5. The tree stores whole ordered sets. It is walked by many sets at once: overlaps of shared paths are counted once for each of them, and a
    subtree is left as soon as even its longest rest can't reach the threshold. A walk gives links that join components only, never all pairs.
 
@@ -20,6 +21,7 @@ ids only has a null id).
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -29,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -380,7 +382,7 @@ def unpack_docs(data: bytes) -> list[tuple]:
     return [(None if none else d, *rest) for d, none, *rest in np.frombuffer(data, DOC).tolist()]
 
 
-SEATED = "place long, block int, walks boolean, node long, root long, n long, body binary"
+SEATED = "place long, block long, walks boolean, node long, root long, n long, body binary"
 
 
 def compared(seated: DataFrame, per_cent: int, limits: Limits, complete: bool) -> DataFrame:
@@ -500,24 +502,49 @@ def met(nodes: DataFrame, label: DataFrame, total: int, folder: str, per_cent: i
     return label
 
 
+def band(n: Column, per_cent: int) -> Column:
+    """Number of a set's size on a scale of powers: sets that can link are in one band or in neighbours. The power is a little larger than the
+    greatest ratio of linked sizes, so that rounding can't part two of them, and large enough for a few hundred bands at most."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1.0001 * max(100 / per_cent, 1.05))).cast("int")
+
+
+def placed(seats: DataFrame, folder: str, per_cent: int, limits: Limits) -> DataFrame:
+    """Seats (place, node, root, size, n) with `at`, the blocks that each goes to: structs of block and walks.
+
+    A place beyond the limits is cut by bands of set size, and each band by hash. A seat sits in one block of its own band; what isn't in the place's
+    largest component also walks the blocks of its band and of the two next to it: other bands hold no set that it could link with.
+    """
+    seats = stored(seats.withColumn("band", band(F.col("n"), per_cent)), folder, "seats")
+    cells = seats.groupBy("place", "band", "root").agg(F.count(F.lit(1)).alias("part"), F.sum("size").alias("size"))
+    number = lambda m, size: F.ceil(F.greatest(F.col(m) / F.lit(limits.sets), F.col(size) / F.lit(limits.shingles))).cast("int")
+    bands = cells.groupBy("place", "band").agg(F.sum("part").alias("m"), F.sum("size").alias("size")).withColumn("blocks", number("m", "size"))
+    cuts = bands.groupBy("place").agg(F.sum("m").alias("m"), F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("cuts"))
+    shares = cells.groupBy("place", "root").agg(F.sum("part").alias("part"))
+    major = shares.groupBy("place").agg(F.max_by("root", F.struct("part", "root")).alias("major"))  # ties too go one way
+    cut = F.when(number("m", "size") > 1, F.col("cuts")).alias("cuts")
+    places = cuts.join(major, "place").select("place", "m", "major", cut)
+    seats = join_hot(seats, places, ["place"], "m", seats.count())
+    name = lambda b, k: F.shiftleft(b.cast("long"), 32) + k
+    own = name(F.col("band"), F.pmod(F.xxhash64("node"), F.col("cuts")[F.col("band")]))
+    sits = F.struct(F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(own).cast("long").alias("block"), F.lit(False).alias("walks"))
+    near = F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("cuts", b))
+    inside = lambda b: F.transform(F.sequence(F.lit(0), F.col("cuts")[b] - 1), lambda k: F.struct(name(b, k).alias("block"), F.lit(True).alias("walks")))
+    walks = F.when(F.col("cuts").isNotNull() & (F.col("root") != F.col("major")), F.flatten(F.transform(near, inside)))
+    none = F.expr("cast(array() as array<struct<block:bigint,walks:boolean>>)")
+    return seats.select("place", "node", "root", F.concat(F.array(sits), F.coalesce(walks, none)).alias("at"))
+
+
 def settled(nodes: DataFrame, label: DataFrame, folder: str, per_cent: int, limits: Limits) -> DataFrame:
     """Step 4: labels after all lists of prefix shingles with more than one component have been compared whole."""
-    rooted = stored(nodes.select("node", "size", "pre").join(label, "node"), folder, "rooted")
-    entries = rooted.select(F.explode("pre").alias("tok"), "node", "root", "size")
+    rooted = stored(nodes.select("node", "n", "size", "pre").join(label, "node"), folder, "rooted")
+    entries = rooted.select(F.explode("pre").alias("tok"), "node", "root", "size", "n")
     total = rooted.agg(F.sum(F.size("pre"))).first()[0] or 0
-    lists = entries.groupBy("tok").agg(F.min("root").alias("place"), F.max("root").alias("top"), F.count(F.lit(1)).alias("m")).where("place < top").select("tok", "place", "m")
+    lists = entries.groupBy("tok").agg(F.min("root").alias("place"), F.max("root").alias("top"), F.count(F.lit(1)).alias("m"))
+    lists = lists.where("place < top").select("tok", "place", "m")
     open_ = join_hot(entries, lists, ["tok"], "m", total).where("m is not null")
-    seats = stored(open_.select("place", "node", "root", "size").distinct(), folder, "seats")
-    shares = seats.groupBy("place", "root").agg(F.count(F.lit(1)).alias("part"), F.sum("size").alias("size"))
-    places = shares.groupBy("place").agg(F.sum("part").alias("m"), F.max_by("root", "part").alias("major"), F.sum("size").alias("size"))
-    blocks = F.ceil(F.greatest(F.col("m") / F.lit(limits.sets), F.col("size") / F.lit(limits.shingles))).cast("int")
-    places = places.select("place", "m", "major", blocks.alias("blocks"))
-    seats = join_hot(seats, places, ["place"], "m", seats.count()).select("place", "node", "root", "major", "blocks")
+    seats = placed(open_.select("place", "node", "root", "size", "n").distinct(), folder, per_cent, limits)
     whole = with_bodies(stored(seats, folder, "placed"), nodes)
-    sits = F.struct(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("walks"))
-    # what isn't in a large place's largest component walks all its blocks
-    walks = F.when((F.col("blocks") > 1) & (F.col("root") != F.col("major")), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("walks"))))
-    seated = whole.withColumn("_s", F.explode(F.concat(F.array(sits), F.coalesce(walks, F.expr("cast(array() as array<struct<block:int,walks:boolean>>)"))))).select("place", "_s.*", "node", "root", "n", "body")
+    seated = whole.withColumn("_s", F.explode("at")).select("place", "_s.*", "node", "root", "n", "body")
     return merged(label, compared(seated, per_cent, limits, True), folder, "rest")
 
 
