@@ -140,3 +140,10 @@ def test_groups_are_bounded_by_size():
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
     sizes = [len(t) for _, t in language._in_groups(batch, 0)]
     assert sizes[:3] == [1, 1, 1] and sum(sizes) == len(texts) and max(sizes) <= language.GROUP
+
+
+def test_a_column_with_too_many_languages_is_refused(docs):
+    df = docs([(k, "some words of text") for k in range(90)]).withColumn("lang", F.concat(F.lit("x"), F.col("doc_id")))
+    with pytest.raises(ValueError, match="lang"):
+        language.train(df, most=20)
+    assert len(language.train(df, most=90)[0]) > 20

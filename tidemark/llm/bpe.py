@@ -9,7 +9,8 @@ final, and a merged text may be cut after any final token. A worker thus holds a
 Words (the pattern of the tokenizer file) are found chunk by chunk: the last few characters of a chunk stay back, since what a word
 is depends on at most two characters after it; a word longer than `hold` is fed on to the window piece by piece.
 
-Defined results: null counts as empty; the special token's own text becomes its id, as the tokenizers library does.
+Defined results: null counts as empty; the special token's own text becomes its id, as the tokenizers library does;
+repeated rows and null ids are encoded each on its own; an empty table gives an empty result; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations

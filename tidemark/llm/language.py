@@ -8,7 +8,9 @@ It learns from at most PER_LANG rows of each language (those whose id has the sm
 crc32(id) mod 3 isn't 1. Languages, sources and ids are no inputs of a prediction.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a null id isn't held out and isn't learned from;
-without a training row all texts are `und`; ties go to the language first in alphabetical order.
+without a training row all texts are `und`; ties go to the language first in alphabetical order; repeated rows are each predicted, and count each in
+training; an empty table gives an empty result; other columns, whatever their names, are never read. More than LANGS different languages are an
+error: the driver holds 256 KB for each, and a column with so many values holds something else.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 PER_LANG, BITS, SWITCH = 600, 15, 12.0
+LANGS = 500  #: languages at most
 GROUP, GROUP_BYTES = 1024, 4 << 20  #: texts labelled at once, by number and by size (a longer text goes alone)
 CACHE = 200_000  #: words whose scores a worker keeps
 #: Starts of script ranges and the script from there on (fixed values; blocks of the Unicode standard).
@@ -148,9 +151,11 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray, dict] | None:
-    """Languages, log shares of n-grams, and the scripts of each; None without a training row."""
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = PER_LANG, most: int = LANGS) -> tuple[list[str], np.ndarray, dict] | None:
+    """Languages, log shares of n-grams, and the scripts of each; None without a training row. ValueError beyond `most` languages."""
     mine = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
+    if mine.select(lang).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} different values of {lang}")
     ids = mine.select(F.col(doc_id).alias("_key"), F.col(lang).alias("_lang"), F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)).alias("_hash"))
     # only about twice the sample's rows of a language are ranked; one row a language is broadcast
     cut = ids.groupBy("_lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.count(F.lit(1))).alias("_share"))
