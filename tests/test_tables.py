@@ -409,6 +409,27 @@ def test_statements_that_are_not_known_to_read(spark, sql):
     assert not free_sql.is_read_only(spark, sql)
 
 
+RUNS_CODE = [
+    "select transform(1) using 'cat' as (a)",
+    "with a as (select transform(1) using 'cat' as (a)) select * from a",
+    "select reflect('java.lang.System', 'getProperty', 'user.home')",
+    "select 1 where exists (select `Java_Method`('java.util.UUID', 'randomUUID'))",
+    "select max(a) over w from t window w as (order by try_reflect('java.util.UUID', 'randomUUID'))",
+    "select identifier('reflect')('java.util.UUID', 'randomUUID')",
+    "explain select transform(array(1), x -> system.builtin.reflect('java.util.UUID', 'randomUUID'))",
+]
+
+
+@pytest.mark.parametrize("sql", RUNS_CODE)
+def test_queries_that_run_programs_are_refused(spark, sql):
+    assert not free_sql.is_read_only(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["select 'reflect(' as reflect", "select transform(a, x -> x + 1) from t", "select sum(a) over w from t window w as (order by b)", "with r as (select 1 as a) select (select max(a) from r) from r"])
+def test_like_them_but_harmless(spark, sql):
+    assert free_sql.is_read_only(spark, sql)
+
+
 def test_values_that_cannot_be_cast_are_differences(spark):
     source = spark.createDataFrame([(1, "n/a", "5"), (2, "7", "x"), (3, None, "1"), (4, "1.0", "1")], "id int, v string, w string")
     target = spark.createDataFrame([(1, None, 5), (2, 7, None), (3, None, 1), (4, 1, 1)], "id long, v int, w int")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import Any, NamedTuple
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ from ..operators.project import within
 
 #: Commands that only show something, by the starts of their plans' names (fixed values).
 SHOWING = ("Show", "Describe")
+#: Functions that call any method of the process (fixed values).
+REFLECTING = ("reflect", "try_reflect", "java_method")
 EXPLAIN = re.compile(r"\s*EXPLAIN(?:\s+(?:EXTENDED|CODEGEN|COST|FORMATTED|LOGICAL))?\s+", re.IGNORECASE)
 MOST_ROWS = 100_000
 
@@ -27,14 +30,14 @@ class Result(NamedTuple):
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
     """Whether a statement is known to read only: Spark's own parser takes it whole as a query, or as a command that shows something. All else is
-    refused, EXECUTE IMMEDIATE, CALL, scripts and settings included. EXPLAIN of a statement counts as that statement."""
+    refused, EXECUTE IMMEDIATE, CALL, scripts and settings included, and so are queries that run programs or methods (TRANSFORM, reflect). EXPLAIN of a
+    statement counts as that statement."""
     explained = EXPLAIN.match(sql)
     if explained:
         return is_read_only(spark, sql[explained.end() :])
     parser = spark._jsparkSession.sessionState().sqlParser()
     try:
-        parser.parseQuery(sql)
-        return True
+        return not any(map(_acts, _nodes(spark, parser.parseQuery(sql))))
     except ParseException:
         pass
     try:
@@ -43,6 +46,28 @@ def is_read_only(spark: SparkSession, sql: str) -> bool:
         return False
 
 
+def _nodes(spark: SparkSession, plan: Any) -> Iterator[Any]:
+    """All plans and expressions of a parsed query, those of subqueries, named tables and windows included."""
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        below = [node.children(), node.innerChildren()]
+        if is_instance_of(spark.sparkContext._gateway, node, "org.apache.spark.sql.catalyst.plans.QueryPlan"):
+            below.append(node.expressions())
+        if node.nodeName() == "WithWindowDefinition":
+            below.append(node.windowDefinitions().values().toSeq())
+        waiting += [some.apply(k) for some in below for k in range(some.size())]
+
+
+def _acts(node: Any) -> bool:
+    """Whether a part of a query runs a program or a method, or a function whose name is only known later."""
+    kind = node.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        return node.nameParts().last().lower() in REFLECTING
+    return kind in ("ScriptTransformation", "ExpressionWithUnresolvedIdentifier")
+
+
 def _named(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
