@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import diff
+from tidemark.operators import diff, digests
 from tidemark.plans import report, runs
 from tidemark.plans.report import TableSelection
 from tidemark.sources import databases, readers
@@ -106,3 +107,38 @@ def test_rows_staged_twice_are_written_once(spark, monkeypatch):
     upserts = spark.createDataFrame([(0, "y"), (5, "z")], shape)
     assert databases.apply_changes(url, "t", ["a"], upserts, properties=DERBY) == {"written": 2, "deleted": 0}
     assert rows(readers.jdbc(spark, url, "t", properties=DERBY)) == [(0, "y"), (5, "z")]
+
+
+def test_times_without_a_zone_as_keys(spark, tmp_path, monkeypatch):
+    # Python's own time zone isn't the session's, and has a gap in these hours
+    source = spark.sql("SELECT timestamp_ntz'2024-03-09 22:00:00' + make_dt_interval(0, 0, cast(id AS int) * 3) AS t, id AS v FROM range(200)")
+    target = source.where("v % 7 > 0").withColumn("v", F.expr("if(v % 3 = 0, -1, v)"))
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        want = rows(diff.row_diff(source, target, ["t"]))
+        assert rows(digests.range_diff(source, target, ["t"], ranges=16)) == want
+        assert runs.resumable_diff(source, target, ["t"], str(tmp_path / "d"), ranges=9) == 0
+        assert rows(runs.finished(spark, str(tmp_path / "d")).select("t", "change_type")) == want
+        told = report.compare_tables(spark, {"a": source}, {"a": target}, {"a": TableSelection(["t"])})
+        run = runs.save_run(spark, str(tmp_path / "s"), "compare", told, NOW, differences={"a": (diff.row_diff(source, target, ["t"]), ["t"])})
+        page = runs.saved_page(spark, str(tmp_path / "s"), run, "a", source, target, ["t"], "update", 20, 20)
+        assert page.count() == 20 and page.where("source_v IS NULL OR target_v <> -1").isEmpty()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_copies_keep_every_column_and_take_names_in_any_case(spark, tmp_path):
+    df = spark.range(50).selectExpr("id AS Id", "id * 10 AS range", "'x' AS place")
+    assert runs.resumable_copy(df, str(tmp_path / "c"), ["ID"], ranges=4) == 0
+    assert rows(runs.finished(spark, str(tmp_path / "c"))) == rows(df)
+
+
+def test_a_saved_page_where_the_source_has_text_keys(spark, tmp_path):
+    target = spark.range(100).selectExpr("id", "id AS v")
+    source = target.selectExpr("cast(id AS string) AS ID", "if(id % 2 = 0, -1, v) AS v")
+    told = report.compare_tables(spark, {"a": source}, {"a": target}, {"a": TableSelection(["id"])})
+    run = runs.save_run(spark, str(tmp_path), "compare", told, NOW, differences={"a": (diff.row_diff(source, target, ["id"]), ["id"])})
+    page = runs.saved_page(spark, str(tmp_path), run, "a", source, target, ["id"], "update", 10, 5)
+    assert [(r.id, r.source_v, r.target_v) for r in page.orderBy("id").collect()] == [(k, -1, k) for k in range(10, 30, 2)]

@@ -45,6 +45,13 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def literal(value: object, kind: T.DataType) -> Column:
+    """A value that was collected from a column of this type. Python's own time zone, which may not be the session's, can't shift it."""
+    if isinstance(kind, T.TimestampNTZType) and value is not None:
+        return F.lit(value.isoformat(" ")).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def fresh(*frames: DataFrame) -> str:
     """A beginning of names that no column of these tables has."""
     taken, mark = [c.lower() for df in frames for c in df.columns], "_"

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import column, named, value_hash
+from ..functions.canonical import column, literal, named, value_hash
 from .diff import keyed, row_diff, shared_columns
 
 FAN = 16  #: ranges in a group
@@ -35,10 +35,10 @@ def range_of(df: DataFrame, keys: Sequence[str], lows: Sequence[Row], like: Data
     kinds = [named(df if like is None else like, k).dataType for k in keys]
     key = F.struct(*keyed(df, keys, like))
     step = max(1, math.isqrt(len(lows)))
-    literal = lambda some: F.array(*[F.struct(*[F.lit(v).cast(kind).alias(k) for k, kind, v in zip(keys, kinds, r)]) for r in some])
+    known = lambda some: F.array(*[F.struct(*[literal(v, kind).alias(k) for k, kind, v in zip(keys, kinds, r)]) for r in some])
     upto = lambda some: F.size(F.filter(some, lambda b: b <= key))
-    coarse = upto(literal(lows[step::step])) if len(lows) > step else F.lit(0)
-    return coarse * step + upto(F.slice(literal(lows), coarse * step + 1, F.lit(step)))
+    coarse = upto(known(lows[step::step])) if len(lows) > step else F.lit(0)
+    return coarse * step + upto(F.slice(known(lows), coarse * step + 1, F.lit(step)))
 
 
 def digests(df: DataFrame, keys: Sequence[str], lows: Sequence[Row], columns: Sequence[str], like: DataFrame | None = None) -> DataFrame:
@@ -89,11 +89,12 @@ def within_ranges(df: DataFrame, keys: Sequence[str], lows: Sequence[Row], ids:
             spans[-1][1] = k
         else:
             spans.append([k, k])
-    head = column(named(df, keys[0]).name)
+    first_key = named(df, keys[0])
+    head = column(first_key.name)
     near = head.isNull()
     for first, last in spans:
-        low = head >= F.lit(lows[first - 1][0]) if first else None
-        high = head <= F.lit(lows[last][0]) if last < len(lows) else None
+        low = head >= literal(lows[first - 1][0], first_key.dataType) if first else None
+        high = head <= literal(lows[last][0], first_key.dataType) if last < len(lows) else None
         near = near | (low & high if low is not None and high is not None else low if low is not None else high if high is not None else F.lit(True))
     return df.where(near).where(range_of(df, keys, lows).isin(list(ids))) if ids else df.limit(0)
 

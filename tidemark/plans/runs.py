@@ -11,12 +11,12 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import column
+from ..functions.canonical import column, literal, named
 from ..operators import digests
 from ..operators.diff import ranges_of, row_diff, side_by_side
 from ..operators.project import within
@@ -75,14 +75,16 @@ def saved_page(spark: SparkSession, store: str, run_id: str, table: str, source:
     found = spark.read.parquet(f"{store}/differences/{run_id}/{table}").where((F.col("change_type") == change_type) & places)
     # both sides are asked for the page's keys only
     asked = [tuple(r) for r in found.select(*map(column, keys)).collect()]  # limit rows at most
-    near = _near(keys, asked)
-    return side_by_side(found, source.where(near), target.where(near), keys)
+    kind = named(found, keys[0]).dataType
+    return side_by_side(found, *[side.where(_near(named(side, keys[0]), kind, asked)) for side in (source, target)], keys)
 
 
-def _near(keys: Sequence[str], asked: Sequence[tuple]) -> F.Column:
-    """Bounds of the first key, which reach the scan."""
-    heads = [a[0] for a in asked if a[0] is not None]
-    return column(keys[0]).between(F.lit(min(heads)), F.lit(max(heads))) if heads else F.lit(False)
+def _near(field: T.StructField, kind: T.DataType, asked: Sequence[tuple]) -> Column:
+    """Bounds of the first key, which reach the scan. A side whose key has another type has another order, and is read whole."""
+    heads = sorted((a[0] for a in asked if a[0] is not None), key=lambda x: (x != x, x))  # NaN comes last
+    if heads and field.dataType != kind and not all(isinstance(k, T.IntegralType) for k in (field.dataType, kind)):
+        return F.lit(True)
+    return column(field.name).between(literal(heads[0], kind), literal(heads[-1], kind)) if heads else F.lit(False)
 
 
 # Work by key ranges, with a ledger ------------------------------------------------------------------------------------------
@@ -97,7 +99,7 @@ def by_ranges(path: str, source: DataFrame, keys: Sequence[str], make: Callable[
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     done = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS"))
-    kinds = T.StructType([T.StructField(k, source.schema[k].dataType) for k in keys])
+    kinds = T.StructType([T.StructField(k, named(source, k).dataType) for k in keys])
     if not done("bounds"):
         lows = digests.bounds(source, keys, ranges)
         spark.createDataFrame([tuple(r) for r in lows], kinds).coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
@@ -121,4 +123,5 @@ def resumable_diff(source: DataFrame, target: DataFrame, keys: Sequence[str], pa
 
 def finished(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the finished ranges."""
-    return spark.read.parquet(f"{path}/rows").drop("range")
+    # each folder by itself: the ranges' numbers don't become a column, whose name the table may have
+    return spark.read.parquet(f"{path}/rows/range=*")
