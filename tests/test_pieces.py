@@ -74,6 +74,40 @@ def test_steps():
     assert pieces.json_step('[{"a": "x', (0, 0)) == (1, 2) and pieces.json_step('y\\"z", "b": 1', (1, 2)) == (0, 1)
 
 
+BROKEN = [
+    '{"a": 1, "b": {"c": 2}}', '[1, {"a": 1}]', '[{"a": 1}, null, {"a": 2}]', '[{"a": 1},{"a": 2', '[{"a": 1},{"a": 2}', '[{"a": 1},{"a": "x',
+    '[{"a": 1},{"a":,},{"a": 3}]', '[{"a": 1} {"a": 2}]', '[{"a": 1}],{"a": 2}]', '[{"a": 1}]]', '[{"a": 1},]', "nonsense", '[[{"a": 1}]]',
+]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_json_that_is_no_array_of_objects(tiny_splits, tmp_path, text):
+    (tmp_path / "b.json").write_text(text)
+    with pytest.raises(ValueError, match="b.json"):
+        readers.import_json(tiny_splits, str(tmp_path / "b.json"))
+
+
+def test_json_lines_and_marks(tiny_splits, tmp_path):
+    spark = tiny_splits
+    (tmp_path / "l.json").write_text('{"a": 1}\n\n{}\n{"b": {"c": 2}}\n')
+    got = readers.import_json(spark, str(tmp_path / "l.json"), lines=True)
+    assert got.columns == ["a", "b"] and sorted(map(str, map(tuple, got.collect()))) == ["('1', None)", "(None, '{\"c\": 2}')", "(None, None)"]
+    (tmp_path / "n.json").write_text('[{"n": {"c": 1.50}}, {"n": {"d": [true, null]}}, {"n": [1, "x"]}, {"n": 1e3}, {"n": "t"}]')
+    assert sorted(r.n for r in readers.import_json(spark, str(tmp_path / "n.json")).collect()) == sorted(['{"c": 1.50}', '{"d": [true, null]}', '[1, "x"]', "1e3", "t"])
+    (tmp_path / "m.json").write_text('{"a": 1}\n[1]\n')
+    with pytest.raises(ValueError, match="m.json"):
+        readers.import_json(spark, str(tmp_path / "m.json"), lines=True)
+    many = tmp_path / "many"
+    many.mkdir()
+    (many / "1.json").write_text('\ufeff[{"a": 1}, {},\n{"a": 2}]\n')
+    (many / "2.json").write_text(" [ ] ")
+    (many / "3.json").write_text('[{"a": "]}{["}]')
+    assert sorted(str(r.a) for r in readers.import_json(spark, str(many)).collect()) == ["1", "2", "None", "]}{["]
+    (many / "4.json").write_text('[{"a": 1}')
+    with pytest.raises(ValueError, match="4.json"):
+        readers.import_json(spark, str(many))
+
+
 def test_empty_files(spark, tmp_path):
     (tmp_path / "a.json").write_text("[]\n")
     assert readers.import_json(spark, str(tmp_path / "a.json")).columns == []

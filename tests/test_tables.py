@@ -164,7 +164,7 @@ def test_json_array(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": 1, "b": {"x": [1, 2]}}, {"a": null, "c": true}]')
     df = readers.import_json(spark, str(tmp_path / "a.json"))
     assert sorted(df.columns) == ["a", "b", "c"]
-    assert {(r.a, r.b, r.c) for r in df.collect()} == {("1", '{"x":["1","2"]}', None), (None, None, "true")}
+    assert {(r.a, r.b, r.c) for r in df.collect()} == {("1", '{"x": [1, 2]}', None), (None, None, "true")}
 
 
 def test_inference(spark):
