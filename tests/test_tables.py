@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +112,19 @@ def test_row_hash_ignores_order_and_tells_types_apart(spark):
     assert one(df, ["A"]) != one(texts, ["A"])
 
 
+def test_texts_of_doubles_are_those_of_sql(spark):
+    values = [0.0, -0.0, 0.25, -999.85, 12345678.25, -1e9, 1e15, 1e16, 1.5e17, 2e23, 0.0001, 0.00025, 1e-5, -2.5e-7, 1e100, float("nan"), float("inf"), -float("inf"), None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = [r.t for r in df.select("k", canonical.cell(F.col("v"), df.schema["v"].dataType).alias("t")).orderBy("k").collect()]
+    with duckdb.connect() as con:
+        expected = [con.execute("SELECT ?::DOUBLE::VARCHAR", [v]).fetchall()[0][0] or canonical.NULL for v in values]
+    assert got == expected
+    # keys and comparisons have one zero
+    zeros = df.where("k < 2").select("v")
+    assert zeros.select(canonical.key_text(zeros, ["v"])).distinct().count() == zeros.select(canonical.value_hash(zeros, ["v"])).distinct().count() == 1
+    assert zeros.select(canonical.row_hash(zeros, ["v"])).distinct().count() == 2
+
+
 def test_key_round_trip(spark):
     df = spark.createDataFrame([(123, "hello", None)], "a long, b string, c string")
     back = df.select(canonical.key_text(df, ["a", "b", "c"]).alias("k")).select(*canonical.key_values(F.col("k"), {f.name: f.dataType for f in df.schema.fields}))

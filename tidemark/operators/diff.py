@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.canonical import as_types, cell, coerced, column, fresh, key_text, named, plain_text, value_hash
+from ..functions.canonical import as_types, cell, coerced, column, fresh, key_text, named, one_zero, plain_text, value_hash
 from ..functions.staging import snapshot
 from .project import after_key, within
 
@@ -193,7 +193,7 @@ def changed_cells(source: DataFrame, target: DataFrame, keys: Sequence[str], col
         new, old = column(f"{mark}s{i}"), column(f"{mark}t{i}")
         typed = coerced(new, have, field.dataType)
         lost = new.isNotNull() & typed.isNull()
-        changed = lost | (cell(typed, field.dataType, role) != cell(old, field.dataType, role))
+        changed = lost | (cell(one_zero(typed, field.dataType), field.dataType, role) != cell(one_zero(old, field.dataType), field.dataType, role))
         shown = F.when(lost, plain_text(new, have)).otherwise(plain_text(typed, field.dataType))
         each.append(F.when(changed, F.struct(F.lit(c).alias("column"), plain_text(old, field.dataType).alias("old_value"), shown.alias("new_value"))))
     cells = both.select(*map(column, keys), F.explode(F.array_compact(F.array(*each))).alias(f"{mark}c"))
