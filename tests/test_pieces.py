@@ -9,7 +9,8 @@ import random
 
 import pytest
 
-from tidemark.sources import pieces, readers
+from tidemark.queries import QUERIES
+from tidemark.sources import pieces, readers, writers
 
 
 @pytest.fixture
@@ -113,3 +114,27 @@ def test_empty_files(spark, tmp_path):
     assert readers.import_json(spark, str(tmp_path / "a.json")).columns == []
     (tmp_path / "b.json").write_text('[\n {"a": 1}\n]')
     assert [tuple(r) for r in readers.import_json(spark, str(tmp_path / "b.json")).collect()] == [("1",)]
+
+
+@pytest.mark.parametrize("n", [1, 500])
+def test_each_exported_file_is_one_array(spark, tmp_path, n):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        rows = spark.range(0, n, 1, 5).selectExpr("cast(id as string) AS k", "concat('}],{\"', id) AS t", "if(id % 3 = 0, null, 'x') AS o")
+        writers.export_json_arrays(rows, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    whole = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("part-*")]
+    assert len(whole) == 5 and sum(map(len, whole)) == n
+    found = readers.import_json(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_import_json_array_of_many_tasks(spark, tmp_path):
+    """Arrays that several tasks of a shuffle write must not share a file."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.range(0, 3000, 1, 8).selectExpr("id AS event_id", "concat('t', id) AS event_type", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+        assert QUERIES["import_json_array"](spark, str(tmp_path)).count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
