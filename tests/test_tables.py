@@ -297,6 +297,17 @@ def test_names_in_any_case_and_zeros(spark):
     assert {r.only_source + r.only_target for r in diff.multiset_diff(source, target).collect()} == {1} and diff.multiset_diff(source, target).count() == 4
 
 
+def test_multiset_diff_shuffles_rows_near_a_difference_only(spark, monkeypatch):
+    source = spark.range(0, 5000).selectExpr("id % 1000 AS k", "concat('t', id % 1000) AS t")
+    target = spark.range(0, 5000).selectExpr("id % 1000 AS k", "concat('t', id % 1000 + if(id < 3, 2000, 0)) AS t")
+    wanted = {(0, "t0", 1, 0), (1, "t1", 1, 0), (2, "t2", 1, 0), (0, "t2000", 0, 1), (1, "t2001", 0, 1), (2, "t2002", 0, 1)}
+    found = diff.multiset_diff(source, target)
+    assert {tuple(r) for r in found.collect()} == wanted and "bitmap_construct_agg" in found._jdf.queryExecution().toString()
+    assert diff.multiset_diff(source, source).isEmpty()
+    monkeypatch.setattr(diff, "bits_for", lambda _: 0)  # a bitmap that leaves nothing out changes no result
+    assert {tuple(r) for r in diff.multiset_diff(source, target).collect()} == wanted
+
+
 def test_two_updates_of_one_key_are_refused(spark, users):
     up = spark.createDataFrame([(1, 31, ["age"]), (1, 32, ["age"])], "id long, age int, _set array<string>")
     with pytest.raises(apply.KeyConflict):

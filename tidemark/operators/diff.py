@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import bits_for, mark_survivors, survivor_bitmap
 from ..functions.canonical import as_types, cell, coerced, column, fresh, key_text, named, one_zero, plain_text, value_hash
 from ..functions.staging import snapshot
 from .project import after_key, within
@@ -82,20 +83,26 @@ def summary(source: DataFrame, target: DataFrame, keys: Sequence[str], columns:
 def multiset_diff(source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Tables without a key: rows as a multiset of hashes; how many each side has more than the other, with one row of the hash.
 
-    Only hashes are counted and compared; whole rows are fetched for the hashes that differ.
+    Only hashes are counted and compared; whole rows are fetched for the hashes that differ: a bitmap of these, of 16 MB at most, leaves the others
+    out of the scan, so that they aren't shuffled.
     """
     columns = columns or shared_columns(source, target)
     like = target.schema
-    one = lambda df, s, t: df.select(value_hash(df, columns, like).alias("row_hash"), F.lit(s).alias("s"), F.lit(t).alias("t"))
-    counts = one(source, 1, 0).unionAll(one(target, 0, 1)).groupBy("row_hash").agg((F.sum("s") - F.sum("t")).alias("more"))
+    one = lambda df, n: df.select(value_hash(df, columns, like).alias("h"), F.lit(n).alias("_n")).select("h.a", "h.b", "_n")
+    counts = one(source, 1).unionAll(one(target, -1)).groupBy("a", "b").agg(F.sum("_n").alias("more"))
     differs = snapshot(counts.where("more <> 0"))
     typed = lambda df, c: coerced(column(named(df, c).name), named(df, c).dataType, named(target, c).dataType)
-    row = lambda df: df.select(value_hash(df, columns, like).alias("row_hash"), F.struct(*[typed(df, c).alias(c) for c in columns]).alias("row"))
+
+    def rows(df: DataFrame, wanted: DataFrame) -> DataFrame:
+        whole = df.select(value_hash(df, columns, like).alias("h"), F.struct(*[typed(df, c).alias(c) for c in columns]).alias("row")).select("h.a", "h.b", "row")
+        bits = bits_for(wanted.count())
+        near = mark_survivors(whole, "a", survivor_bitmap(wanted, "a", bits), "_may", bits).where("_may").drop("_may")
+        return near.join(wanted, ["a", "b"]).groupBy("a", "b").agg(F.first("row").alias("row"), F.first("more").alias("more"))
+
     # what the source has more of is fetched from the source, the rest from the target
-    found = row(source).join(differs.where("more > 0"), "row_hash").unionAll(row(target).join(differs.where("more < 0"), "row_hash"))
-    first = found.groupBy("row_hash").agg(F.first("row").alias("row"), F.first("more").alias("more"))
+    found = rows(source, differs.where("more > 0")).unionAll(rows(target, differs.where("more < 0")))
     zero = F.lit(0).cast("long")
-    return first.select("row.*", F.greatest("more", zero).alias("only_source"), F.greatest(-F.col("more"), zero).alias("only_target"))
+    return found.select("row.*", F.greatest("more", zero).alias("only_source"), F.greatest(-F.col("more"), zero).alias("only_target"))
 
 
 def windows(source: DataFrame, target: DataFrame, keys: Sequence[str], size: int, columns: Sequence[str] | None = None) -> DataFrame:
