@@ -53,6 +53,39 @@ def test_pieces_have_the_ids_of_the_whole(both, corpus):
     assert encode([None]) == [b""]
 
 
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.chars = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_each_piece_of_a_word_once():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        encode = tokens.encoder(f.read())
+    encode.tokenizer = counted = Counted(encode.tokenizer)
+    new = ["garbelon wistrade", "garbelon, wistrade. wistrade,", "\u00e9garb. ,", "\u00e9garb,"]
+    given = []
+    for t in new:
+        before = counted.chars
+        assert np.frombuffer(encode([t])[0], "<u4").tolist() == ids(counted.inner, t)
+        given.append(counted.chars - before)
+    assert given == [len(new[0]), len(", ."), len("\u00e9garb"), 0]  # no word between words of letters, and nothing twice
+
+
+def test_every_pair_of_latin_letters_and_signs():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        encode = tokens.encoder(f.read())
+    chars = [chr(c) for c in range(0x20, 0x260)]
+    texts = [*chars, *[a + b for a in "a'.\u00e9" for b in chars], *[b + a for a in "a'.\u0301" for b in chars]]
+    for t, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids(encode.tokenizer, t), t
+
+
 @pytest.mark.parametrize("run", [" ", "\n", " \n\t", "\u2003"])
 def test_runs_of_two_million_blanks(docs, library, run):
     text = "a" + run * (2_000_000 // len(run)) + "b <|endoftext|>" + run * 99_999 + "c"

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -96,33 +96,69 @@ def has_long_run(text: str) -> bool:
 class WordEncoder:
     """For files that drop white space and lower-case: ids of words between ASCII white space, one after another.
 
-    Words that aren't in the cache are encoded by the library, many in one call, with a word of one token between them.
+    Words that aren't in the cache are encoded by the library, many in one call. A word of Latin letters, or of ASCII signs without an apostrophe,
+    is one piece to the tokenizer, and a piece has one id of a word's end, its last; a word of such letters and then such signs is these two pieces.
+    Between all other words goes a word of one token.
     """
 
     MARK = "\x01"
+    #: U+0130 isn't among the letters, since its lower case is a letter and a mark
+    PIECES = re.compile("([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, data: bytes, cache: int = CACHE) -> None:
         self.tokenizer, self.size = library(data), cache
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(data)["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # the generation before; what isn't used goes with it
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = []
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 512):
+            some = pieces[at : at + 512]
+            ids = self._library(" ".join(some))
+            stops = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(stops) != len(some):
+                self._learn_marked(some)
+                continue
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(some, stops, strict=True):
+                self.words[w.encode()] = data[start:stop]
+                start = stop
+
+    def _learn_marked(self, words: list[str]) -> None:
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = self._library(f" {self.MARK} ".join(some))
+            data, start = ids.tobytes(), 0
+            for w, end in zip(some, [*(np.flatnonzero(ids == self.mark[0]) * 4).tolist(), len(data)], strict=True):
+                self.words[w.encode()] = data[start:end]
+                start = end + 4
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        pieces, pairs, others, parts = [], [], [], self.PIECES.fullmatch
         for w in words:
             if (known := self.old.get(w)) is not None:
                 self.words[w] = known
             elif self.MARK.encode() in w or b"<|" in w:
                 self.words[w] = as_bytes(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+            elif (found := parts(t := w.decode())) is None:
+                others.append(t)
+            elif found[1] and found[2]:
+                pairs.append((w, *found.groups()))
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([w.decode() for w in some])], add_special_tokens=False)[0].ids, "<u4")
-            data, start = ids.tobytes(), 0
-            for w, end in zip(some, [*(np.flatnonzero(ids == self.mark[0]) * 4).tolist(), len(data)], strict=True):
-                self.words[w] = data[start:end]
-                start = end + 4
+                pieces.append(t)
+        known = {p for _, *two in pairs for p in two}.difference(pieces)
+        pieces += [p for p in known if p.encode() not in self.words]
+        self._learn_pieces(pieces)
+        self._learn_marked(others)
+        for w, letters, signs in pairs:
+            self.words[w] = self.words[letters.encode()] + self.words[signs.encode()]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -131,19 +167,9 @@ class WordEncoder:
                 self.old, self.words = self.words, {}
             # upper case may be part of a special token's name, which lower case isn't
             cut = [(t.encode() if "<|" in t else t.encode().lower()).split() if t else [] for t in texts[start : start + 64]]
-            again, new, get = [], set(), self.words.get
-            for words in cut:
-                found = [*map(get, words)]
-                try:
-                    out.append(b"".join(found))
-                except TypeError:  # a word isn't known yet
-                    again.append(len(out))
-                    out.append(b"")
-                    new.update(w for w, f in zip(words, found, strict=True) if f is None)
-            if new:
-                self._learn(list(new))
-            for k in again:
-                out[k] = b"".join([*map(get, cut[k - start])])
+            if new := set().union(*cut).difference(self.words):
+                self._learn(new)
+            out += [b"".join([*map(self.words.__getitem__, words)]) for words in cut]
         return out
 
 
